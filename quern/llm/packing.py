@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import small_batches
 
-CACHED_WORDS, CACHED_CHARS = 400_000, 64
+CACHED_WORDS, CACHED_CHARS = 1_000_000, 64
+JOINED = 400  # words in one call of the tokenizer
+MARKS = ".,;:!?"
+SPECIAL = "<|"
 _LOADED: dict[str, "Encoder"] = {}
 
 SCHEMA = pa.schema(
@@ -24,31 +29,68 @@ class Encoder:
     """Ids of a text as little-endian 32-bit bytes, with the ids of single words remembered.
 
     The tokenizer's own pre-splitting never reaches across white space, so the ids of a text are
-    those of its words between spaces and line feeds in turn. The store of words is bounded.
+    those of its words between spaces and line feeds in turn. Nor does it join a letter with a
+    mark after it, or mind the case of ASCII, so a word's ids are those of its core and its last
+    mark. Cores of letters alone are one pre-token each and go to the tokenizer many at once; the
+    ids that end a pre-token part them again. Both stores are bounded: a full one is emptied.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_cores(self, new: list[str]) -> None:
+        if len(self.cores) + len(new) > CACHED_WORDS:
+            self.cores = {"": b""}
+        single = [c for c in new if c.isalpha() and c.lower().isalpha()]
+        for at in range(0, len(single), JOINED):
+            part = single[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):  # a letter that this tokenizer's tables do not count as one
+                self.cores.update(zip(part, self._plain(part)))
+                continue
+            raw, stops = ids.tobytes(), (4 * ends).tolist()
+            self.cores.update((c, raw[i:j]) for c, i, j in zip(part, [0, *stops], stops))
+        rest = [c for c in new if not (c.isalpha() and c.lower().isalpha())]
+        self.cores.update(zip(rest, self._plain(rest)))
+
+    def _learn(self, new: set[str]) -> None:
+        parts = {}
+        for w in new:
+            core, mark = (w[:-1], w[-1]) if w[-1] in MARKS and w[-2:-1].isalpha() else (w, "")
+            parts[w] = core.lower() if core.isascii() and SPECIAL not in core else core, mark
+        wanted = {c for c, _ in parts.values()} | set(MARKS)
+        self._learn_cores(sorted(wanted - self.cores.keys()))
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.words = {"": b""}
+        cores = self.cores
+        for w, (core, mark) in parts.items():
+            self.words[w] = cores[core] + cores[mark]
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        known = self.known
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in known))
-        if len(known) + len(new) > CACHED_WORDS:
-            known = self.known = {"": b""}
-            new = list(dict.fromkeys(w for words in split for w in words if w not in known))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        out = [b"".join([known[w] for w in words]) for words in split]
-        if any(len(w) > CACHED_CHARS for w in new):
-            for w in new:
-                if len(w) > CACHED_CHARS:
-                    del known[w]
+        every = set().union(*split)
+        new = every - self.words.keys()
+        if new and len(self.words) + len(new) > CACHED_WORDS:
+            new = every - {""}
+        if new:
+            self._learn(new)
+        known = self.words.__getitem__
+        out = [b"".join(map(known, words)) for words in split]
+        for store in (self.words, self.cores):
+            for w in [w for w in new if len(w) > CACHED_CHARS]:
+                store.pop(w, None)
         return out
 
 
