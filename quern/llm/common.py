@@ -28,18 +28,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage durably: a reliable checkpoint in the folder that the cluster shares.
-
-    ``spark.checkpoint.dir`` names it; only where that is unset (tests, one machine)
-    a local folder is taken. A lost executor costs no recomputation of what came before.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; only where none is named, on one machine, a local one."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master.startswith("local") and "cluster" not in sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut lineage durably: a reliable checkpoint in the shared folder, so that a lost executor
+    costs no recomputation of what came before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
