@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import ship
+from quern.session import settle, shared_folder, ship  # noqa: F401
 
 ARROW_ROWS = 1000
 
@@ -28,24 +27,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; only where none is named, on one machine, a local one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not (sc.master.startswith("local") and "cluster" not in sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage durably: a reliable checkpoint in the shared folder, so that a lost executor
-    costs no recomputation of what came before."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fold(modulus: int, key: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(key).cast("string")) % F.lit(modulus)
