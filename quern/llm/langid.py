@@ -193,9 +193,10 @@ class Model:
         return out[:, :-1] / np.maximum(out[:, -1:], 1)
 
     def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
         q = self.pooled(texts)
-        best = q.argmax(1) if q.shape[1] else np.zeros(len(q), dtype=int)
-        score = q.max(1) if q.shape[1] else np.zeros(len(q))
+        best, score = q.argmax(1), q.max(1, initial=0.0)
         return [self.languages[b] if s > 0 else "und" for b, s in zip(best, score)], np.clip(score, 0, 1)
 
 
