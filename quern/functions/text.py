@@ -54,12 +54,13 @@ def share(part: Column, whole: Column) -> Column:
 
 def token_recall(pred: Column, gold: Column) -> Column:
     """Share of gold's token set that pred's holds. Arguments are token sets."""
-    return share(F.size(F.array_intersect(pred, gold)), F.size(gold))
+    return let(gold, lambda g: share(F.size(F.array_intersect(pred, g)), F.size(g)))
 
 
 def token_f1(pred: Column, gold: Column) -> Column:
-    p, r = token_recall(gold, pred), token_recall(pred, gold)
-    return F.when(p + r == 0, F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r))
+    both = F.struct(pred.alias("p"), gold.alias("g"))
+    rates = let(both, lambda x: F.struct(token_recall(x["g"], x["p"]).alias("p"), token_recall(x["p"], x["g"]).alias("r")))
+    return let(rates, lambda x: F.when(x["p"] + x["r"] == 0, F.lit(0.0)).otherwise(F.lit(2.0) * x["p"] * x["r"] / (x["p"] + x["r"])))
 
 
 def terms(text: Column, generic: list[str] | None = None) -> Column:
@@ -78,15 +79,14 @@ def overlap_coefficient(a: Column, b: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Distinct n-grams of a word array, space-joined; empty if it is shorter."""
-    return F.when(
-        F.size(tokens) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
-    ).otherwise(F.array().cast("array<string>"))
+    grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
+    return let(tokens, lambda w: F.when(F.size(w) >= n, grams(w)).otherwise(F.array().cast("array<string>")))
 
 
 def novelty(trace: Column, answer: Column, n: int = 4) -> Column:
     """1 - share of the trace's n-grams that stand in the answer; 0 for a trace without any."""
-    own = ngrams(words(F.lower(trace)), n)
-    return let(own, lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.lit(1.0) - share(F.size(F.array_intersect(g, ngrams(words(F.lower(answer)), n))), F.size(g))))
+    both = F.struct(ngrams(words(F.lower(trace)), n).alias("t"), ngrams(words(F.lower(answer)), n).alias("a"))
+    return let(both, lambda g: F.when(F.size(g["t"]) == 0, F.lit(0.0)).otherwise(F.lit(1.0) - share(F.size(F.array_intersect(g["t"], g["a"])), F.size(g["t"]))))
 
 
 def half_repetition(trace: Column, n: int = 4) -> Column:
@@ -244,7 +244,7 @@ def span_present(span: Column, text: Column, relaxed: bool = True) -> Column:
     def enough(t: Column) -> Column:
         n = F.size(t)
         need = F.when(n <= 2, n).when(n <= 4, n - 1).otherwise(F.least(F.lit(25), F.ceil(n / 2).cast("int")))
-        return (n > 0) & (root_overlap(t, terms(text)) >= need)
+        return (n > 0) & (let(terms(text), lambda own: root_overlap(t, own)) >= need)
 
     return exact | let(terms(span), enough)
 

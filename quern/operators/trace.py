@@ -61,16 +61,15 @@ def content_stems(text: Column) -> Column:
 def tail_overlap(trace: Column, answer: Column) -> Column:
     """Greatest share of content words of the last, or the last two, sentences whose stems stand in the answer; 0 under three sentences."""
 
-    def rate(s: Column) -> Column:
-        own = F.array_distinct(content_stems(answer))
-
+    def rate(s: Column, own: Column) -> Column:
         def part(text: Column) -> Column:
             return let(content_stems(text), lambda t: share(F.size(F.filter(t, lambda x: F.array_contains(own, x))), F.size(t)))
 
         last, two = F.element_at(s, -1), F.array_join(F.slice(s, F.size(s) - 1, F.lit(2)), " ")
-        return F.when((F.size(s) < 3) | (F.size(own) == 0), F.lit(0.0)).otherwise(F.greatest(part(last), part(two)))
+        return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.greatest(part(last), part(two)))
 
-    return let(sentences(trace, 10), lambda s: F.when(F.size(s) < 3, F.lit(0.0)).otherwise(rate(s)))
+    stems = lambda s: let(F.array_distinct(content_stems(answer)), lambda own: rate(s, own))
+    return let(sentences(trace, 10), lambda s: F.when(F.size(s) < 3, F.lit(0.0)).otherwise(stems(s)))
 
 
 def keyword_share(trace: Column, answer: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,26 +74,30 @@ def repaired_durations(spans: DataFrame, share: float = 0.9, epsilon: float = 0.
 def merge_tiny(actions: DataFrame, least: int = 2) -> DataFrame:
     """Actions (item, step_id, action_id, start, end) of which those under `least` frames are merged, renumbered.
 
-    The first too short one joins a neighbour: the one before it, at the head the one after; again
-    until none is left or only one action is. Each step depends on the last, so a step's few
-    actions are handled in Python, Arrow-batched.
+    From the first on, one that is too short joins the larger of its neighbours, the one before it
+    if they are equal; at the head the one after, at the tail the one before. One alone stays. A
+    fold over the few actions of a step, in order.
     """
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("action_id").to_dict("records")
-        while len(rows) > 1:
-            at = next((i for i, r in enumerate(rows) if r["end"] - r["start"] < least), None)
-            if at is None:
-                break
-            if at:
-                rows[at - 1]["end"] = rows[at]["end"]
-            else:
-                rows[1]["start"] = rows[0]["start"]
-            del rows[at]
-        return pd.DataFrame([r | {"action_id": i} for i, r in enumerate(rows, 1)], columns=["item", "step_id", "action_id", "start", "end"])
-
-    kinds = dict(actions.dtypes)
-    return actions.select("item", "step_id", "action_id", "start", "end").groupBy("item", "step_id").applyInPandas(merge, ", ".join(f"`{c}` {kinds[c]}" for c in ("item", "step_id", "action_id", "start", "end")))
+    spans = F.transform(F.array_sort(F.collect_list(F.struct("action_id", "start", "end"))), lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end")))
+    listed = actions.groupBy("item", "step_id").agg(spans.alias("a"))
+    span = lambda x: x["end"] - x["start"]
+    none = F.lit(None).cast("long")
+
+    def one(s, i):
+        start = F.coalesce(s["carry"], F.get("a", i)["start"])
+        end, last, after = F.get("a", i)["end"], F.try_element_at(s["out"], F.lit(-1)), F.get("a", i + 1)
+        grown = F.concat(F.slice(s["out"], F.lit(1), F.greatest(F.lit(0), F.size(s["out"]) - 1)), F.array(F.struct(last["start"].alias("start"), end.alias("end"))))
+        added = F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))
+        back = last.isNotNull() & (after.isNull() | (span(last) >= span(after)))
+        return (
+            F.when((end - start >= least) | (last.isNull() & after.isNull()), F.struct(added.alias("out"), none.alias("carry")))
+            .when(back, F.struct(grown.alias("out"), none.alias("carry")))
+            .otherwise(F.struct(s["out"].alias("out"), start.alias("carry")))
+        )
+
+    empty = F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"), none.alias("carry"))
+    merged = listed.withColumn("m", F.aggregate(F.sequence(F.lit(0), F.size("a") - 1), empty, one, lambda s: s["out"]))
+    return merged.select("item", "step_id", F.posexplode("m").alias("p", "x")).select("item", "step_id", (F.col("p") + 1).alias("action_id"), "x.start", "x.end")
 
 
 def frame_budget(clips: DataFrame, most: int = 50) -> DataFrame:

@@ -40,7 +40,9 @@ def test_nearest_frame_ties_and_gaps(spark):
 def test_merge_tiny_head_middle_tail(spark):
     acts = spark.createDataFrame([(1, 1, 1, 1, 2), (1, 1, 2, 2, 8), (1, 1, 3, 8, 9), (1, 1, 4, 9, 20), (1, 1, 5, 20, 21)], "item long, step_id long, action_id int, start long, end long")
     got = intervals.merge_tiny(acts).orderBy("action_id").collect()
-    assert [(r.action_id, r.start, r.end) for r in got] == [(1, 1, 9), (2, 9, 21)]
+    assert [(r.action_id, r.start, r.end) for r in got] == [(1, 1, 8), (2, 8, 21)]
+    alone = spark.createDataFrame([(1, 1, 1, 1, 2)], "item long, step_id long, action_id int, start long, end long")
+    assert [(r.start, r.end) for r in intervals.merge_tiny(alone).collect()] == [(1, 2)]
 
 
 def test_bad_plans_differ_in_one_place(spark):
