@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.catalog import views as V
-from quern.catalog.views import JUDGE, JUDGE_FIVE, QA, REWARDS, SPANS, STEPS, TRACES, sql_f1, sql_h, sql_recall, table
-from quern.functions import leak, scoring, text
-from quern.operators import audit, evaluate, qa, rank, resolve, resume, trace
-from quern.plans import generate, intervals, steps
+from quern.catalog.views import CAUSAL, JUDGE, JUDGE_FIVE, QA, REWARDS, SPANS, STEPS, TRACES, sql_f1, sql_h, sql_recall, table
+from quern.functions import leak, morph, scoring, text
+from quern.operators import audit, evaluate, qa, rank, resolve, resume, rewrite, trace
+from quern.plans import generate, intervals, moments, schema, steps
 from quern.plans.dims import NAMES
 from quern.sources import media
 
@@ -671,6 +671,108 @@ def q_gen_task20(spark, sf_dir):
     return generate.recoveries(s)
 
 
+def _sql_moment(task: int, *key: str) -> str:
+    options = moments.QUESTIONS[task]
+    joined = " || ':' || ".join([f"'{task}'", *key])
+    return f"[{', '.join(repr(x) for x in options)}][(('0x' || substr(md5({joined}), 1, 12))::BIGINT % {len(options)} + 1)::INT]"
+
+
+@query()
+def q_gen_conditions(spark, sf_dir):
+    return moments.conditions(V.causal_steps(spark, sf_dir))
+
+
+@query()
+def q_gen_task03(spark, sf_dir):
+    return moments.feasibility(V.causal_steps(spark, sf_dir))
+
+
+_ONCE = "SELECT task_name, item, step_id, question, answer, evidence FROM (SELECT *, row_number() OVER (PARTITION BY item, answer ORDER BY evidence) AS k FROM r) WHERE k = 1"
+_KEYFRAME = "'keyframe_' || (p_size % 2 + 1) || '_of_step' || step_id"
+
+
+@query(f"""WITH {CAUSAL}, r AS (SELECT '{NAMES[4]}' AS task_name, item, step_id, {_sql_moment(4, 'item', 'step_id', '(p_size % 2 + 1)')} AS question, 'The main object is the ' || n || ', which serves as ' ||
+CASE WHEN t[1] IN ('a', 'e', 'i', 'o', 'u') THEN 'an' ELSE 'a' END || ' ' || t || '. Physically, friction holds the ' || n || '.' AS answer, {_KEYFRAME} AS evidence FROM causal WHERE p_size % 7 <> 0) {_ONCE}""")
+def q_gen_task04(spark, sf_dir):
+    return moments.affordances(V.causal_steps(spark, sf_dir))
+
+
+@query()
+def q_gen_task05(spark, sf_dir):
+    return moments.causal_chains(V.causal_steps(spark, sf_dir))
+
+
+@query()
+def q_gen_task09(spark, sf_dir):
+    s = V.causal_steps(spark, sf_dir)
+    pool = rank.global_rank(s.select(F.lower("patient").alias("object")).distinct(), F.md5("object"), F.col("object"), name="place").withColumn("place", F.col("place") - 1)
+    return moments.key_objects(s, pool)
+
+
+@query(f"""WITH {CAUSAL} SELECT '{NAMES[11]}' AS task_name, item, step_id, {_sql_moment(11, 'item', 'step_id')} AS question, 'In this clip, the person is ' ||
+CASE WHEN l_linenumber % 2 = 0 THEN 'lifting the ' || n || ' and placing it' ELSE 'turning ' || n END || '.' AS answer, 'clip_of_step' || step_id AS evidence FROM causal""")
+def q_gen_task11(spark, sf_dir):
+    return moments.action_phrases(V.causal_steps(spark, sf_dir))
+
+
+@query(f"""WITH {CAUSAL}, r AS (SELECT '{NAMES[12]}' AS task_name, item, step_id, {_sql_moment(12, 'item', 'step_id', '(p_size % 2 + 1)')} AS question, 'The ' || n || ' changes its place.' AS answer, {_KEYFRAME} AS evidence FROM causal WHERE p_size % 3 <> 0) {_ONCE}""")
+def q_gen_task12(spark, sf_dir):
+    return moments.state_changes(V.causal_steps(spark, sf_dir))
+
+
+_GOAL_STOP = ", ".join(repr(x) for x in schema.GOAL_STOPWORDS)
+
+
+@query(f"""WITH {STEPS}, g AS (SELECT item, step_id, step_goal AS g, list_filter(list_distinct(regexp_extract_all(lower(step_goal), '\\S+')), lambda w: NOT list_contains([{_GOAL_STOP}], w)) AS k FROM steps),
+n AS (SELECT *, lead(k) OVER (PARTITION BY item ORDER BY step_id) AS nk FROM g),
+c AS (SELECT item, count(*) AS n, count(DISTINCT g) AS d, bool_or(nk IS NOT NULL AND least(len(k), len(nk)) > 0 AND len(list_intersect(k, nk))::DOUBLE / least(len(k), len(nk)) > 0.7) AS over,
+ bool_or(len(list_filter(regexp_extract_all(lower(g), '\\S+'), lambda w: length(w) > 2 AND NOT list_contains([{_GOAL_STOP}], w))) < 3) AS vague FROM n GROUP BY item)
+SELECT item, concat_ws(',', CASE WHEN n < 3 OR n > 9 THEN 'step_count' END, CASE WHEN over THEN 'overlap' END, CASE WHEN vague THEN 'vague' END, CASE WHEN d < n THEN 'duplicate_goal' END) AS errors FROM c""")
+def q_draft_errors(spark, sf_dir):
+    return schema.draft_errors(V.steps(spark, sf_dir))
+
+
+@query(f"""WITH {STEPS}, f AS (SELECT item, step_id, CASE item % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'maybe' WHEN 2 THEN '' ELSE 'no' END AS flag, CASE WHEN item % 3 = 0 THEN 'since' ELSE '' END AS detail FROM steps)
+SELECT * FROM (SELECT item, step_id, CASE WHEN step_id = 1 AND flag <> '' THEN 'first_step' WHEN step_id > 1 AND flag NOT IN ('yes', 'no') THEN 'not_yes_or_no' WHEN flag = 'yes' AND detail = '' THEN 'no_detail' WHEN flag <> 'yes' AND detail <> '' THEN 'detail_without_yes' END AS error FROM f) WHERE error IS NOT NULL""")
+def q_independence(spark, sf_dir):
+    flag = F.element_at(F.array(*[F.lit(x) for x in ("yes", "maybe", "", "no")]), (F.col("item") % 4 + 1).cast("int"))
+    return schema.independence_errors(V.steps(spark, sf_dir).withColumns({"independence": flag, "detail_independence": F.when(F.col("item") % 3 == 0, "since").otherwise("")}))
+
+
+def _plan_json():
+    """Plans of one step as JSON, whole or with one fault by the item's number."""
+    lists = ", ".join(f'"{k}": ["The cup is here."]' for k in schema.CAUSAL_LISTS)
+    frame = lambda i: F.concat(F.lit('{"frame_index": '), i, F.lit(f', "action_state_change_description": "it moves", "causal_chain": {{{lists}}}, "interaction": {{"patient": "cup", "affordance_type": "holdable", "mechanism": "grip"}}}}'))
+    k = F.col("o_orderkey") % 6
+    goal = F.when(k == 1, F.lit("see frame_12")).when(k == 2, F.lit("")).otherwise(F.lit("lift the cup"))
+    second = F.when(k == 3, F.lit("3")).otherwise(F.lit("9"))
+    sid = F.when(k == 4, F.lit("true")).otherwise(F.lit("1"))
+    more = F.when(k == 5, F.lit(', "note": "x"')).otherwise(F.lit(""))
+    return F.concat(
+        F.lit('{"high_level_goal": "tidy up", "steps": [{"step_id": '), sid, F.lit(', "step_goal": "'), goal,
+        F.lit(f'", "rationale": "it must go", "causal_chain": {{"agent": "person", "action": "lift", "patient": "cup", {lists}}}, "counterfactual_challenge_question": "What if it slips?", "expected_challenge_outcome": "It falls.", "failure_reflecting": {{"reason": "wet", "recovery_strategy": "dry it"}}, "critical_frames": ['),
+        frame(F.lit("3")), F.lit(", "), frame(second), F.lit("]"), more, F.lit("}]}"),
+    )
+
+
+@query("""SELECT o_orderkey AS item, CASE o_orderkey % 6 WHEN 1 THEN 'steps[0].step_goal:leak' WHEN 2 THEN 'steps[0].step_goal:empty' WHEN 3 THEN 'steps[0].critical_frames:equal' WHEN 4 THEN 'steps[0].step_id:not_int' WHEN 5 THEN 'steps[0]:extra_keys' ELSE '' END AS errors FROM orders""")
+def q_plan_schema(spark, sf_dir):
+    plans = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), F.parse_json(_plan_json()).alias("plan"))
+    return schema.plan_errors(plans).select("item", F.array_join("errors", ",").alias("errors"))
+
+
+@query()
+def q_rewrite_accept(spark, sf_dir):
+    rows = V.rewards(spark, sf_dir)
+    found = rewrite.problems(F.col("response"), F.col("step_goal"), F.lit("Which step is shown?"), F.array("step_goal"), F.array(F.lit("kettle")))
+    return rows.select("item", "step_id", F.array_join(found, ",").alias("problems"))
+
+
+@query()
+def q_ascii_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", morph.ascii_name(F.concat(F.lit("É-"), "p_name")).alias("name"))
+
+
 # --- audits ---
 
 

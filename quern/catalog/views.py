@@ -201,3 +201,28 @@ said AS (SELECT *, CASE kind WHEN 0 THEN 'Step ' || step_id || ' repeats ' || st
          WHEN 3 THEN 'In step ' || (step_id + 1) || ' the corrected plan is ' || next_goal || ' ' || step_goal ELSE 'Nothing of it' END AS response FROM near),
 rewards AS (SELECT *, {_tokens('response')} AS r, {_tokens('step_goal')} AS g, {_tokens('next_goal')} AS nx, {_tokens('prev_goal')} AS pv FROM said)
 """
+
+
+def causal_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps with causal fields made of part names: patients, actions, conditions before and after, keyframes."""
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    rows = line.withColumn("step_id", F.row_number().over(order).cast("long")).join(part, line.l_partkey == part.p_partkey)
+    n, t, b = F.col("p_name"), F.lower("p_type"), F.lower("p_brand")
+    says = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    return rows.select(
+        F.col("l_orderkey").alias("item"), "step_id", n.alias("step_goal"), n.alias("patient"),
+        F.when(F.col("l_linenumber") % 2 == 0, says("lift the ", n, " and place it")).otherwise(says("turn ", n)).alias("action"),
+        F.array(says("The ", n, " is on the table."), says("The ", b, " tool is near the ", n, ".")).alias("sp_pre"),
+        F.array(says("The ", n, " can be moved freely."), F.when(F.col("p_size") % 5 == 0, F.lit("Not directly observable.")).otherwise(says("The ", t, " surface is dry and clean."))).alias("af_pre"),
+        F.array(says("The ", n, " is inside the box."), says("The ", b, " tool is far from the box.")).alias("sp_eff"),
+        F.array(says("The ", n, " cannot move any more."), says("The ", t, " surface is covered.")).alias("af_eff"),
+        (F.col("p_size") % 2 + 1).cast("int").alias("place"), F.when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.replace(t, F.lit(" "), F.lit("_"))).alias("affordance"),
+        says("Friction holds the ", n, ".").alias("mechanism"), F.when(F.col("p_size") % 3 == 0, F.lit("it turns.")).otherwise(says("the ", n, " changes its place")).alias("change"),
+    )
+
+
+CAUSAL = """
+causal AS (SELECT l_orderkey AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity)::BIGINT AS step_id,
+ p_name AS n, lower(p_type) AS t, lower(p_brand) AS b, p_size, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey)
+"""
