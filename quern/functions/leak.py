@@ -26,11 +26,12 @@ TIME_REFERENCE = r"(?i)\b[0-9]+(?:\.[0-9]+)?\s*(?:s|sec|secs|second|seconds|ms|m
 PLACEHOLDERS = ["", "n/a", "na", "none", "null", "unknown", "unspecified", "tbd", "todo", "..."]
 
 
+# One pattern, so that a text is worked out once however it came about.
+ANY_LEAK = "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in LEAK_PATTERNS)
+
+
 def has_leak(text: Column) -> Column:
-    out = F.lit(False)
-    for p in LEAK_PATTERNS:
-        out = out | text.rlike(p)
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(text.rlike(ANY_LEAK), F.lit(False))
 
 
 def has_time_reference(text: Column) -> Column:

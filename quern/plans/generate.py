@@ -35,10 +35,11 @@ def _question(task: int, *key: Column) -> Column:
 
 
 def _rows(frame: DataFrame, task: int, step: Column, answer: Column, evidence: Column) -> DataFrame:
-    out = frame.select(
-        F.lit(NAMES[task]).alias("task_name"), "item", step.cast("long").alias("step_id"), _question(task, F.lit(task), F.col("item"), step).alias("question"), F.trim(answer).alias("answer"), evidence.alias("evidence")
+    # exploding the one answer, if it is fit, works it out once; a filter on it would repeat it
+    fit = F.filter(F.array(F.trim(answer)), lambda a: a.isNotNull() & (a != "") & ~has_leak(a))
+    return frame.select(
+        F.lit(NAMES[task]).alias("task_name"), "item", step.cast("long").alias("step_id"), _question(task, F.lit(task), F.col("item"), step).alias("question"), F.explode(fit).alias("answer"), evidence.alias("evidence")
     )
-    return out.where((F.col("answer") != "") & ~has_leak(F.col("answer")))
 
 
 def _prefix(step: Column) -> Column:

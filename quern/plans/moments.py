@@ -53,8 +53,8 @@ def _question(task: int, *key: Column) -> Column:
 
 def _rows(frame: DataFrame, task: int, answer: Column, evidence: Column, question: Column | None = None) -> DataFrame:
     q = question if question is not None else _question(task, F.col("item"), F.col("step_id"))
-    out = frame.select(F.lit(NAMES[task]).alias("task_name"), "item", "step_id", q.alias("question"), F.trim(answer).alias("answer"), evidence.alias("evidence"))
-    return out.where((F.coalesce("answer", F.lit("")) != "") & ~has_leak(F.col("answer")))
+    fit = F.filter(F.array(F.trim(answer)), lambda a: a.isNotNull() & (a != "") & ~has_leak(a))
+    return frame.select(F.lit(NAMES[task]).alias("task_name"), "item", "step_id", q.alias("question"), F.explode(fit).alias("answer"), evidence.alias("evidence"))
 
 
 def _clip() -> Column:
@@ -142,5 +142,6 @@ def key_objects(steps: DataFrame, pool: DataFrame, most: int = 12, wanted: int =
     rows = own.join(others, "item", "left").where(F.size("objects") > 0)
     extra = F.transform(F.slice(F.coalesce("others", F.array().cast("array<struct<k:int,object:string>>")), F.lit(1), F.greatest(F.lit(0), F.lit(wanted) - F.size("objects"))), lambda x: x["object"])
     shown = F.transform(F.array_sort(F.transform(F.concat("objects", extra), lambda o: F.struct(F.md5(F.concat_ws(":", F.col("item").cast("string"), o)).alias("h"), o.alias("o")))), lambda x: x["o"])
-    q = F.concat(_question(9, F.col("item"), F.lit(0)), F.lit(" Candidates: "), F.to_json(shown))
-    return _rows(rows.withColumn("step_id", F.lit(0).cast("long")), 9, F.concat(F.array_join("objects", ", "), F.lit(".")), F.lit("prefix_all"), q)
+    rows = rows.withColumn("shown", F.to_json(shown)).withColumn("step_id", F.lit(0).cast("long"))
+    q = F.concat(_question(9, F.col("item"), F.lit(0)), F.lit(" Candidates: "), F.col("shown"))
+    return _rows(rows, 9, F.concat(F.array_join("objects", ", "), F.lit(".")), F.lit("prefix_all"), q)

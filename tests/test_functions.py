@@ -108,3 +108,48 @@ def test_sample_normalisation(spark):
     r = qa.normalised(lines).first()
     assert (r.task_name, r.sample_id, r.question, r.answer, r.evidence_type, r.videos) == ("Task_07_X", "m1", "why?", "a2", "video_clip_pair", ["a.mp4", "b.mp4"])
     assert r.fields == {"action": '"lift"'}
+
+
+def test_word_forms(spark):
+    from quern.functions import morph
+
+    for given, want in (("lift the lid", "lifting the lid"), ("Close it", "Closing it"), ("cut and open the bag, then pour", "cutting and opening the bag, then pouring"), ("bring tea", "bringing tea"), ("seeing", "seeing"), ("the cup", "the cup"), ("", "")):
+        assert one(spark, morph.progressive(F.lit(given))) == want
+    names = spark.createDataFrame([("Café au-lait 2",), ("2 cups",), (None,), ("!!",)], "t string").select(morph.ascii_name(F.col("t")).alias("n")).collect()
+    assert [r.n for r in names] == ["cafe_au_lait_2", "obj_2_cups", None, ""]
+    assert one(spark, morph.relation_sentence(F.lit("contacting"), F.array(F.lit("cup"), F.lit("lid"), F.lit("table")), F.lit(False))) == "The cup is not in contact with the lid and table."
+    assert one(spark, morph.listing(F.array(F.lit("a"), F.lit("b"), F.lit("c")))) == "a, b, and c"
+    assert one(spark, morph.counterfactual_clause(F.lit("What if the cup slips?"))) == "the cup slips"
+    assert one(spark, morph.cleaned_outcome(F.lit("It falls. It breaks. To recover, sweep it up."))) == "It falls. It breaks."
+
+
+def test_rewrites_are_held_to_the_draft(spark):
+    from quern.operators import rewrite
+
+    def found(answer, draft='The "red lid" covers the cup_rim.'):
+        return one(spark, rewrite.problems(F.lit(answer), F.lit(draft), F.lit("What covers the cup?"), F.array(F.lit("red lid")), F.array(F.lit("kettle"))))
+
+    assert found('Here the "red lid" covers the cup_rim.') == []
+    assert found("As an AI, a kettle boils at frame_3") == ["leak", "missing_span", "missing_token", "missing_quote", "distractor", "novel_words", "banned"]
+    assert one(spark, rewrite.chosen(F.lit("a"), F.lit("b"), F.lit("c"), F.lit(False), F.lit(True))) == "b"
+
+
+def test_endpoints_rest_after_failures(tmp_path):
+    from quern.operators.endpoints import AnswerCache, EndpointPool, canonical_hash, read_endpoints
+
+    (tmp_path / "e.json").write_text('{"g": [{"url": "a:1/", "weight": 2}, "http://b"]}')
+    weights = read_endpoints(str(tmp_path / "e.json"))
+    assert weights == {"http://a:1": 2.0, "http://b": 1.0}
+    clock = [0.0]
+    pool = EndpointPool(weights, now=lambda: clock[0])
+    assert sorted(pool.pick() for _ in range(6)) == ["http://a:1"] * 4 + ["http://b"] * 2
+    for _ in range(3):
+        pool.report("http://a:1", False)
+    assert {pool.pick() for _ in range(4)} == {"http://b"}
+    clock[0] = 31.0
+    assert "http://a:1" in {pool.pick() for _ in range(3)}
+    cache = AnswerCache(2)
+    for k in "abc":
+        cache.put(k, k)
+    assert cache.get("a") is None and cache.get("c") == "c"
+    assert canonical_hash({"b": 1, "a": [1.0]}) == canonical_hash({"a": [1.0], "b": 1})
