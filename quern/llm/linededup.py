@@ -56,13 +56,14 @@ def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     windows = settle(
         runs.select("doc_id", "text_key", F.explode(_windows(F.col("lines"), F.col("weights"), F.col("hashes"), least)).alias("x")).select("doc_id", "text_key", "x.*")
     )
-    # a fingerprint's windows are neighbours, so its places are where its number changes
-    marks = windows.groupBy("mark").agg(F.min(F.struct("doc_id", "text_key", "at")).alias("a"), F.max(F.struct("doc_id", "text_key", "at")).alias("b"))
-    shared = marks.where("a <> b").select("mark")
+    # a fingerprint is shared if it stands at two places; their hashes are told apart without a sort
+    where = F.xxhash64("doc_id", "text_key", "at")
+    shared = settle(windows.groupBy("mark").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("mark"))
     near = windows.join(shared, "mark", "left_semi")
     place = F.struct("doc_id", "text_key", "s")
     first = near.groupBy("g1", "g2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("g1", "g2", "first")
-    later = near.join(first, ["g1", "g2"]).where(F.col("first") != place)
+    # both small sides are written first: a join of plain tables can deal out a very frequent line again
+    later = near.join(settle(first), ["g1", "g2"]).where(F.col("first") != place)
     return later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("s", "k"))).alias("runs"))
 
 
