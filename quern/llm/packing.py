@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import small_batches
 
-CACHED_WORDS, CACHED_CHARS = 1_000_000, 64
-JOINED = 400  # words in one call of the tokenizer
-MARKS = ".,;:!?"
+CACHED_WORDS, CACHED_CHARS = 1_500_000, 64
+JOINED = 400  # words in one text for the tokenizer
 SPECIAL = "<|"
+RUN = re.compile(r"[^\w \n]{2}|_")
+KINDS = bytes(32 if c in b" \n" else 95 if c == 95 else 97 if chr(c).isalnum() else 33 for c in range(128)) + bytes([33]) * 128
 _LOADED: dict[str, "Encoder"] = {}
 
 SCHEMA = pa.schema(
@@ -30,9 +32,9 @@ class Encoder:
 
     The tokenizer's own pre-splitting never reaches across white space, so the ids of a text are
     those of its words between spaces and line feeds in turn. Nor does it join a letter with a
-    mark after it, or mind the case of ASCII, so a word's ids are those of its core and its last
-    mark. Cores of letters alone are one pre-token each and go to the tokenizer many at once; the
-    ids that end a pre-token part them again. Both stores are bounded: a full one is emptied.
+    mark after it, or mind the case of ASCII, so marks are set apart and words lower-cased first.
+    Words of letters alone are one pre-token each and go to the tokenizer many at once; the ids
+    that end a pre-token part them again. The store of words is bounded: a full one is emptied.
     """
 
     def __init__(self, path: str):
@@ -44,53 +46,52 @@ class Encoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_cores(self, new: list[str]) -> None:
-        if len(self.cores) + len(new) > CACHED_WORDS:
-            self.cores = {"": b""}
-        single = [c for c in new if c.isalpha() and c.lower().isalpha()]
-        for at in range(0, len(single), JOINED):
-            part = single[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):  # a letter that this tokenizer's tables do not count as one
-                self.cores.update(zip(part, self._plain(part)))
-                continue
-            raw, stops = ids.tobytes(), (4 * ends).tolist()
-            self.cores.update((c, raw[i:j]) for c, i, j in zip(part, [0, *stops], stops))
-        rest = [c for c in new if not (c.isalpha() and c.lower().isalpha())]
-        self.cores.update(zip(rest, self._plain(rest)))
 
-    def _learn(self, new: set[str]) -> None:
-        parts = {}
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember words, letters alone in few calls, others one by one."""
+        words, single, rest = self.words, [], []
         for w in new:
-            core, mark = (w[:-1], w[-1]) if w[-1] in MARKS and w[-2:-1].isalpha() else (w, "")
-            parts[w] = core.lower() if core.isascii() and SPECIAL not in core else core, mark
-        wanted = {c for c, _ in parts.values()} | set(MARKS)
-        self._learn_cores(sorted(wanted - self.cores.keys()))
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words = {"": b""}
-        cores = self.cores
-        for w, (core, mark) in parts.items():
-            self.words[w] = cores[core] + cores[mark]
+            (single if w.isalpha() and (w.isascii() or w.lower().isalpha()) else rest).append(w)
+        parts = [single[at : at + JOINED] for at in range(0, len(single), JOINED)]
+        for at in range(0, len(parts), 50):
+            some = parts[at : at + 50]
+            for part, ids in zip(some, self._plain([" ".join(part) for part in some])):
+                stops = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+                if len(stops) != len(part):  # a letter that this tokenizer's tables do not count as one
+                    words.update(zip(part, (i.tobytes() for i in self._plain(part))))
+                    continue
+                raw = ids.tobytes()
+                words.update((w, raw[i:j]) for w, i, j in zip(part, [0, *stops], stops))
+        words.update(zip(rest, (i.tobytes() for i in self._plain(rest))))
+
+    @staticmethod
+    def eased(text: str) -> str:
+        """A text with the same ids and fewer different words: marks that stand alone are set apart,
+        and ASCII is in lower case. Two marks side by side are one pre-token and stay together."""
+        plain = text.isascii()
+        if plain:
+            kinds = text.encode().translate(KINDS)
+            runs = b"!!" in kinds or b"_" in kinds
+        else:
+            runs = RUN.search(text) is not None
+        if not runs:
+            text = text.replace(",", " ,").replace(".", " .")
+        return text.lower() if plain and SPECIAL not in text else text
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self.eased(t).replace("\n", " ").split(" ") for t in texts]
         every = set().union(*split)
         new = every - self.words.keys()
-        if new and len(self.words) + len(new) > CACHED_WORDS:
-            new = every - {""}
-        if new:
-            self._learn(new)
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.words, new = {"": b""}, every - {""}
+        self._learn(sorted(new))
         known = self.words.__getitem__
         out = [b"".join(map(known, words)) for words in split]
-        for store in (self.words, self.cores):
-            for w in [w for w in new if len(w) > CACHED_CHARS]:
-                store.pop(w, None)
+        for w in [w for w in new if len(w) > CACHED_CHARS]:
+            del self.words[w]
         return out
 
 
