@@ -56,40 +56,45 @@ def quantised(v: np.ndarray) -> np.ndarray:
     return np.round(v / np.linalg.norm(v, axis=1, keepdims=True) * UNIT).astype(np.int32)
 
 
-def compare(rows: dict[str, np.ndarray], side: np.ndarray, block: int, plan: Blocks, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(rows: dict[str, np.ndarray], z: np.ndarray, side: np.ndarray, block: int, plan: Blocks, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """(links of each row, weighted by copies; label of its local component) among the pairs that
     belong to this block: within its budget, and within no earlier block's.
 
-    side: 0 for rows compared with each other and with side 1, which are not compared among themselves.
+    Rows are in order of the block's first axis, so those within reach of some are a slice; side 0
+    comes before side 1, whose rows are not compared among themselves. Squared distances of a slice
+    are one product in single precision against a slightly larger budget; what remains is checked
+    exactly, and then by the cosine in double precision.
     """
-    v, q, weight, same = rows["v"], rows["q"], rows["w"], rows["part"]
-    z = plan.rotated(q)
-    p = plan.parts[block]
-    own = z[:, p]
-    norm = (own**2).sum(1)
+    v, weight, same = rows["v"], rows["w"], rows["part"]
+    own = z[:, plan.parts[block]]
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     n = len(v)
-    links, label = np.zeros(n, dtype=np.int64), np.arange(n)
-    homes = np.flatnonzero(side == 0)
-    for at in range(0, len(homes), ROWS):
-        i = homes[at : at + ROWS]
-        gap = norm[i][:, None] + norm - 2 * own[i] @ own.T
-        # of two homes the pair counts once; parts (i, j) of a split cell meet here only crosswise
-        take = (gap <= plan.budget[block]) & ((side == 1) | (np.arange(n) > i[:, None]))
-        if rows["cross"]:
-            take &= same[i][:, None] != same
-        a, b = np.nonzero(take)
-        a = i[a]
-        for lo in range(0, len(a), 200_000):
-            x, y = a[lo : lo + 200_000], b[lo : lo + 200_000]
+    links, label = np.zeros(n), np.arange(n)
+    small = own / plan.scale
+    norm = (small**2).sum(1, keepdims=True)
+    left = np.hstack([small, norm, np.ones((n, 1))]).astype("f4")
+    right = np.ascontiguousarray(np.hstack([-2 * small, np.ones((n, 1)), norm]).astype("f4").T)
+    limit = np.float32(plan.budget[block] / plan.scale**2 * (1 + 1e-4) + 1e-5)
+    homes = int((side == 0).sum())
+    for at in range(0, homes, ROWS):
+        end = min(at + ROWS, homes)
+        stop = int(np.searchsorted(own[:, 0], own[end - 1, 0] + plan.width[block], "right"))
+        hit = np.flatnonzero(left[at:end] @ right[:, at:stop] <= limit)
+        a, b = hit // (stop - at) + at, hit % (stop - at) + at
+        keep = b > a  # each pair once
+        if rows["cross"]:  # the two parts of a split cell meet here only crosswise
+            keep &= same[a] != same[b]
+        a, b = a[keep], b[keep]
+        for lo in range(0, len(a), 100_000):
+            x, y = a[lo : lo + 100_000], b[lo : lo + 100_000]
             true = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
             x, y = x[true], y[true]
+            mine = ((own[x] - own[y]) ** 2).sum(1) <= plan.budget[block]
             for earlier in range(block):
                 e = plan.parts[earlier]
-                free = ((z[x, e] - z[y, e]) ** 2).sum(1) > plan.budget[earlier]
-                x, y = x[free], y[free]
-            np.add.at(links, x, weight[y])
-            np.add.at(links, y, weight[x])
+                mine &= ((z[x, e] - z[y, e]) ** 2).sum(1) > plan.budget[earlier]
+            x, y = x[mine], y[mine]
+            links += np.bincount(x, weight[y], n) + np.bincount(y, weight[x], n)
             while len(x):
                 lx, ly = label[x], label[y]
                 apart = lx != ly
@@ -98,7 +103,7 @@ def compare(rows: dict[str, np.ndarray], side: np.ndarray, block: int, plan: Blo
                 np.minimum.at(label, np.maximum(lx, ly)[apart], np.minimum(lx, ly)[apart])
                 while (label[label] != label).any():
                     label = label[label]
-    return links, label
+    return links.astype(np.int64), label
 
 
 def linked_vectors(table: DataFrame, cosine: float = 0.9, blocks: int = 4) -> DataFrame:
@@ -161,11 +166,12 @@ def linked_vectors(table: DataFrame, cosine: float = 0.9, blocks: int = 4) -> Da
 
     def join(key, t):
         block, p, r = key[0].as_py(), key[2].as_py(), key[3].as_py()
-        order = np.argsort(t.column("node").to_numpy(), kind="stable")
-        t = t.take(pa.array(order))
-        node = t.column("node").to_numpy()
-        data = {"v": matrix(t.column("v"), d, "f8"), "q": matrix(t.column("q"), d, "i4"), "w": t.column("w").to_numpy(), "part": t.column("part").to_numpy(), "cross": p != r}
-        links, label = compare(data, t.column("side").to_numpy(), block, plan, cosine)
+        q = matrix(t.column("q"), d, "i4")
+        z = plan.rotated(q)
+        order = np.lexsort((t.column("node").to_numpy(), z[:, plan.parts[block].start]))
+        z, node = z[order], t.column("node").to_numpy()[order]
+        data = {"v": matrix(t.column("v"), d, "f8")[order], "w": t.column("w").to_numpy()[order].astype("f8"), "part": t.column("part").to_numpy()[order], "cross": p != r}
+        links, label = compare(data, z, t.column("side").to_numpy()[order], block, plan, cosine)
         some = (links > 0) | (label != np.arange(len(node)))
         return pa.table([node[some], links[some], node[label[some]]], schema=result)
 
@@ -186,3 +192,13 @@ def _left_out(ids: DataFrame, d: int) -> DataFrame:
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(F.coalesce(x, F.lit(0.0))) | (F.abs(F.coalesce(x, F.lit(0.0))) == float("inf")))
     zero = ~F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     return ids.where(F.col("embedding").isNull() | F.col("vec_id").isNull() | F.coalesce(odd, F.lit(True)) | zero | (F.size("embedding") != d))
+
+
+ORACLE = """
+WITH RECURSIVE good AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM good UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT v.vec_id, coalesce(l.n, 0) AS n_links, coalesce(m.c, v.vec_id) AS component_id, coalesce(m.c, v.vec_id) = v.vec_id AS kept
+FROM embeddings v LEFT JOIN links l ON l.a = v.vec_id LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = v.vec_id
+"""
