@@ -78,4 +78,4 @@ QUERIES = {
         op10_language_id,
     )
 }
-ORACLES = {"op3_mixing": mixing.ORACLE, "op6_line_dedup": linededup.ORACLE}
+ORACLES = {"op3_mixing": mixing.ORACLE, "op6_line_dedup": linededup.ORACLE, "op7_embedding_dedup": embdedup.ORACLE}
