@@ -309,7 +309,12 @@ def q_half_repetition(spark, sf_dir):
 
 @query()
 def q_sentence_repetition(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.sentence_repetition(F.col("text")), 6).alias("repetition"))
+    """Texts of few sentences by an expression, the others by a join of their sentences."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("r", text.sentence_repetition(F.col("text")))
+    long_ = d.where("r is null and text is not null").select(F.col("doc_id").alias("doc"), F.posexplode(text.sentences(F.col("text"), 15)).alias("pos", "s"))
+    pairs = resolve.sentence_pairs(long_.select("doc", "pos", text.ngrams(text.words(F.lower("s")), 3).alias("grams")))
+    rest = pairs.select(F.col("doc").alias("doc_id"), text.share(F.col("repeated"), F.col("pairs")).alias("joined"))
+    return d.join(rest, "doc_id", "left").select("doc_id", F.round(F.coalesce("r", "joined"), 6).alias("repetition"))
 
 
 _WORDS = ["the", "and", "of", "for", "que", "der", "die", "les"]
@@ -571,20 +576,25 @@ def q_bag_anti(spark, sf_dir):
     return resume.pending_copies(d, d.where("doc_id % 2 = 1"), "fp", "doc_id").select("doc_id", "fp")
 
 
-@query("""WITH f AS (SELECT event_id AS i, epoch_us(ts) / 1e6::DOUBLE AS t FROM events WHERE event_id % 40 = 0), p AS (SELECT event_id AS point_id, epoch_us(ts) / 1e6::DOUBLE AS t FROM events WHERE event_id % 7 = 3),
-g AS (SELECT point_id, abs(f.t - p.t) AS gap, f.i FROM p, f) SELECT point_id, arg_min(i, struct_pack(gap := gap, i := i)) AS frame_index, round(min(gap), 3) AS gap FROM g GROUP BY point_id""")
+@query("""WITH f AS (SELECT epoch_us(ts) / 1e6::DOUBLE AS t, min(event_id) AS i FROM events GROUP BY 1), p AS (SELECT event_id AS point_id, epoch_us(ts) / 1e6::DOUBLE + 7.25::DOUBLE AS t FROM events),
+b AS (SELECT p.point_id, p.t, f.t AS bt, f.i AS bi FROM p ASOF LEFT JOIN f ON p.t >= f.t), a AS (SELECT p.point_id, f.t AS nt, f.i AS ai FROM p ASOF LEFT JOIN f ON p.t <= f.t)
+SELECT b.point_id, CASE WHEN nt IS NULL OR t - bt < nt - t OR (t - bt = nt - t AND bi < ai) THEN bi ELSE ai END AS frame_index, round(least(coalesce(t - bt, 1e18), coalesce(nt - t, 1e18)), 3)::DOUBLE AS gap FROM b JOIN a ON a.point_id = b.point_id""")
 def q_nearest_frame(spark, sf_dir):
+    """Each event, a little later, with the event nearest in time."""
     e = table(spark, sf_dir, "events").select("event_id", (F.unix_micros("ts") / F.lit(1e6)).alias("t"))
-    frames = e.where("event_id % 40 = 0").select(F.col("event_id").alias("frame_index"), F.col("t").alias("ts"))
-    points = e.where("event_id % 7 = 3").select(F.col("event_id").alias("point_id"), "t")
+    frames = e.select(F.col("event_id").alias("frame_index"), F.col("t").alias("ts"))
+    points = e.select(F.col("event_id").alias("point_id"), (F.col("t") + F.lit(7.25)).alias("t"))
     return resolve.nearest(points, frames, 3600.0).select("point_id", "frame_index", F.round("gap", 3).alias("gap"))
 
 
-@query(f"""WITH {STEPS}, t AS (SELECT item, step_id, {_TERMS('step_goal')} AS k FROM steps), x AS (SELECT DISTINCT a.item, a.step_id FROM t a JOIN t b ON a.item = b.item AND b.step_id % 2 = 0 AND a.step_id % 2 = 1 AND len(a.k) > 0 AND len(b.k) > 0
-AND len(list_intersect(a.k, b.k))::DOUBLE / least(len(a.k), len(b.k)) > 0.75) SELECT item, step_id FROM steps WHERE step_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM x WHERE x.item = steps.item AND x.step_id = steps.step_id)""")
+@query(f"""WITH {STEPS}, p AS (SELECT item, step_id, step_goal, lag(step_goal) OVER (PARTITION BY item ORDER BY step_id) AS prev FROM steps), t AS (SELECT item, step_id, {_TERMS('step_goal')} AS x, {_TERMS("coalesce(prev, '')")} AS y FROM p)
+SELECT item, step_id FROM t WHERE least(len(x), len(y)) = 0 OR len(list_intersect(x, y))::DOUBLE / least(len(x), len(y)) <= 0.75""")
 def q_cross_task_removal(spark, sf_dir):
-    s = V.steps(spark, sf_dir).select("item", "step_id", F.concat_ws("-", "item", "step_id").alias("row_id"), F.col("step_goal").alias("answer"))
-    return resolve.overlapping_rows(s.where("step_id % 2 = 1"), s.where("step_id % 2 = 0"), ["item"]).select("item", "step_id")
+    """Two answers for each step, its own goal and the one before; the first goes if they nearly agree."""
+    s = steps.neighbours(V.steps(spark, sf_dir))
+    a = s.select("item", "step_id", F.concat_ws("-", "item", "step_id").alias("row_id"), F.col("step_goal").alias("answer"))
+    b = s.where("prev_goal is not null").select("item", "step_id", F.col("prev_goal").alias("answer"))
+    return resolve.overlapping_rows(a, b, ["item", "step_id"]).select("item", "step_id")
 
 
 @query(f"""WITH {STEPS}, f AS (SELECT item, step_id, CASE WHEN step_id % 5 = 0 THEN step_id + 100 ELSE step_id END AS k, CASE WHEN step_id % 3 = 0 THEN 2 ELSE 1 END AS n FROM steps), s AS (SELECT item, k, sum(n) AS n FROM f GROUP BY 1, 2)
