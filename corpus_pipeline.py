@@ -29,8 +29,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (operator 4), that of the smallest doc_id."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """One document of each group of near copies (five-word shingles, Jaccard index of 0.8 or more), that of the smallest doc_id."""
+    return simhash.keep_one_near(docs.select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import settle, small_batches, whole_groups
+from quern.llm.common import about, settle, small_batches, whole_groups
 from quern.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -243,3 +243,163 @@ def keep_one(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
     if groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").head(1):
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))
+
+
+SHARE = (4, 5)  # least Jaccard index of near copies, in whole numbers
+FEW = 32  # sets under one key that are compared each with each at once
+
+
+def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """XXH64 of all word shingles of a whole text, in order and with repeats; words are those of `fingerprint`."""
+    parts = text.encode().translate(LOWER).split() if text else []
+    joined = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([xxhash.xxh64_intdigest(joined, seed)] if parts else [], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)
+    starts = (ends - np.diff(ends, prepend=0)).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends - 1).tolist()[words - 1 :])], dtype=np.uint64)
+
+
+def _majority(h: np.ndarray) -> int:
+    """The SimHash of shingle hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def _prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many distinct shingles, rare ones first, that sets of an index of SHARE or more have one of them in common.
+
+    Sets must share SHARE of the larger one at least, so less than the rest plus one cannot be all
+    that differs. Any order that is one for all texts will do; `common` (sorted) come last.
+    """
+    h = np.unique(h)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
+    return h[: len(h) - -(-SHARE[0] * len(h) // SHARE[1]) + 1]
+
+
+def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, with counts. They only order prefixes; no result depends on them."""
+
+    def each(batches):
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t, words)).view(np.int64), pa.int64())], names=["h"])
+
+    seen = about(docs.select("doc_id", "text"), 20_000, "doc_id").select("text").mapInArrow(each, "h long").groupBy("h").count()
+    got = seen.where("count >= 5").orderBy(F.desc("count"), "h").limit(50_000).toArrow()
+    h, n = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _same_key(rows: DataFrame, few: int) -> DataFrame:
+    """(key, node, n, few) of keys that stand in two sets or more; few: the key has at most `few`."""
+
+    def each(batches):
+        for t in whole_groups(batches, "key"):
+            key = t.column("key").to_numpy()
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[starts, len(key)])
+            size = np.repeat(size, size)
+            t = t.append_column("few", pa.array(size <= few)).filter(pa.array(size > 1))
+            yield from t.combine_chunks().to_batches()
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(each, "key long, node long, n int, few boolean")
+
+
+def _close(a: str, b: str) -> Column:
+    """Sets of these sizes can have the index."""
+    return F.least(a, b) * SHARE[1] >= F.greatest(a, b) * SHARE[0]
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The pairs (u, v) of sets whose Jaccard index is SHARE or more, by all their shingles."""
+
+    def each(batches):
+        for b in batches:
+            sets = [np.unique(shingles(t, words)).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "h"])
+
+    pairs = settle(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    asked = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct()
+    place = rows.join(asked, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("p")).select("sid", F.col("p.doc_id").alias("_doc"), F.col("p.text_key").alias("_key"))
+    texts = docs.select("doc_id", "text").join(settle(place), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_key"))).select("sid", "text")
+    sets = settle(texts.mapInArrow(each, "sid long, h array<long>").dropDuplicates(["sid"]))
+    both = pairs.join(sets.select(F.col("sid").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("sid").alias("v"), F.col("h").alias("b")), "v")
+    same = F.size(F.array_intersect("a", "b"))
+    return settle(both.where(same * SHARE[1] >= (F.size("a") + F.size("b") - same) * SHARE[0]).select("u", "v"))
+
+
+def near_copies(docs: DataFrame, words: int = 5, most: int = 4, few: int = FEW) -> DataFrame:
+    """(doc_id, text_key, component) of every row with a doc_id: texts linked by steps of a Jaccard index of 0.8 or more.
+
+    SimHash words within `most` bits (Gray-order index) and, since at 0.8 they differ in more, all
+    sets that share a shingle of their prefixes are candidates: no pair is missed. Each is checked by
+    its shingles. Keys with more than `few` sets give stars first, each key its own centre; then
+    their sets that are not yet linked are compared each with each.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+
+    def summary(batches):
+        for b in batches:
+            sid, n, fp = [], [], []
+            for t in b.column("text").to_pylist():
+                h = shingles(t, words)
+                s = np.unique(h)
+                sid.append(xxhash.xxh64_intdigest(s.tobytes()))
+                n.append(len(s))
+                fp.append(_majority(h) if len(h) else 0)
+            made = [pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64()) for x in (sid, fp)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), made[0], pa.array(n, pa.int32()), made[1]], names=["doc_id", "text_key", "sid", "n", "fp"])
+
+    rows = settle(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(summary, "doc_id long, text_key long, sid long, n int, fp long"))
+    common, counts = _common(docs, words)
+
+    def prefixes(batches):
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                h = shingles(t, words)
+                s = np.unique(h)
+                key = _prefix(s, common, counts)
+                sid = np.array([xxhash.xxh64_intdigest(s.tobytes())], dtype=np.uint64).view(np.int64)[0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64), pa.int64()), pa.array(np.full(len(key), sid), pa.int64()), pa.array(np.full(len(key), len(s)), pa.int32())], names=["key", "node", "n"]
+                )
+
+    shared = settle(_same_key(docs.select("text").mapInArrow(prefixes, "key long, node long, n int").distinct(), few))
+    nodes = settle(rows.groupBy("fp").agg(F.min("sid").alias("node")))
+    gray = near_edges(nodes, most).unionByName(rows.join(nodes, "fp").select(F.col("sid").alias("u"), F.col("node").alias("v")).where("u <> v"))
+    a, b = shared.alias("a"), shared.alias("b")
+    each = a.join(b, F.expr("a.key = b.key and a.node < b.node and a.few and b.few")).where(_close("a.n", "b.n")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    many = shared.where("not few")
+    centre = many.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("key", "node")).alias("c"))
+    stars = many.join(centre, "key").where(_close("n", "c.n")).select(F.col("node").alias("u"), F.col("c.node").alias("v"))
+    edges = _verified(gray.unionByName(each).unionByName(stars), rows, docs, words)
+    found = components(edges)
+    if many.head(1):
+        labelled = settle(many.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        x, y = labelled.alias("x"), labelled.alias("y")
+        rest = x.join(y, F.expr("x.key = y.key and x.node < y.node and x.component <> y.component")).where(_close("x.n", "y.n")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+        edges = edges.unionByName(_verified(rest, rows, docs, words))
+        found = components(edges)
+    named = found.withColumnRenamed("node", "sid")
+    return rows.join(named, "sid", "left").select("doc_id", "text_key", F.coalesce("component", "sid").alias("component"))
+
+
+def keep_one_near(docs: DataFrame, words: int = 5, most: int = 4, few: int = FEW) -> DataFrame:
+    """docs without all but one row of each group of near copies (Jaccard index of 0.8 or more); columns as they came.
+
+    The row with the smallest doc_id stays. Rows without a doc_id all stay.
+    """
+    groups = settle(near_copies(docs, words, most, few))
+    kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("p")).select(F.col("p.doc_id").alias("_doc"), F.col("p.text_key").alias("_key"))
+    out = docs.join(kept, (docs.doc_id == F.col("_doc")) & (F.xxhash64(docs.text) == F.col("_key")), "left_semi")
+    if groups.groupBy("doc_id", "text_key").count().where("count > 1").head(1):
+        out = out.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return out.unionByName(docs.where("doc_id is null"))

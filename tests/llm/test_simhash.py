@@ -104,3 +104,31 @@ def test_groups_with_edge_cases(spark, documents):
 def test_long_text():
     text = "alpha beta gamma delta epsilon " * 60_000
     assert simhash.fingerprint(text) == slow_fingerprint("alpha beta gamma delta epsilon " * 50) or simhash.fingerprint(text) >= 0
+
+
+def test_near_copies_match_brute_force(spark, documents):
+    rng = random.Random(5)
+    rows = [(0, None), (1, ""), (2, "few words"), (3, "Few  words"), (3, "few words"), (4, "x " * 40)]
+    for g in range(25):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(30, 200))]
+        for _ in range(4):
+            t = list(base)
+            for at in rng.sample(range(len(t)), rng.randint(0, max(1, len(t) // 35))):
+                t[at] = f"v{rng.randint(0, 5000)}"
+            rows.append((len(rows) + 10, " ".join(t)))
+    sets = [frozenset(simhash.shingles(t).tolist()) for _, t in rows]
+    label = list(range(len(rows)))
+    beyond = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                beyond += bin(slow_fingerprint(rows[i][1], 5) ^ slow_fingerprint(rows[j][1], 5)).count("1") > 4
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert beyond > 20  # op4's radius misses these
+    want = sorted(min(rows[i][0] for i in range(len(rows)) if label[i] == c) for c in set(label))
+    for few in (32, 2):  # the second compares by stars first
+        assert sorted(r.doc_id for r in simhash.keep_one_near(documents(rows), few=few).collect()) == want
+    assert len(simhash.keep_one(documents(rows)).collect()) > len(want)
+    assert simhash.keep_one_near(documents([])).count() == 0
+    assert all(simhash._majority(simhash.shingles(t, 4)) == simhash.fingerprint(t) for _, t in rows if t)
