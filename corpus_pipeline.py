@@ -24,8 +24,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines (operator 6); n_chars follows. Every row stays."""
-    return linededup.dedup_lines(docs.select(*COLUMNS)).select(*COLUMNS)
+    """Texts without later repeated runs of lines (operator 6, matches extended both ways); n_chars follows. Every row stays."""
+    return linededup.dedup_lines(docs.select(*COLUMNS), extend=True).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,22 +10,35 @@ from quern.llm.common import settle
 MIN_WORDS = 10
 
 
-def _windows(lines: Column, weights: Column, hashes: Column, least: int) -> Column:
-    """For each line the shortest run from it on that has `least` words, with its fingerprint.
+def _windows(lines: Column, weights: Column, hashes: Column, least: int, extend: bool) -> Column:
+    """For each line the shortest run from it on that has `least` words and, to extend, the shortest up to it, with fingerprints.
 
-    A line has one word at least, so a run has at most `least` lines. The run's fingerprint is the
-    smallest of its line hashes: equal runs select the same line, wherever they stand.
+    A line of a longer repeated run is in a repeated run of one of the two kinds: shorten the run
+    at both ends as long as it holds the line and enough words. So matches reach as far both ways
+    as lines are equal. A line has one word at least, so a run has at most `least` lines. The run's
+    fingerprint is the smallest of its line hashes: equal runs select the same line, wherever they stand.
     """
 
-    def window(s: Column) -> Column:
-        found = F.aggregate(
-            F.slice(weights, s, F.lit(least)),
+    def shortest(near: Column) -> Column:
+        return F.aggregate(
+            near,
             F.struct(F.lit(0).alias("w"), F.lit(0).alias("k")),
             lambda a, x: F.when(a["w"] >= least, a).otherwise(F.struct((a["w"] + x).alias("w"), (a["k"] + 1).alias("k"))),
         )
+
+    def onward(s: Column) -> Column:
+        found = shortest(F.slice(weights, s, F.lit(least)))
         return F.struct(s.alias("s"), F.when(found["w"] >= least, found["k"]).alias("k"))
 
-    whole = F.filter(F.transform(F.sequence(F.lit(1), F.size(lines)), window), lambda x: x["k"].isNotNull())
+    def back(e: Column) -> Column:
+        start = F.greatest(F.lit(1), e - (least - 1))
+        found = shortest(F.reverse(F.slice(weights, start, e - start + 1)))
+        # one that has too few words without its last line is a run of the first kind
+        return F.struct((e - found["k"] + 1).alias("s"), F.when(found["w"] - F.get(weights, e - 1) >= least, found["k"]).alias("k"))
+
+    at = F.sequence(F.lit(1), F.size(lines))
+    runs = F.concat(F.transform(at, onward), F.transform(at, back)) if extend else F.transform(at, onward)
+    whole = F.filter(runs, lambda x: x["k"].isNotNull())
 
     def full(x: Column) -> Column:
         run, low = F.slice(lines, x["s"], x["k"]), F.array_min(F.slice(hashes, x["s"], x["k"]))
@@ -41,7 +54,7 @@ def _windows(lines: Column, weights: Column, hashes: Column, least: int) -> Colu
     return F.transform(whole, full)
 
 
-def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, least: int = MIN_WORDS, extend: bool = False) -> DataFrame:
     """(doc_id, text_key, runs): the windows (s, k) of each text that stood earlier, in order.
 
     Earlier means by doc_id, then the hash of the text, then the line. Fingerprints that stand at
@@ -54,7 +67,7 @@ def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     runs = text.select("doc_id", "text_key", norm.alias("lines"))
     runs = runs.select("doc_id", "text_key", "lines", F.transform("lines", words).alias("weights"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
     windows = settle(
-        runs.select("doc_id", "text_key", F.explode(_windows(F.col("lines"), F.col("weights"), F.col("hashes"), least)).alias("x")).select("doc_id", "text_key", "x.*")
+        runs.select("doc_id", "text_key", F.explode(_windows(F.col("lines"), F.col("weights"), F.col("hashes"), least, extend)).alias("x")).select("doc_id", "text_key", "x.*")
     )
     # a fingerprint is shared if it stands at two places; their hashes are told apart without a sort
     where = F.xxhash64("doc_id", "text_key", "at")
@@ -79,17 +92,19 @@ def _without(lines: Column, runs: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), k), gap))
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, extend: bool = False) -> DataFrame:
     """docs without later repeated runs of lines; text (and n_chars, if there) follow, removed_lines is added.
 
     A repeated run is consecutive lines, equal but for case and outer blanks, that together have
     `least` words or more and stood before: in a document of smaller id or earlier in the text
     (they may overlap). Its first occurrence stays. Shorter lines stay unless a run holds them.
+    Without `extend`, as in ORACLE, a short line is held only by the shortest run from a line on that
+    has enough words, so short last lines of longer runs stay; with it every line of a run goes.
     Lines end at line feeds; words are counted by blanks. A null text stays null, an empty one
     empty; a text of repeated lines alone becomes empty, its row stays. Rows with equal id and text
     count as one document and come out alike. A null id is before all others.
     """
-    runs = repeated_runs(docs, least).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("runs").alias("_runs"))
+    runs = repeated_runs(docs, least, extend).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("runs").alias("_runs"))
     columns = docs.columns
     joined = docs.join(runs, docs.doc_id.eqNullSafe(F.col("_doc")) & (F.xxhash64(docs.text) == F.col("_key")), "left")
     lines = F.split("text", "\n")

@@ -56,3 +56,31 @@ def test_run_of_short_lines(spark, documents):
     run = "a b c\nd e f\ng h i\nj k"
     got = {r.doc_id: r.text for r in linededup.dedup_lines(documents([(1, f"x\n{run}\ny"), (2, f"{run}\nz"), (3, "a b c\nd e f")])).collect()}
     assert got[2] == "z" and got[3] == "a b c\nd e f"
+
+
+def by_definition(docs, least=linededup.MIN_WORDS):
+    """Delete each line of any run of lines, however long, that has enough words and stood earlier."""
+    seen, out = {}, {}
+    for d, t in docs:
+        raw = t.split("\n")
+        norm = [x.strip(" ").lower() for x in raw]
+        gone = set()
+        for s in range(len(raw)):
+            for e in range(s, len(raw)):
+                g = tuple(norm[s : e + 1])
+                if sum(x.count(" ") + 1 for x in g) >= least:
+                    if seen.setdefault(g, (d, s)) != (d, s):
+                        gone |= set(range(s, e + 1))
+        out[d] = "\n".join(x for i, x in enumerate(raw) if i not in gone), len(gone)
+    return out
+
+
+def test_matches_are_extended_both_ways(spark, documents):
+    rng = random.Random(9)
+    passage = "a first line that has ten words and some more of them\nshort last line"
+    lines = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 14))) for _ in range(12)]
+    docs = [(1, f"x\n{passage}\ny"), (2, f"other head\n{passage}\nother tail"), (3, "short last line")]
+    docs += [(i, "\n".join(rng.choice([rng.choice(lines), ""]) for _ in range(rng.randint(1, 14)))) for i in range(10, 110)]
+    got = {r.doc_id: (r.text, r.removed_lines) for r in linededup.dedup_lines(documents(docs), extend=True).collect()}
+    assert got[2] == ("other head\nother tail", 2) and got[3] == ("short last line", 0)
+    assert got == by_definition(docs)
