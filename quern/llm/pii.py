@@ -113,15 +113,39 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.length(digits) - 1), one), F.lit(0), lambda a, x: a + x) % 10
 
 
+def _valid_part(m: Column, plain: Callable[[Column], Column], least: int, valid: Callable[[Column], Column], made: Callable[[Column, Column], Column]) -> Column:
+    """m with the longest part (of those the first) between blanks, dashes and ends that validates replaced.
+
+    A match takes digits or capitals that only stand beside a number; `plain` is a part without its
+    marks, `made` gets the part and that. Without a valid part m stays.
+    """
+    mark = lambda i: F.substring(m, i, F.lit(1)).isin(" ", "-")
+    at = F.sequence(F.lit(1), F.length(m))
+    starts = F.filter(at, lambda i: ~mark(i) & ((i == 1) | mark(i - 1)))
+    ends = F.filter(at, lambda i: ~mark(i) & ((i == F.length(m)) | mark(i + 1)))
+
+    def part(s: Column, e: Column) -> Column:
+        return _let(plain(F.substring(m, s, e - s + 1)), lambda x: F.struct((-F.length(x)).alias("n"), s.alias("s"), e.alias("e"), x.alias("x")))
+
+    parts = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(ends, lambda e: e - s >= least - 1), lambda e: part(s, e))))
+    good = F.filter(F.filter(parts, lambda p: p["n"] <= -least), lambda p: valid(p["x"]))
+
+    def replaced(p: Column) -> Column:
+        new = made(F.substring(m, p["s"], p["e"] - p["s"] + 1), p["x"])
+        return F.concat(F.substring(m, F.lit(1), p["s"] - 1), new, F.substring(m, p["e"] + 1, F.length(m)))
+
+    return _let(F.array_min(good), lambda p: F.when(p.isNotNull(), replaced(p)).otherwise(m))
+
+
 def _card(m: Column, key: str) -> Column:
     """The first digit and the length stay, the check digit is made anew."""
 
-    def made(digits: Column) -> Column:
+    def made(form: Column, digits: Column) -> Column:
         body = F.concat(F.substring(digits, 1, 1), permuted_text(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card"))
         full = _let(body, lambda b: F.concat(b, F.pmod(-_luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
-        return F.when((_luhn(digits) == 0) & ~digits.rlike("^(.)\\1*$"), _let(full, lambda f: _refilled(m, f))).otherwise(m)
+        return _let(full, lambda f: _refilled(form, f))
 
-    return _let(_digits(m), made)
+    return _valid_part(m, _digits, 13, lambda x: (_luhn(x) == 0) & ~x.rlike("^(.)\\1*$"), made)
 
 
 def _iban_rest(text: Column) -> Column:
@@ -137,13 +161,16 @@ def _iban_rest(text: Column) -> Column:
 def _iban(m: Column, key: str) -> Column:
     """The country stays, the check digits are made anew."""
 
-    def made(plain: Column) -> Column:
+    def valid(plain: Column) -> Column:
+        return plain.rlike("^[A-Z]{2}[0-9]{2}") & (_iban_rest(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1)
+
+    def made(form: Column, plain: Column) -> Column:
         country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
         check = lambda new: F.lpad((F.lit(98) - _iban_rest(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
         full = _let(permuted_text(body, key, "iban"), lambda new: F.concat(country, check(new), new))
-        return F.when(_iban_rest(F.concat(body, F.substring(plain, 1, 4))) == 1, _let(full, lambda f: _refilled(m, f, "[^ ]"))).otherwise(m)
+        return _let(full, lambda f: _refilled(form, f, "[^ ]"))
 
-    return _let(F.replace(m, F.lit(" "), F.lit("")), made)
+    return _valid_part(m, lambda x: F.replace(x, F.lit(" "), F.lit("")), 15, valid, made)
 
 
 def _ipv4(m: Column, key: str) -> Column:

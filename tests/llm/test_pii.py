@@ -90,3 +90,12 @@ def test_another_key_gives_others(spark):
     docs = spark.createDataFrame([(1, "mail robert.smith@b.co")], "doc_id long, text string")
     assert pseudonymised(docs, "k1").first().text != pseudonymised(docs, "k2").first().text
     assert pseudonymised(docs.limit(0)).count() == 0
+
+
+def test_valid_numbers_beside_other_digits_and_capitals(spark):
+    card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    texts = [card, f"{card} 12/27", f"{card} 123", "2 4111111111111111", iban, f"{iban} BIC COBADEFF", "DE89370400440532013000 EUR 50", "4111 1111 1111 1112 123"]
+    got = [r.text for r in pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0] != card and got[1:4] == [f"{got[0]} 12/27", f"{got[0]} 123", "2 " + got[0].replace(" ", "")]
+    assert got[4] != iban and got[5:7] == [f"{got[4]} BIC COBADEFF", got[4].replace(" ", "") + " EUR 50"]
+    assert got[7] == texts[7]
