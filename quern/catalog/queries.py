@@ -816,8 +816,8 @@ def q_issue_summary(spark, sf_dir):
 SELECT u.user_id, coalesce(string_agg(e.event_type, ',' ORDER BY e.event_type) FILTER (WHERE t.user_id IS NULL), '') AS missing FROM u CROSS JOIN e LEFT JOIN t ON t.user_id = u.user_id AND t.event_type = e.event_type GROUP BY u.user_id""")
 def q_missing_tasks(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    kinds = sorted({r.event_type for r in e.select("event_type").distinct().limit(1000).collect()} | {"refund"})
-    return evaluate.missing_groups(e, "user_id", "event_type", kinds).select("user_id", F.array_join("missing", ",").alias("missing"))
+    kinds = e.select("event_type").where("event_type is not null").union(spark.createDataFrame([("refund",)], "event_type string")).distinct()
+    return evaluate.missing_from(e, "user_id", "event_type", kinds).select("user_id", F.array_join("missing", ",").alias("missing"))
 
 
 @query(f"""WITH {REWARDS}, o AS (SELECT item, step_id, response, list_distinct(list_filter(regexp_extract_all(lower(step_goal), '\\S+'), lambda w: length(w) >= 4)) AS k FROM rewards),

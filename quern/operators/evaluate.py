@@ -98,6 +98,15 @@ def missing_groups(rows: DataFrame, item: str, group: str, expected: list[str])
     return have.select(item, F.array_sort(F.array_except(F.array(*[F.lit(x) for x in expected]), F.col("have"))).alias("missing"))
 
 
+def missing_from(rows: DataFrame, item: str, group: str, expected: DataFrame) -> DataFrame:
+    """Groups of the table `expected` that an item has no row of; items without one have an empty list."""
+    items, have = rows.select(item).distinct(), rows.select(item, group).distinct()
+    pair, seen = items.crossJoin(expected).alias("p"), have.alias("h")
+    lacking = pair.join(seen, F.col(f"p.{item}").eqNullSafe(F.col(f"h.{item}")) & (F.col(f"p.{group}") == F.col(f"h.{group}")), "left_anti")
+    lists = lacking.groupBy(F.col(item).alias("_item")).agg(F.array_sort(F.collect_list(group)).alias("missing"))
+    return items.join(lists, items[item].eqNullSafe(F.col("_item")), "left").select(item, F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+
+
 def fill_rate(rows: DataFrame, value: str, most_missing: float = 0.05) -> DataFrame:
     out = rows.agg(F.count(F.lit(1)).alias("total"), F.count(value).alias("filled"))
     return out.withColumns({"missing": F.col("total") - F.col("filled"), "fill_rate": _ratio("filled", "total")}).withColumn("failed", F.col("missing") > F.col("total") * most_missing)

@@ -46,3 +46,12 @@ def test_matches_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES) - {"q_trace_validate"}))
 def test_runs(spark, name):
     assert Q.QUERIES[name](spark, str(SF)).count() > 0
+
+
+def test_missing_tasks_has_no_bound_on_types(spark, tmp_path):
+    from quern.catalog import queries as catalog
+
+    spark.createDataFrame([(1, f"t{i:04d}") for i in range(1500)] + [(2, "t0000"), (3, "refund")], "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.missing for r in catalog.QUERIES["q_missing_tasks"](spark, str(tmp_path)).collect()}
+    types = [f"t{i:04d}" for i in range(1500)]
+    assert got == {1: "refund", 2: ",".join(["refund", *types[1:]]), 3: ",".join(types)}
