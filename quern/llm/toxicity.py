@@ -47,8 +47,8 @@ def features(text: str | None) -> set[int]:
     return out
 
 
-def counterfactuals(text: str | None, each: int = 2) -> list[tuple[set[int], set[int]]]:
-    """(features only of the sentence, features only of it with swapped terms) for sentences that name a group."""
+def counterfactuals(text: str | None) -> list[tuple[set[int], set[int]]]:
+    """(features only of the sentence, features only of it with swapped terms) for sentences that name a group, with every other term of the row."""
     out = []
     low = text.lower() if text else ""
     if not any(t in low for t in SWAPS):
@@ -58,7 +58,7 @@ def counterfactuals(text: str | None, each: int = 2) -> list[tuple[set[int], set
         if not SWAPS.keys() & set(words):
             continue
         old = set().union(*map(word_features, words))
-        for k in range(each):
+        for k in range(max(len(SWAPS[w]) for w in words if w in SWAPS)):
             new = set().union(*(word_features(SWAPS[w][k % len(SWAPS[w])] if w in SWAPS else w) for w in words))
             out.append((old - new, new - old))
     return out

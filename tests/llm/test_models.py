@@ -143,3 +143,11 @@ def test_remembered_words_equal_whole_reading():
                 total, n = total + q.sum((0, 1)), n + len(part)
     for _ in range(2):
         assert np.allclose(model.pooled([text, None, ""]), [total / n, [0, 0], [0, 0]], atol=1e-6)
+
+
+def test_every_other_term_of_a_row_is_swapped_in():
+    from quern.llm.toxicity import SWAPS, counterfactuals, word_features
+
+    for term, others in SWAPS.items():
+        won = [b for _, b in counterfactuals(f"we met {term} there")]
+        assert len(won) == len(others) and all(any(word_features(o)[0] in b for b in won) for o in others)
