@@ -37,6 +37,42 @@ def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
     return F.coalesce(fold(modulus, key) == F.lit(remainder), F.lit(True))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to meet no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x worked out once, however often it stands in it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+MARKS = 1 << 20  # bits of a set of marks
+
+
+def marks(keys: DataFrame, *columns: str) -> bytes:
+    """A bit for the hash of each row's columns. The set has MARKS bits, whatever the number of rows."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(MARKS))
+    bits = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 8).cast("int").alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod("at", F.lit(8)).cast("int"))).alias("bits"))
+    out = bytearray(MARKS // 8)
+    for r in bits.collect():
+        out[r.byte] = r.bits
+    return bytes(out)
+
+
+def marked(bits: bytes, *columns: Column) -> Column:
+    """False only for rows that are not in the set; of others some are true by chance, more of them as the set fills."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(MARKS))
+    byte = F.conv(F.hex(F.substring(F.lit(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+
+
 def about(df: DataFrame, n: int, *key: str) -> DataFrame:
     """All rows if there are at most n, else a hash-chosen share of n rows expected.
 
