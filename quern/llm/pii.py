@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import let, unused
+
 ROUNDS = 8
 FIRST_DAY, DAYS = "1700-01-01", 146_097  # one whole cycle of the calendar, 189 * 773 days
 IBAN_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # What is looked for, in order of precedence at one place (Java regular expressions).
+# Java matches a repeated group by recursion, so each has a bound; names and labels have those of mail and host names.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}+\.){1,126}[A-Za-z]{2,63}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "ymd": r"(?<![0-9./-])[0-9]{4}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?![0-9]|[./-][0-9])",
@@ -26,11 +29,6 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
-def _let(x: Column, use: Callable[[Column], Column]) -> Column:
-    """use(x) with x worked out once, however often it stands in it."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
-
-
 def _number(key: str, tag: str, round_: Column, half: Column) -> Column:
     """Round function: 60 bits of a keyed sha-256 of the other half."""
     return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit(tag), round_.cast("string"), half.cast("string")), 256), 1, 15), 16, 10).cast("long")
@@ -50,12 +48,31 @@ def permuted(value: Column, high: int, low: int, key: str, tag: str) -> Column:
     )
 
 
-def permuted_text(text: Column, key: str, tag: str) -> Column:
+def _class(code: Column) -> tuple[Column, Column]:
+    """The first of the characters that one of this code may become, and their number; 0 and 1 for others."""
+    first = F.when(code.between(48, 57), 48).when(code.between(97, 122), 97).when(code.between(65, 90), 65).otherwise(0)
+    return first, F.when(code.between(48, 57), 10).when(first > 0, 26).otherwise(1)
+
+
+def _permuted_character(c: Column, key: str, tag: Column) -> Column:
+    """A character alone has no other half to move by: its class is put in the order of keyed hashes."""
+
+    def one(code: Column) -> Column:
+        first, size = _class(code)
+        order = F.array_sort(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.struct(F.sha2(F.concat_ws(":", F.lit(key), tag, F.lit("one"), i.cast("string")), 256).alias("h"), i.alias("i"))))
+        return F.when(first > 0, F.char(first + F.get(order, code - first)["i"])).otherwise(c)
+
+    return let(F.ascii(c), one)
+
+
+def permuted_text(text: Column, key: str, tag: str | Column) -> Column:
     """A keyed permutation of strings of one form: digits stay digits, letters keep their case, all else stays.
 
     Feistel rounds over the two halves; each character moves inside its class by a byte of the hash
-    of the other half, of which bytes are reused after 32 characters.
+    of the other half, of which bytes are reused after 32 characters. Case takes no part in the hash,
+    so strings that differ in case alone become such strings.
     """
+    tag = F.lit(tag) if isinstance(tag, str) else tag
 
     def moved(half: Column, other: Column, r: Column) -> Column:
         def under(digest: Column) -> Column:
@@ -63,19 +80,18 @@ def permuted_text(text: Column, key: str, tag: str) -> Column:
                 step = F.conv(F.substring(digest, F.lit(1) + F.lit(2) * F.pmod(i - 1, F.lit(32)), F.lit(2)), 16, 10).cast("int")
 
                 def shift(code: Column) -> Column:
-                    first = F.when(code.between(48, 57), 48).when(code.between(97, 122), 97).when(code.between(65, 90), 65).otherwise(0)
-                    size = F.when(code.between(48, 57), 10).when(code.between(97, 122) | code.between(65, 90), 26).otherwise(1)
+                    first, size = _class(code)
                     return F.when(first > 0, F.char(first + F.pmod(code - first + step, size)))
 
-                return _let(F.substring(half, i, F.lit(1)), lambda c: F.coalesce(_let(F.ascii(c), shift), c))
+                return let(F.substring(half, i, F.lit(1)), lambda c: F.coalesce(let(F.ascii(c), shift), c))
 
             return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(half))), one), "")
 
-        digest = F.sha2(F.concat_ws(":", F.lit(key), F.lit(tag), r.cast("string"), other), 256)
-        return F.when(F.length(half) > 0, _let(digest, under)).otherwise(F.lit(""))
+        digest = F.sha2(F.concat_ws(":", F.lit(key), tag, r.cast("string"), F.lower(other)), 256)
+        return F.when(F.length(half) > 0, let(digest, under)).otherwise(F.lit(""))
 
     cut = F.floor(F.length(text) / 2).cast("int")
-    return F.aggregate(
+    rounds = F.aggregate(
         F.sequence(F.lit(1), F.lit(ROUNDS)),
         F.struct(F.substring(text, F.lit(1), cut).alias("a"), F.substring(text, cut + 1, F.length(text)).alias("b")),
         lambda s, r: F.when(r % 2 == 1, F.struct(moved(s["a"], s["b"], r).alias("a"), s["b"].alias("b"))).otherwise(
@@ -83,6 +99,7 @@ def permuted_text(text: Column, key: str, tag: str) -> Column:
         ),
         lambda s: F.concat(s["a"], s["b"]),
     )
+    return F.when(F.length(text) == 1, _permuted_character(text, key, tag)).otherwise(rounds)
 
 
 def _digits(x: Column) -> Column:
@@ -125,7 +142,7 @@ def _valid_part(m: Column, plain: Callable[[Column], Column], least: int, valid:
     ends = F.filter(at, lambda i: ~mark(i) & ((i == F.length(m)) | mark(i + 1)))
 
     def part(s: Column, e: Column) -> Column:
-        return _let(plain(F.substring(m, s, e - s + 1)), lambda x: F.struct((-F.length(x)).alias("n"), s.alias("s"), e.alias("e"), x.alias("x")))
+        return let(plain(F.substring(m, s, e - s + 1)), lambda x: F.struct((-F.length(x)).alias("n"), s.alias("s"), e.alias("e"), x.alias("x")))
 
     parts = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(ends, lambda e: e - s >= least - 1), lambda e: part(s, e))))
     good = F.filter(F.filter(parts, lambda p: p["n"] <= -least), lambda p: valid(p["x"]))
@@ -134,7 +151,7 @@ def _valid_part(m: Column, plain: Callable[[Column], Column], least: int, valid:
         new = made(F.substring(m, p["s"], p["e"] - p["s"] + 1), p["x"])
         return F.concat(F.substring(m, F.lit(1), p["s"] - 1), new, F.substring(m, p["e"] + 1, F.length(m)))
 
-    return _let(F.array_min(good), lambda p: F.when(p.isNotNull(), replaced(p)).otherwise(m))
+    return let(F.array_min(good), lambda p: F.when(p.isNotNull(), replaced(p)).otherwise(m))
 
 
 def _card(m: Column, key: str) -> Column:
@@ -142,8 +159,8 @@ def _card(m: Column, key: str) -> Column:
 
     def made(form: Column, digits: Column) -> Column:
         body = F.concat(F.substring(digits, 1, 1), permuted_text(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card"))
-        full = _let(body, lambda b: F.concat(b, F.pmod(-_luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
-        return _let(full, lambda f: _refilled(form, f))
+        full = let(body, lambda b: F.concat(b, F.pmod(-_luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
+        return let(full, lambda f: _refilled(form, f))
 
     return _valid_part(m, _digits, 13, lambda x: (_luhn(x) == 0) & ~x.rlike("^(.)\\1*$"), made)
 
@@ -167,8 +184,8 @@ def _iban(m: Column, key: str) -> Column:
     def made(form: Column, plain: Column) -> Column:
         country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
         check = lambda new: F.lpad((F.lit(98) - _iban_rest(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-        full = _let(permuted_text(body, key, "iban"), lambda new: F.concat(country, check(new), new))
-        return _let(full, lambda f: _refilled(form, f, "[^ ]"))
+        full = let(permuted_text(body, key, "iban"), lambda new: F.concat(country, check(new), new))
+        return let(full, lambda f: _refilled(form, f, "[^ ]"))
 
     return _valid_part(m, lambda x: F.replace(x, F.lit(" "), F.lit("")), 15, valid, made)
 
@@ -176,9 +193,9 @@ def _iban(m: Column, key: str) -> Column:
 def _ipv4(m: Column, key: str) -> Column:
     def made(part: Column) -> Column:
         new = permuted(((part[0] * 256 + part[1]) * 256 + part[2]) * 256 + part[3], 65536, 65536, key, "ipv4")
-        return _let(new, lambda n: F.concat_ws(".", *[F.pmod(F.floor(n / F.lit(256**k)), F.lit(256)).cast("string") for k in (3, 2, 1, 0)]))
+        return let(new, lambda n: F.concat_ws(".", *[F.pmod(F.floor(n / F.lit(256**k)), F.lit(256)).cast("string") for k in (3, 2, 1, 0)]))
 
-    return _let(F.transform(F.split(m, "\\."), lambda x: x.cast("long")), made)
+    return let(F.transform(F.split(m, "\\."), lambda x: x.cast("long")), made)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -194,14 +211,14 @@ def _ssn(m: Column, key: str) -> Column:
         area, group, serial = part[0], part[1], part[2]
         valid = (area >= 1) & (area <= 899) & (area != 666) & (group >= 1) & (serial >= 1)
         at = F.when(area > 666, area - 2).otherwise(area - 1)
-        return F.when(valid, _let(permuted((at * 99 + group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn"), text)).otherwise(m)
+        return F.when(valid, let(permuted((at * 99 + group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn"), text)).otherwise(m)
 
-    return _let(F.transform(F.split(m, "-"), lambda x: x.cast("long")), made)
+    return let(F.transform(F.split(m, "-"), lambda x: x.cast("long")), made)
 
 
 def _day(day: Column, key: str) -> Column:
     first = F.lit(FIRST_DAY).cast("date")
-    return _let(
+    return let(
         F.datediff(day, first).cast("long"),
         lambda at: F.when(at.between(0, DAYS - 1), F.date_add(first, permuted(at, 189, 773, key, "date").cast("int"))),
     )
@@ -219,41 +236,39 @@ def _dates(m: Column, key: str, form: str) -> Column:
     def made(part: Column) -> Column:
         day = lambda y, mm, dd: F.try_to_date(F.concat_ws("-", y, mm, dd), "yyyy-MM-dd")
         if form == "ymd":
-            return _let(_day(day(part[0], part[1], part[2]), key), lambda d: shown(d, "yyyy-MM-dd"))
+            return let(_day(day(part[0], part[1], part[2]), key), lambda d: shown(d, "yyyy-MM-dd"))
         walked = F.aggregate(
             F.sequence(F.lit(1), F.lit(64)),
             F.struct(F.lit(0).alias("k"), day(part[2], part[0], part[1]).alias("d")),
             lambda s, i: F.when((s["k"] > 0) & (F.dayofmonth(s["d"]) > 12), s).otherwise(F.struct((s["k"] + 1).alias("k"), _day(s["d"], key).alias("d"))),
             lambda s: s["d"],
         )
-        return _let(
+        return let(
             day(part[2], part[1], part[0]),
-            lambda d: F.when(d.isNotNull(), _let(_day(d, key), lambda x: shown(x, "dd-MM-yyyy"))).otherwise(_let(walked, lambda x: shown(x, "MM-dd-yyyy"))),
+            lambda d: F.when(d.isNotNull(), let(_day(d, key), lambda x: shown(x, "dd-MM-yyyy"))).otherwise(let(walked, lambda x: shown(x, "MM-dd-yyyy"))),
         )
 
-    return _let(F.split(m, "[-/.]"), made)
+    return let(F.split(m, "[-/.]"), made)
 
 
 def _email(m: Column, key: str) -> Column:
     """The name before the sign moves inside its form; the domain stays and takes part in the key."""
     name, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    return F.concat(permuted_text(name, key, "email"), F.lit("@"), domain)
+    return F.concat(permuted_text(name, key, F.concat(F.lit("email "), F.lower(domain))), F.lit("@"), domain)
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The ten national digits move; a country code and all marks stay."""
+    """All digits move but the leading 1 of eleven and the first two of other international numbers; marks stay.
 
-    def made(digits: Column) -> Column:
-        last = F.length(digits) - 10
-        return F.concat(F.substring(digits, F.lit(1), last), permuted_text(F.substring(digits, last + 1, F.lit(10)), key, "phone"))
-
-    return _let(_let(_digits(m), made), lambda x: _refilled(m, x))
+    Ten digits are a number of country 1, so all its written forms get one pseudonym.
+    """
 
+    def made(digits: Column) -> Column:
+        n = F.length(digits)
+        kept = F.when(~m.startswith("+"), n - 10).when((n == 11) & digits.startswith("1"), 1).otherwise(2)
+        return let(kept, lambda k: F.concat(F.substring(digits, F.lit(1), k), permuted_text(F.substring(digits, k + 1, n - k), key, "phone")))
 
-def _intl(m: Column, key: str) -> Column:
-    """The first two digits and all marks stay."""
-    made = lambda x: F.concat(F.substring(x, 1, 2), permuted_text(F.substring(x, F.lit(3), F.length(x)), key, "intl"))
-    return _let(_let(_digits(m), made), lambda x: _refilled(m, x))
+    return let(let(_digits(m), made), lambda x: _refilled(m, x))
 
 
 KINDS: dict[str, Callable[[Column, str], Column]] = {
@@ -263,7 +278,7 @@ KINDS: dict[str, Callable[[Column, str], Column]] = {
     "ymd": lambda m, key: _dates(m, key, "ymd"),
     "dmy": lambda m, key: _dates(m, key, "dmy"),
     "phone": _phone,
-    "intl": _intl,
+    "intl": _phone,
     "ssn": _ssn,
     "card": _card,
 }
@@ -288,15 +303,19 @@ def pseudonymised(docs: DataFrame, key: str = "quern") -> DataFrame:
     E-mail addresses, IBANs (valid check digits), IPv4 addresses, dates of 1700 to 2099, telephone
     numbers, social security numbers and card numbers (valid Luhn sum) are permuted under the key
     inside their format, so that equal values get equal pseudonyms in all documents, also if their
-    blanks and dashes differ. Numbers that do not validate, and all other text, stay byte for byte.
-    Null text stays null with count 0; repeated rows come out alike; other columns pass through
-    (`pseudonyms` is replaced, n_chars cannot change). The key is a secret of the caller.
+    blanks and dashes, the case of a mail name or the +1 of a telephone number differ. Equal mail
+    names at two domains get two. Numbers that do not validate, and all other text, stay byte for
+    byte: so do ten or nine digits without marks, dates with names of months, and mail names of over
+    64 characters, which no address has. Digits after an international telephone number count as its own.
+    Null text stays null with count 0; repeated rows come out alike; other columns pass through,
+    whatever their names (`pseudonyms` is replaced, n_chars cannot change). The key is a secret of the caller.
     """
     columns = [c for c in docs.columns if c != "pseudonyms"]
+    found, made = unused(docs, "found", "made")
     # each step once: a projection is not merged into the next if that would repeat its work
-    found = docs.select(*columns, F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("_found"))
-    made = found.withColumn("_made", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key))))
-    pieces = F.zip_with(F.split("text", ANY, -1), F.col("_made"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    changed = F.aggregate(F.zip_with("_found", "_made", lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x)
-    new = F.when(F.col("_made").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
-    return made.select(*[new.alias(c) if c == "text" else F.col(c) for c in columns], F.coalesce(changed, F.lit(0)).alias("pseudonyms"))
+    out = docs.select(*columns, F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias(found))
+    out = out.withColumn(made, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))))
+    pieces = F.zip_with(F.split("text", ANY, -1), F.col(made), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    changed = F.aggregate(F.zip_with(found, made, lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x)
+    new = F.when(F.col(made).isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
+    return out.select(*[new.alias(c) if c == "text" else F.col(c) for c in columns], F.coalesce(changed, F.lit(0)).alias("pseudonyms"))

@@ -84,6 +84,8 @@ def test_permutation_is_one_to_one(spark):
     assert sorted(r.x for r in whole) == list(range(31 * 29))
     text = spark.range(1000).select(permuted_text(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("x")).collect()
     assert sorted(r.x for r in text) == [f"{i:03d}" for i in range(1000)]
+    letters = spark.range(26).select(permuted_text(F.char(F.col("id") + 97), "k", "t").alias("x")).collect()
+    assert sorted(r.x for r in letters) == [chr(97 + i) for i in range(26)] and len({(ord(r.x) - 97 - i) % 26 for i, r in enumerate(letters)}) > 3
 
 
 def test_another_key_gives_others(spark):
@@ -99,3 +101,95 @@ def test_valid_numbers_beside_other_digits_and_capitals(spark):
     assert got[0] != card and got[1:4] == [f"{got[0]} 12/27", f"{got[0]} 123", "2 " + got[0].replace(" ", "")]
     assert got[4] != iban and got[5:7] == [f"{got[4]} BIC COBADEFF", got[4].replace(" ", "") + " EUR 50"]
     assert got[7] == texts[7]
+
+
+def texts(spark, *given):
+    return [r.text for r in pseudonymised(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")).orderBy("doc_id").collect()]
+
+
+def test_links_across_written_forms(spark):
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    tel = texts(spark, "+1 212 555 0100", "+12125550100", "(212) 555-0100", "212.555.0100", "1 212 555 0100", "+44 20 7946 0958", "+442079460958")
+    assert len({digits(t)[-10:] for t in tel[:4]}) == 1 and digits(tel[0])[-10:] != "2125550100" and digits(tel[0])[0] == digits(tel[1])[0] == "1"
+    assert digits(tel[5]) == digits(tel[6]) != "442079460958"
+    mail = texts(spark, "Bob.Smith@x.com", "bob.smith@x.com", "bob.smith@X.com", "bob.smith@y.com", "a@x.com", "b@x.com", "a@b.co.", "q@r.de7")
+    assert mail[0].lower() == mail[1] == mail[2].lower() != mail[3].replace("@y", "@x") and mail[0][0].isupper()
+    assert mail[6].endswith("@b.co.") and mail[7].endswith("@r.de7") and mail[4] != mail[5]
+
+
+def test_worst_texts_end_soon(spark):
+    n = 100_000
+    worst = ["x@" + "a." * n, "x" * n + "@a.com", "x@" + "a" * n + ".com", "a@" * n, "AB12 " * (n // 5), "AB12" * (n // 4), "1 " * (n // 2), "1" * n, "+1" * (n // 2), "+4 1" * (n // 4)]
+    worst += ["1." * n, "1-" * n, "2001-01-" * (n // 8), "(123) " * (n // 6), "123-" * (n // 4), "." * n, "-" * n, "a@b.co " * (n // 70)]
+    got = texts(spark, *worst)
+    assert [len(t) for t in got] == [len(t) for t in worst]
+    assert got[0] == worst[0]
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "mail robert@b.co", "mine", "ours")], "doc_id long, text string, found string, made string").selectExpr("*", "'x' AS _found", "'y' AS _made")
+    r = pseudonymised(docs).first()
+    assert (r.found, r.made, r._found, r._made, r.pseudonyms) == ("mine", "ours", "x", "y", 1) and r.text != "mail robert@b.co"
+
+
+def feistel(text, key, tag):
+    """The permutation again, in plain Python."""
+    import hashlib
+
+    digest = lambda *parts: hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()
+    kind = lambda c: (48, 10) if c.isdigit() else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else None
+    if len(text) == 1:
+        first, size = kind(text)
+        return chr(first + sorted(range(size), key=lambda i: digest(key, tag, "one", i))[ord(text) - first])
+    a, b = text[: len(text) // 2], text[len(text) // 2 :]
+
+    def moved(half, other, r):
+        h, out = digest(key, tag, r, other.lower()), ""
+        for i, c in enumerate(half):
+            k = kind(c)
+            out += chr(k[0] + (ord(c) - k[0] + int(h[2 * (i % 32) : 2 * (i % 32) + 2], 16)) % k[1]) if k else c
+        return out
+
+    for r in range(1, 9):
+        if r % 2:
+            a = moved(a, b, r)
+        else:
+            b = moved(b, a, r)
+    return a + b
+
+
+def test_plain_python_gives_the_same(spark):
+    """Mail addresses, telephone and card numbers of random texts, found and replaced by a second implementation."""
+    import random
+
+    rng = random.Random(4)
+
+    def card():
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(d + c for c in "0123456789" if luhn(d + c) % 10 == 0)
+
+    def mail(m):
+        name, domain = m[0].split("@")
+        return feistel(name, "quern", f"email {domain.lower()}") + "@" + domain
+
+    def number(m):
+        d = re.sub("[^0-9]", "", m[0])
+        if m[0][0] == "4" and len(d) == 16:
+            body = d[0] + feistel(d[1:-1], "quern", "card")
+            d = body + str(-luhn(body + "0") % 10)
+        else:
+            k = 2 if m[0][0] == "+" else 0
+            d = d[:k] + feistel(d[k:], "quern", "phone")
+        new = iter(d)
+        return re.sub("[0-9]", lambda _: next(new), m[0])
+
+    given, want = [], []
+    for _ in range(60):
+        name = "".join(rng.choice("abcXYZ019._-") for _ in range(rng.randint(1, 12))).strip("._-") or "q"
+        parts = [f"{name}@{rng.choice(['Mail', 'a-b', 'x'])}.example.{rng.choice(['com', 'de'])}", card(), f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", f"+49 30 {rng.randint(100000, 999999)}"]
+        rng.shuffle(parts)
+        t = " and ".join(parts)
+        given.append(t)
+        t = re.sub("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", mail, t)
+        want.append(re.sub(r"(?<![\w.@+-])(?:\+49 30 [0-9]{6}|\([0-9]{3}\) 555-[0-9]{4}|4[0-9]{15})(?![\w@-])", number, t))
+    assert texts(spark, *given) == want
