@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import let, unused
+
 PART = 256.0  # a larger mean is drawn as the sum of several Poisson numbers, so exp(-mean) never underflows
 BROADCAST_SOURCES = 20_000
 SALTS = 32
@@ -41,7 +43,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
 def _copies(parts: Column, mean: Column, cdf: Column, key: Column, seed: str) -> Column:
     """Sum over the parts of the least k whose distribution function exceeds the part's hash number."""
-    each = F.transform(F.sequence(F.lit(1), parts), lambda j: F.size(F.filter(cdf, lambda c: c <= unit(F.lit(seed), j.cast("string"), key))))
+    each = F.transform(F.sequence(F.lit(1), parts), lambda j: let(unit(F.lit(seed), j.cast("string"), key), lambda u: F.size(F.filter(cdf, lambda c: c <= u))))
     return F.when(mean > 0, F.aggregate(each, F.lit(0), lambda a, x: a + x)).otherwise(F.lit(0))
 
 
@@ -63,27 +65,29 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, tempera
     Adds `replica` (1 to copies), `copies`, and `shuffle_key`, by whose hash rows are dealt to
     partitions and by which they are ordered there. The number depends on seed and doc_id
     alone: equal ids, repeated rows too, get equal numbers; null is an id of its own. Empty docs
-    give an empty result; text is carried, never read. Columns of docs by those three names are replaced.
+    give an empty result; text is carried, never read. Columns of docs by those three names are
+    replaced, others may have any names.
     """
     columns = [c for c in docs.columns if c not in ("replica", "copies", "shuffle_key")]
+    null, name, key, rate, parts, cdf, salt = own = unused(docs, "null", "name", "key", "rate", "parts", "cdf", "salt")
     table = rates(docs, weights, temperature, budget).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART).cast("int")))
     table = table.select(
-        F.col("source").isNull().alias("_null"),
-        F.coalesce("source", F.lit("")).alias("_name"),
-        F.col("rate").alias("_rate"),
-        F.col("parts").alias("_parts"),
-        _distribution(F.col("rate") / F.col("parts")).alias("_cdf"),
+        F.col("source").isNull().alias(null),
+        F.coalesce("source", F.lit("")).alias(name),
+        F.col("rate").alias(rate),
+        F.col("parts").alias(parts),
+        _distribution(F.col("rate") / F.col("parts")).alias(cdf),
     )
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = docs.select(*columns, F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_name"), key.alias("_key"))
+    text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    rows = docs.select(*columns, F.col("source").isNull().alias(null), F.coalesce("source", F.lit("")).alias(name), text_id.alias(key))
     if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(table), ["_null", "_name"])
+        joined = rows.join(F.broadcast(table), [null, name])
     else:  # a source may hold a third of all rows, so each is dealt to several tasks
-        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("_salt", F.pmod(F.hash("_key"), F.lit(SALTS))).join(salted, ["_null", "_name", "_salt"])
-    counted = joined.withColumn("copies", _copies(F.col("_parts"), F.col("_rate"), F.col("_cdf"), F.col("_key"), seed)).where("copies > 0")
-    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed + "-order"), "_key", F.col("replica").cast("string"))), 1, 15), 16, 10).cast("long")
-    copied = counted.select(*columns, "copies", "_key", F.explode(F.sequence(F.lit(1), "copies")).alias("replica")).withColumn("shuffle_key", order).drop("_key")
+        salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn(salt, F.pmod(F.hash(key), F.lit(SALTS))).join(salted, [null, name, salt])
+    counted = joined.withColumn("copies", _copies(F.col(parts), F.col(rate), F.col(cdf), F.col(key), seed)).where("copies > 0")
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed + "-order"), key, F.col("replica").cast("string"))), 1, 15), 16, 10).cast("long")
+    copied = counted.select(*columns, "copies", key, F.explode(F.sequence(F.lit(1), "copies")).alias("replica")).withColumn("shuffle_key", order).drop(*own)
     return copied.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

@@ -54,3 +54,13 @@ def test_salted_join_gives_the_same(spark, documents, monkeypatch):
     want = key(mixing.replicated(docs).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
     assert key(mixing.replicated(docs).collect()) == want
+
+
+def test_columns_of_any_name(spark, documents):
+    from pyspark.sql import functions as F
+
+    names = ["null", "name", "key", "rate", "parts", "cdf", "salt", "_key", "_name", "_rate", "_cdf"]
+    docs = documents([(i, "x", "en", "s") for i in range(50)]).withColumns({n: F.lit(n) for n in names})
+    out = mixing.replicated(docs)
+    assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and set(names) <= set(out.columns)
+    assert all(r[n] == n for r in out.collect() for n in names)
