@@ -63,13 +63,27 @@ def fit(sample: np.ndarray, rows: int, k: int, target: float, seed: int = 5) ->
     return index
 
 
-def scan(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, r_ids: np.ndarray, k: int, bound: np.ndarray | None = None) -> list[tuple[int, np.ndarray]]:
-    """For each query the rows (positions) that may be among its k nearest here.
+def known_bound(x: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
+    """The squared distance of each query's k-th nearest row of the sample but its own: no nearer neighbour is beyond it."""
+    out = np.full(len(x), np.inf)
+    if len(sample) <= k:
+        return out
+    norm = (sample**2).sum(1)
+    for at in range(0, len(x), 128):
+        q = x[at : at + 128]
+        gap = norm + (q**2).sum(1)[:, None] - 2 * q @ sample.T
+        gap[ids[at : at + 128, None] == sample_ids] = np.inf
+        out[at : at + 128] = np.partition(gap, k - 1, axis=1)[:, k - 1]
+    return out
+
+
+def scan(queries: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, rows: np.ndarray, r_ids: np.ndarray, k: int) -> list[tuple[int, np.ndarray]]:
+    """For each query the rows (positions) that may be among its k nearest.
 
     Both sides are rotated, so any leading dimensions are a fair sample of all. After each block of
     columns the hypothesis that a row is as near as the k-th best known is tested on its partial
-    distance; rows that fail it are abandoned. The k rows nearest by the first block set the bound
-    and always stay.
+    distance; rows that fail it are abandoned. `bound` is what the query knows from before this list;
+    the k rows nearest here by the first block may lower it, and always stay.
     """
     d = queries.shape[1]
     step = min(BLOCK, d)
@@ -79,15 +93,11 @@ def scan(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, r_ids: np.nda
     out = []
     for i, q in enumerate(queries):
         p = partial[i]
-        first = np.argpartition(p, k - 1)[:k] if len(p) > k else np.arange(len(p))
-        first = first[np.isfinite(p[first])]
-        full = ((rows[first] - q) ** 2).sum(1)
-        limit = full.max() if len(first) == k else np.inf
-        if bound is not None:
-            limit = min(limit, bound[i])
         left, seen = np.flatnonzero(np.isfinite(p)), step
+        found = left[np.argpartition(p[left], k - 1)[:k]] if len(left) > k else left
+        limit = min(bound[i], ((rows[found] - q) ** 2).sum(1).max()) if len(found) == k else bound[i]
         value = p[left]
-        while True:
+        while len(left):
             near = value <= limit * seen / d * (1 + DOUBT / np.sqrt(seen)) ** 2 if seen < d else value <= limit * (1 + 1e-6)
             left, value = left[near], value[near]
             if seen >= d or not len(left):
@@ -95,8 +105,7 @@ def scan(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, r_ids: np.nda
             nxt = min(d, seen + 2 * step)
             value = value + ((rows[left, seen:nxt] - q[seen:nxt]) ** 2).sum(1)
             seen = nxt
-        found = np.union1d(first, left)
-        out.append((i, found))
+        out.append((i, np.union1d(found, left)))
     return out
 
 
@@ -107,9 +116,10 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, target: float = 0
     ``valid_vectors`` leaves out take no part on either side; a query's own row (all rows of its id)
     is no candidate; repeated other rows are candidates each. score is the exact distance of the
     original vectors in double precision; ties go to the smaller vec_id. A query gets all
-    candidates if they are fewer than k. Every valid row is indexed; only the centres and the
-    number of probes come from a sample of about SAMPLE rows. Long lists are scanned in chunks of
-    CHUNK rows and QUERIES queries, so that no task grows with a list.
+    candidates if they are fewer than k. An id asked for more than once, or by several rows, is
+    one query: of its vectors the least, as arrays are ordered. Every valid row is indexed; only
+    the centres, the number of probes and each query's first bound come from a sample of about SAMPLE
+    rows. Long lists are scanned in chunks of CHUNK rows and QUERIES queries, so that no task grows with a list.
     """
     spark = table.sparkSession
     small_batches(spark)
@@ -118,8 +128,10 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, target: float = 0
     if not d:
         return spark.createDataFrame([], shape)
     total = rows.count()
-    sample = matrix(about(rows, SAMPLE, "vec_id").select("v").toArrow().column(0), d, "f8")
+    drawn = about(rows, SAMPLE, "vec_id").toArrow()
+    sample, sample_ids = matrix(drawn.column("v"), d, "f8"), drawn.column("vec_id").to_numpy()
     index = fit(sample, total, k, target)
+    turned = sample @ index.rotation
     lists = len(index.centres)
 
     def place(batches):
@@ -143,15 +155,17 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, target: float = 0
             enough = (np.cumsum(sizes[order], axis=1) <= 4 * k).sum(1) + 1
             n = np.minimum(lists, np.maximum(index.probes, enough))
             picked = [pa.array(o[:m], pa.int32()) for o, m in zip(order, n)]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([p.to_pylist() for p in picked], pa.list_(pa.int32()))], names=["vec_id", "v", "lists"])
+            bound = known_bound(x, b.column("vec_id").to_numpy(), turned, sample_ids, k) * (1 + 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(bound), pa.array([p.to_pylist() for p in picked], pa.list_(pa.int32()))], names=["vec_id", "v", "bound", "lists"])
 
     asked = rows.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").distinct(), "vec_id", "left_semi")
-    probing = settle(asked.mapInArrow(probe, f"vec_id long, v {kind}, lists array<int>").select("vec_id", "v", F.explode("lists").alias("list")))
+    asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
+    probing = settle(asked.mapInArrow(probe, f"vec_id long, v {kind}, bound double, lists array<int>").select("vec_id", "v", "bound", F.explode("lists").alias("list")))
     load = {r.list: r.n for r in probing.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     chunks = F.create_map(*[F.lit(x) for i in range(lists) for x in (i, -(-int(sizes[i] or 1) // CHUNK))])
     teams = F.create_map(*[F.lit(x) for i in range(lists) for x in (i, -(-load.get(i, 1) // QUERIES))])
     left = placed.select("list", F.pmod(F.xxhash64("vec_id"), chunks[F.col("list")]).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), teams[F.col("list")] - 1)).alias("team"), "vec_id", "v")
-    right = probing.select("list", F.explode(F.sequence(F.lit(0), chunks[F.col("list")] - 1)).alias("part"), F.pmod(F.xxhash64("vec_id"), teams[F.col("list")]).cast("int").alias("team"), "vec_id", "v")
+    right = probing.select("list", F.explode(F.sequence(F.lit(0), chunks[F.col("list")] - 1)).alias("part"), F.pmod(F.xxhash64("vec_id"), teams[F.col("list")]).cast("int").alias("team"), "vec_id", "v", "bound")
     answer = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def meet(ours: pa.Table, theirs: pa.Table) -> pa.Table:
@@ -159,11 +173,11 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, target: float = 0
             return answer.empty_table()
         x, y = matrix(ours.column("v"), d, "f8"), matrix(theirs.column("v"), d, "f8")
         xi, yi = ours.column("vec_id").to_numpy(), theirs.column("vec_id").to_numpy()
-        xr, yr = x @ index.rotation, y @ index.rotation
+        xr, yr, bound = x @ index.rotation, y @ index.rotation, theirs.column("bound").to_numpy()
         q_out, v_out, s_out = [], [], []
         width = max(1, 4_000_000 // len(x))
         for at in range(0, len(y), width):
-            for i, found in scan(yr[at : at + width], yi[at : at + width], xr, xi, k):
+            for i, found in scan(yr[at : at + width], yi[at : at + width], bound[at : at + width], xr, xi, k):
                 score = np.sqrt(((x[found] - y[at + i]) ** 2).sum(1))
                 best = found[np.lexsort((xi[found], score))[:k]]
                 s_out.append(np.sort(score)[:k])

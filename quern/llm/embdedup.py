@@ -26,7 +26,7 @@ class Blocks:
 
     def __init__(self, sample: np.ndarray, cosine: float, blocks: int):
         d = sample.shape[1]
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        unit = directions(sample)
         energy, axes = np.linalg.eigh(unit.T @ unit / len(unit))
         order = np.argsort(-energy)
         self.rotation = np.round(axes[:, order] * UNIT)
@@ -52,8 +52,18 @@ class Blocks:
         return np.floor(z[:, self.parts[block].start] / self.width[block]).astype(np.int64)
 
 
+def directions(v: np.ndarray) -> np.ndarray:
+    """Unit vectors. Scaled by the largest component first, no square over- or underflows; summed axis by
+    axis, every machine finds the same."""
+    v = v / np.abs(v).max(axis=1, initial=0, keepdims=True)
+    total = np.zeros(len(v))
+    for axis in v.T:
+        total += axis * axis
+    return v / np.sqrt(total)[:, None]
+
+
 def quantised(v: np.ndarray) -> np.ndarray:
-    return np.round(v / np.linalg.norm(v, axis=1, keepdims=True) * UNIT).astype(np.int32)
+    return np.round(directions(v) * UNIT).astype(np.int32)
 
 
 def compare(rows: dict[str, np.ndarray], z: np.ndarray, side: np.ndarray, block: int, plan: Blocks, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +77,7 @@ def compare(rows: dict[str, np.ndarray], z: np.ndarray, side: np.ndarray, block:
     """
     v, weight, same = rows["v"], rows["w"], rows["part"]
     own = z[:, plan.parts[block]]
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    unit = directions(v)
     n = len(v)
     links, label = np.zeros(n), np.arange(n)
     small = own / plan.scale
@@ -131,46 +141,42 @@ def linked_vectors(table: DataFrame, cosine: float = 0.9, blocks: int = 4) -> Da
     rows = rows.select("vec_id", "v", hashes[0].alias("h1"), hashes[1].alias("h2"))
     single = rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("w"), F.min("h1").alias("h1"), F.min("h2").alias("h2"))
 
-    def whole(batches):
-        for b in batches:
-            q = quantised(matrix(b.column("v"), d, "f8")) if b.num_rows else np.zeros((0, d), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("node", "v", "w", "h1", "h2")] + [pa.array(list(q), pa.list_(pa.int32()))], names=["node", "v", "w", "h1", "h2", "q"])
+    single = settle(single.select("node", "v", "w", "h1", "h2"))
+    plan = Blocks(matrix(about(single, SAMPLE, "node").select("v").toArrow().column(0), d, "f8"), cosine, blocks)
 
     kind = dict(rows.dtypes)["v"]
-    single = settle(single.select("node", "v", "w", "h1", "h2").mapInArrow(whole, f"node long, v {kind}, w long, h1 long, h2 long, q array<int>"))
-    plan = Blocks(matrix(about(single, SAMPLE, "node").select("v").toArrow().column(0), d, "f8"), cosine, blocks)
 
-    def cells(q: pa.ChunkedArray) -> pa.Array:
-        z = plan.rotated(matrix(q, d, "i4"))
+    def cells(v: pa.Array) -> pa.Array:
+        z = plan.rotated(quantised(matrix(v, d, "f8")))
         return pa.array(list(np.stack([plan.cells(z, k) for k in range(len(plan.parts))], axis=1)), pa.list_(pa.int64()))
 
     def count(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([cells(b.column("q"))], names=["cells"])
+                yield pa.RecordBatch.from_arrays([cells(b.column("v"))], names=["cells"])
 
     def place(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, cells(b.column("q"))], names=[*b.schema.names, "cells"])
+                yield pa.RecordBatch.from_arrays([*b.columns, cells(b.column("v"))], names=[*b.schema.names, "cells"])
 
     both = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("c").alias("cell")), F.struct(F.lit(1).alias("side"), (F.col("c") - 1).alias("cell")))).alias("x")
-    counted = single.select("q").mapInArrow(count, "cells array<long>").select(F.posexplode("cells").alias("block", "c")).select("block", both)
+    counted = single.select("v").mapInArrow(count, "cells array<long>").select(F.posexplode("cells").alias("block", "c")).select("block", both)
     sizes = counted.groupBy("block", "x.cell").agg(F.ceil(F.count(F.lit(1)) / LARGE).cast("int").alias("splits"))
-    placed = single.select("node", "v", "w", "q").mapInArrow(place, f"node long, v {kind}, w long, q array<int>, cells array<long>")
-    visits = placed.select("node", "v", "w", "q", F.posexplode("cells").alias("block", "c")).select("node", "v", "w", "q", "block", both).select("node", "v", "w", "q", "block", "x.*")
+    placed = single.select("node", "v", "w").mapInArrow(place, f"node long, v {kind}, w long, cells array<long>")
+    visits = placed.select("node", "v", "w", F.posexplode("cells").alias("block", "c")).select("node", "v", "w", "block", both).select("node", "v", "w", "block", "x.*")
     split = visits.join(sizes, ["block", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), "splits").cast("int"))
     dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    dealt = dealt.select("block", "cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("r"), "part", "side", "node", "v", "w", "q")
+    dealt = dealt.select("block", "cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("r"), "part", "side", "node", "v", "w")
     result = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def join(key, t):
         block, p, r = key[0].as_py(), key[2].as_py(), key[3].as_py()
-        q = matrix(t.column("q"), d, "i4")
-        z = plan.rotated(q)
+        v = matrix(t.column("v"), d, "f8")
+        z = plan.rotated(quantised(v))
         order = np.lexsort((t.column("node").to_numpy(), z[:, plan.parts[block].start]))
         z, node = z[order], t.column("node").to_numpy()[order]
-        data = {"v": matrix(t.column("v"), d, "f8")[order], "w": t.column("w").to_numpy()[order].astype("f8"), "part": t.column("part").to_numpy()[order], "cross": p != r}
+        data = {"v": v[order], "w": t.column("w").to_numpy()[order].astype("f8"), "part": t.column("part").to_numpy()[order], "cross": p != r}
         links, label = compare(data, z, t.column("side").to_numpy()[order], block, plan, cosine)
         some = (links > 0) | (label != np.arange(len(node)))
         return pa.table([node[some], links[some], node[label[some]]], schema=result)

@@ -86,3 +86,38 @@ def test_split_lists_give_the_same(spark, cloud, monkeypatch):
     monkeypatch.setattr(ann, "QUERIES", 3)
     got = key(ann.nearest(table, table.where("vec_id % 50 = 0")))
     assert len(set(got) & set(want)) >= 0.97 * len(want)
+
+
+def test_repeated_queries_and_rows(spark, cloud):
+    rows = cloud[:300] + [cloud[0], cloud[0], (0, cloud[5][1])]
+    table = frame(spark, rows)
+    got = ann.nearest(table, table.where("vec_id % 100 = 0")).collect()
+    for q in (0, 100, 200):
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(1, 11)) and len({r.vec_id for r in own}) == 10 and q not in {r.vec_id for r in own}
+    x = np.stack([v for _, v in cloud[:300]]).astype("f8")
+    first = min(tuple(map(float, cloud[0][1])), tuple(map(float, cloud[5][1])))  # of two vectors of an id the least
+    gap = np.sqrt(((x - np.array(first, dtype="f4").astype("f8")) ** 2).sum(1))
+    gap[0] = np.inf
+    assert min(r.score for r in got if r.query_id == 0) == pytest.approx(gap.min(), abs=1e-9)
+
+
+def test_sample_bounds_hold(cloud):
+    x = np.stack([v for _, v in cloud]).astype("f8")
+    ids = np.arange(len(x))
+    bound = ann.known_bound(x[:50], ids[:50], x[::3], ids[::3], 10)
+    for i in range(50):
+        gap = ((x - x[i]) ** 2).sum(1)
+        gap[i] = np.inf
+        assert np.sort(gap)[9] <= bound[i] * (1 + 1e-9)
+    assert np.isinf(ann.known_bound(x[:2], ids[:2], x[:5], ids[:5], 10)).all()
+    near = dict(ann.scan(x[:50], ids[:50], bound, x, ids, 10))
+    hits = sum(len(set(near[i]) & set(np.argsort(np.where(ids == i, np.inf, ((x - x[i]) ** 2).sum(1)))[:10])) for i in range(50))
+    assert hits >= 490
+
+
+def test_vectors_of_any_size_link(spark):
+    rows = [(i, [s, s * (1 + 1e-3)]) for i, s in enumerate((1e200, 1e-200, 1.0, 1e308, 5e-300))] + [(9, [1.0, -1.0])]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.linked_vectors(table).collect()}
+    assert got == {i: (4, 0) for i in range(5)} | {9: (0, 9)}
