@@ -17,6 +17,9 @@ CACHED_WORDS, CACHED_CHARS = 1_500_000, 64
 JOINED = 400  # words in one text for the tokenizer
 SPECIAL = "<|"
 RUN = re.compile(r"[^\w \n]{2}|_")
+# Latin letters and digits: normal form C and lower case keep each one letter, but for U+0130
+PLAIN = "0-9A-Za-z" + "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and c != "\u0130")
+MARK = re.compile(f"(?<=[{PLAIN}])([.,])")
 KINDS = bytes(32 if c in b" \n" else 95 if c == 95 else 97 if chr(c).isalnum() else 33 for c in range(128)) + bytes([33]) * 128
 _LOADED: dict[str, "Encoder"] = {}
 
@@ -32,7 +35,8 @@ class Encoder:
 
     The tokenizer's own pre-splitting never reaches across white space, so the ids of a text are
     those of its words between spaces and line feeds in turn. Nor does it join a letter with a
-    mark after it, or mind the case of ASCII, so marks are set apart and words lower-cased first.
+    mark after it, or mind the case of ASCII, so marks are set apart and words lower-cased first;
+    not after other letters than PLAIN, whose normal form or lower case may end in a mark.
     Words of letters alone are one pre-token each and go to the tokenizer many at once; the ids
     that end a pre-token part them again. The store of words is bounded: a full one is emptied.
     """
@@ -78,7 +82,7 @@ class Encoder:
         else:
             runs = RUN.search(text) is not None
         if not runs:
-            text = text.replace(",", " ,").replace(".", " .")
+            text = text.replace(",", " ,").replace(".", " .") if plain else MARK.sub(r" \1", text)
         return text.lower() if plain and SPECIAL not in text else text
 
     def texts(self, texts: list[str]) -> list[bytes]:
@@ -104,54 +108,59 @@ def encoder(path: str) -> Encoder:
 class Packer:
     """Fills sequences of one worker.
 
-    Piece lengths are put in reciprocal-capacity classes: class i holds lengths over
-    capacity/(i+1) up to capacity/i, and each bin of class i takes just i pieces. Documents are
-    first cut at lengths capacity, capacity/2, capacity/4, ... down to `least`, whose bins fill
-    without waste; only a tail shorter than `least` falls in a class with some. Bins that are
-    incomplete at the end give their pieces back, which are laid end to end and cut at the
-    capacity. So padding is at most the last sequence, and under 1/i of a tail class's bins.
+    Document lengths are put in reciprocal-capacity classes: class i holds lengths over
+    capacity/(i+1) up to capacity/i, and each bin of class i takes just i documents, whole. What a
+    bin then has left is filled from one document at a time, the filler, which alone is cut. Of
+    longer documents whole sequences are cut first. Bins that are incomplete at the end give their
+    documents back, which are laid end to end; so padding is at most a worker's last sequence.
     """
 
-    def __init__(self, capacity: int, least: int, base: int):
-        self.capacity, self.least, self.next = capacity, least, base
-        self.open: dict[tuple[int, bool], list[tuple]] = {}
-
-    def cut(self, total: int):
-        """(start, length, is a reciprocal itself) of the pieces of a document."""
-        start, size = 0, self.capacity
-        while total - start >= self.least and size >= self.least:
-            if total - start >= size:
-                yield start, size, True
-                start += size
-            else:
-                size //= 2
-        if start < total:
-            yield start, total - start, False
+    def __init__(self, capacity: int, base: int):
+        self.capacity, self.next = capacity, base
+        self.open: dict[int, list[tuple]] = {}
+        self.filler: tuple | None = None
+        self.short: tuple[int, int] | None = None  # a sequence that waits for a filler, and where it goes on
 
     def put(self, doc_id, ids: bytes):
-        total = len(ids) // 4
-        for start, length, _ in self.cut(total):
-            count = self.capacity // length
-            piece = (doc_id, start, length, total, ids[4 * start : 4 * (start + length)])
-            if count == 1:
-                yield self.row(piece, self.new(), 0)
-                continue
-            bin_ = self.open.setdefault(count, [])
-            bin_.append(piece)
-            if len(bin_) == count:
-                del self.open[count]
-                yield from self.lay(bin_)
+        total, start = len(ids) // 4, 0
+        while total - start >= self.capacity:
+            yield self.row((doc_id, start, self.capacity, total, ids[4 * start : 4 * (start + self.capacity)]), self.new(), 0)
+            start += self.capacity
+        if start == total:
+            return
+        piece = (doc_id, start, total - start, total, ids[4 * start :])
+        if self.filler is None:
+            self.filler = piece
+            if self.short:
+                yield from self.fill(*self.short)
+            return
+        count = self.capacity // piece[2]
+        bin_ = self.open.setdefault(count, [])
+        bin_.append(piece)
+        if len(bin_) == count:
+            del self.open[count]
+            sequence, offset = self.new(), 0
+            for p in bin_:
+                yield self.row(p, sequence, offset)
+                offset += p[2]
+            yield from self.fill(sequence, offset)
+
+    def fill(self, sequence: int, offset: int):
+        """Fill a sequence from the filler, as far as it goes."""
+        self.short = None
+        if offset < self.capacity and self.filler:
+            doc_id, start, length, total, ids = self.filler
+            take = min(length, self.capacity - offset)
+            yield self.row((doc_id, start, take, total, ids[: 4 * take]), sequence, offset)
+            offset += take
+            self.filler = (doc_id, start + take, length - take, total, ids[4 * take :]) if take < length else None
+        if offset < self.capacity:
+            self.short = sequence, offset
 
     def new(self) -> int:
         self.next += 1
         return self.next - 1
 
-    def lay(self, pieces: list[tuple]):
-        sequence, offset = self.new(), 0
-        for p in pieces:
-            yield self.row(p, sequence, offset)
-            offset += p[2]
-
     @staticmethod
     def row(piece: tuple, sequence: int, offset: int) -> tuple:
         doc_id, start, length, total, ids = piece
@@ -159,19 +168,19 @@ class Packer:
 
     def end(self):
         """What incomplete bins hold, end to end, longest first."""
-        rest = [p for count in sorted(self.open) for p in self.open[count]]
-        self.open = {}
-        sequence, offset = None, 0
+        rest = [*([self.filler] if self.filler else []), *(p for count in sorted(self.open) for p in self.open[count])]
+        sequence, offset = self.short or (None, self.capacity)
+        self.open, self.filler, self.short = {}, None, None
         for doc_id, start, length, total, ids in rest:
             while length:
-                if sequence is None or offset == self.capacity:
+                if offset == self.capacity:
                     sequence, offset = self.new(), 0
                 take = min(length, self.capacity - offset)
                 yield self.row((doc_id, start, take, total, ids[: 4 * take]), sequence, offset)
                 start, length, ids, offset = start + take, length - take, ids[4 * take :], offset + take
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, least: int = 64, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents in sequences of at most `capacity` ids.
 
     A document is its ids and then `end_id`; null and empty texts are `end_id` alone, so every
@@ -180,8 +189,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     rows are packed each; columns besides doc_id and text are not read. ids (binary, little-endian
     unsigned 32 bit) is added with `with_ids`.
     """
-    if capacity < 1 or least < 1:
-        raise ValueError("capacity and least must be positive")
+    if capacity < 1:
+        raise ValueError("capacity must be positive")
     small_batches(docs.sparkSession)
     names = [f.name for f in SCHEMA][: 8 if with_ids else 7]
     last = end_id.to_bytes(4, "little")
@@ -189,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     def each(batches):
         from pyspark import TaskContext
 
-        code, packer = encoder(tokenizer), Packer(capacity, least, TaskContext.get().partitionId() << 33)
+        code, packer = encoder(tokenizer), Packer(capacity, TaskContext.get().partitionId() << 33)
 
         def out(rows):
             columns = list(zip(*rows)) or [()] * 8

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -70,14 +71,35 @@ def test_repeated_rows_are_packed_each(spark, documents):
 
 
 def test_classes_hold_a_fixed_number():
-    p = Packer(64, 4, 0)
-    rows = [r for i in range(40) for r in p.put(i, b"\1\0\0\0" * 19)] + list(p.end())
-    sizes = defaultdict(list)
+    p, rng = Packer(64, 0), random.Random(1)
+    lengths = {i: rng.randint(1, 150) for i in range(400)}
+    rows = [r for i, n in lengths.items() for r in p.put(i, b"\1\0\0\0" * n)]
+    before = max(r[5] for r in rows)
+    rows += list(p.end())
+    bins = defaultdict(list)
     for r in rows:
-        sizes[r[5]].append(r[2])
-    for lengths in sizes.values():
-        assert sum(lengths) <= 64
-    assert sorted(s for x in sizes.values() for s in x).count(16) == 40
+        bins[r[5]].append(r)
+    cut = {i for i, n in lengths.items() if sum(r[0] == i for r in rows) > -(-n // 64)}
+    for sequence, inside in bins.items():
+        assert sum(r[2] for r in inside) == 64 or sequence == max(bins)
+        whole = [r[2] for r in inside if r[0] not in cut and r[1] + r[2] == r[4]]
+        if sequence <= before and inside[0][2] < 64:  # the first is of the bin's class, which has as many
+            i = 64 // inside[0][2]
+            assert sum(64 // n == i for n in whole) >= i
+    assert len(cut) < 120 and len(rows) < 400 + 2 * len(bins)
+
+
+def test_encoder_over_all_of_unicode(tokenizer):
+    """100,000 short texts of any characters, marks after every letter among them."""
+    rng = random.Random(6)
+    letters = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (c.isalnum() or unicodedata.combining(c))]
+    texts = [f"a{c}{m}b {c}{m} {c}a{m}" for c in letters[:40_000] for m in ".,"]
+    some = letters[:3000] + list("aB é'.,;!? \n\t") * 100 + ["İ", "ǰ", "क़", "ﬁ", "ß", "Σ"] * 50
+    texts += ["".join(rng.choice(some) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    want = [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    code = Encoder(PATH)
+    got = [x for at in range(0, len(texts), 1000) for x in code.texts(texts[at : at + 1000])]
+    assert [t for t, g, w in zip(texts, got, want) if g != w] == []
 
 
 def test_ids_round_trip(spark, documents, tokenizer):
