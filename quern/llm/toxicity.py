@@ -32,6 +32,9 @@ SENTENCE = re.compile(r"[.!?\n]+")
 BUCKETS = 1 << 20
 STEMS = (3, 4, 5, 6)
 CACHED_WORDS = 400_000
+TERMS = 150  # neutral terms taken from the corpus, at most
+PARTNERS = 2  # terms that may stand for each of them
+PAIRS = 24  # counterfactual sentences of one text to learn from, at most
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -47,23 +50,74 @@ def features(text: str | None) -> set[int]:
     return out
 
 
-def counterfactuals(text: str | None) -> list[tuple[set[int], set[int]]]:
-    """(features only of the sentence, features only of it with swapped terms) for sentences that name a group, with every other term of the row."""
-    out = []
-    low = text.lower() if text else ""
-    if not any(t in low for t in SWAPS):
-        return out
-    for sentence in SENTENCE.split(low):
+def counterfactuals(text: str | None, swaps: dict[str, list[str]] = SWAPS, most: int = PAIRS) -> list[tuple[set[int], set[int]]]:
+    """(features only of the sentence, features only of it with swapped terms) of at most `most` pairs of sentences.
+
+    Each sentence that holds terms is taken with every term that may stand for its own; sentences
+    with listed identity terms come first, others in the order of their hashes.
+    """
+    out: list[tuple[set[int], set[int]]] = []
+    found = []
+    for sentence in SENTENCE.split(text.lower()) if text else ():
         words = WORD.findall(sentence)
-        if not SWAPS.keys() & set(words):
-            continue
+        if not swaps.keys().isdisjoint(words):
+            found.append((SWAPS.keys().isdisjoint(words), zlib.crc32(sentence.encode()), words))
+    for _, _, words in sorted(found):
         old = set().union(*map(word_features, words))
-        for k in range(max(len(SWAPS[w]) for w in words if w in SWAPS)):
-            new = set().union(*(word_features(SWAPS[w][k % len(SWAPS[w])] if w in SWAPS else w) for w in words))
-            out.append((old - new, new - old))
+        for k in range(max(len(swaps[w]) for w in words if w in swaps)):
+            if len(out) >= most:
+                return out
+            new = set().union(*(word_features(swaps[w][k % len(swaps[w])] if w in swaps else w) for w in words))
+            if new != old:
+                out.append((old - new, new - old))
     return out
 
 
+def neutral_terms(sample: DataFrame, seen: dict[int, int], most: int = TERMS) -> dict[str, list[str]]:
+    """Words of the corpus that name no more than a listed term does, each with those that may stand for it.
+
+    sample: (y, text); seen: its rows of either label. A term is a word of three letters or more in
+    one text of 200 to three of ten, as often in texts of either label as chance allows: a score has
+    no reason to change with it. Of the most frequent `most` of them, terms that stand in the same
+    texts (by cosine of their presence) may stand for each other, so a swap keeps to the language.
+    """
+    n = {y: float(seen[y]) for y in (0, 1)}
+
+    def each(batches):
+        for b in batches:
+            own = [sorted(set(WORD.findall(t.lower()))) if t else [] for t in b.column("text").to_pylist()]
+            y = np.repeat(b.column("y").to_numpy(), [len(w) for w in own])
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array([x for w in own for x in w], pa.string())], names=["y", "word"])
+
+    count = sample.mapInArrow(each, "y int, word string").where(F.length("word") >= 3).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))
+    every = n[0] + n[1]
+    share = F.col("n") / every
+    gap = F.abs(F.col("n1") / n[1] - (F.col("n") - F.col("n1")) / n[0])
+    chance = F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
+    kept = count.where((F.col("n") >= max(5.0, every / 200)) & (share <= 0.3) & (gap <= 2 * chance))
+    words = [r.word for r in kept.orderBy(F.desc("n"), "word").limit(most).collect()]
+    words = [w for w in words if w not in SWAPS]
+    if len(words) < 2:
+        return {}
+    number = {w: i for i, w in enumerate(words)}
+
+    def present(batches):
+        for b in batches:
+            own = [sorted({number[w] for w in WORD.findall(t.lower()) if w in number}) if t else [] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32()))], names=["terms"])
+
+    lists = sample.mapInArrow(present, "terms array<int>").toArrow().column(0).to_pylist()  # rows of the sample, `most` numbers each
+    x = np.zeros((len(lists), len(words)), dtype="f4")
+    for i, own in enumerate(lists):
+        x[i, own] = 1
+    together = x.T @ x
+    size = np.sqrt(np.maximum(np.diag(together), 1))
+    like = together / size[:, None] / size
+    np.fill_diagonal(like, -1)
+    best = np.argsort(-like, axis=1, kind="stable")[:, :PARTNERS]
+    return {w: [words[j] for j in best[i] if j != i] for i, w in enumerate(words)}
+
+
 class Model:
     """Logistic score over the presence of chosen features in a whole text."""
 
@@ -71,6 +125,7 @@ class Model:
         kept = weights != 0
         self.weight = dict(zip(chosen[kept].tolist(), weights[kept].tolist()))
         self.bias = float(bias)
+        self.pairs = 0  # counterfactual sentences learned from, whose features the model can weigh
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
@@ -102,9 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 5000, keep: int = 4000,
     """Learn from at most `most` labelled rows of each label (the documented bound of the sample).
 
     Features that occur in five sampled texts or more are ranked by how their share differs
-    between the labels and the first `keep` are chosen. Weights minimise the logistic loss, an
-    absolute penalty and `fairness` times the mean squared change of score over all counterfactual
-    sentences, by accelerated proximal steps.
+    between the labels and the first `keep` are chosen, and those of the terms that are swapped.
+    Weights minimise the logistic loss, an absolute penalty and `fairness` times the mean squared
+    change of score over the counterfactual sentences, PAIRS of a text at most, by accelerated
+    proximal steps. Swapped are the listed identity terms and the corpus's own neutral terms. An id
+    with several rows counts once, with its least text. The driver gets at most 2 * `most` rows of
+    feature numbers.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -114,10 +172,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 5000, keep: int = 4000,
     ids = _sample(labels, most).toArrow()  # 2 * most ids at most
     small = F.broadcast(spark.createDataFrame(ids.to_pandas(), "doc_id long, y int"))
 
+    texts_ = settle(docs.select("doc_id", "text").join(small, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text"))
+    seen = {r.y: r.n for r in texts_.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(seen) < 2:
+        p = np.clip(prior, 1e-3, 1 - 1e-3)
+        return Model(np.zeros(0, dtype=int), np.zeros(0), np.log(p / (1 - p)))
+    swaps_of = neutral_terms(texts_, seen) | SWAPS
+
     def each(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            swaps = [counterfactuals(t) for t in texts]
+            swaps = [counterfactuals(t, swaps_of) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("y"),
@@ -128,11 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 5000, keep: int = 4000,
                 names=["y", "f", "lost", "won"],
             )
 
-    rows = settle(docs.select("doc_id", "text").join(small, "doc_id").mapInArrow(each, "y int, f array<int>, lost array<array<int>>, won array<array<int>>"))
-    seen = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(seen) < 2:
-        p = np.clip(prior, 1e-3, 1 - 1e-3)
-        return Model(np.zeros(0, dtype=int), np.zeros(0), np.log(p / (1 - p)))
+    rows = settle(texts_.mapInArrow(each, "y int, f array<int>, lost array<array<int>>, won array<array<int>>"))
     share = {y: F.sum((F.col("y") == y).cast("int")) / F.lit(float(seen[y])) for y in (0, 1)}
     ranked = (
         rows.select("y", F.explode("f").alias("k"))
@@ -143,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 5000, keep: int = 4000,
         .orderBy(F.desc("gap"), "k")
         .limit(keep)
     )
-    chosen = np.sort(ranked.select("k").toArrow().column(0).to_numpy())
+    of_terms = np.array(sorted({f for w, others in swaps_of.items() for x in (w, *others) for f in word_features(x)}), dtype="i4")
+    chosen = np.union1d(ranked.select("k").toArrow().column(0).to_numpy(), of_terms)
 
     def only(batches):
         for b in batches:
@@ -169,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 5000, keep: int = 4000,
 
     lists = local.column("f").to_pylist()
     row, col = sparse(lists)
-    swaps = [(a, b) for la, lb in zip(local.column("lost").to_pylist(), local.column("won").to_pylist()) for a, b in zip(la, lb)]
+    swaps = [(a, b) for la, lb in zip(local.column("lost").to_pylist(), local.column("won").to_pylist()) for a, b in zip(la, lb) if a or b]
     lost, won = sparse([a for a, _ in swaps]), sparse([b for _, b in swaps])
     n, d, m = len(y), len(chosen), max(1, len(swaps))
     # both labels weigh as they occur among all labels
@@ -202,7 +264,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 5000, keep: int = 4000,
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / t2 * (new - w), newb + (t - 1) / t2 * (newb - bias)
         w, bias, t = new, newb, t2
-    return Model(chosen, w, bias)
+    model = Model(chosen, w, bias)
+    model.pairs = len(swaps)
+    return model
 
 
 def with_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, threshold: float = 0.5, **options) -> DataFrame:
