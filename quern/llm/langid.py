@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import small_batches
 
-SPAN = 32  # bytes that the network reads at once; longer words go in several spans
-CACHED_WORDS = 400_000
+CORE, EDGE = 480, 16  # bytes of a span that are labelled, and that are read before and after them
+AT_ONCE = 1024  # spans read together
+LEARN = 64  # bytes of a span to learn from
+LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])  # bytes of letters, and of all characters beyond ASCII
 Arrays = dict[str, np.ndarray]
 
 
@@ -75,12 +77,41 @@ def back(p: Arrays, way: str, steps: np.ndarray, kept: list, dout: np.ndarray, g
         dh = dh * (1 - z) + drh * r + dzr @ uz.T
 
 
-def probabilities(p: Arrays, steps: np.ndarray) -> np.ndarray:
-    """Language probabilities [T, N, K] at every position of bytes [T, N]."""
-    logits = states(p, "f", steps) @ p["of"] + (states(p, "b", steps[::-1])[::-1] @ p["ob"]) + p["co"]
+def read(p: Arrays, way: str, steps: np.ndarray) -> np.ndarray:
+    """`states` without a way back. Signs and factors of the gates are put in the weights first."""
+    hidden = p["u" + way].shape[0]
+    gates = slice(0, 2 * hidden)
+    table, u = -(p["x" + way] + p["c" + way]), -p["u" + way]
+    tz, uz = np.ascontiguousarray(table[:, gates]), np.ascontiguousarray(u[:, gates])
+    tc, uc = np.ascontiguousarray(2 * table[:, 2 * hidden :]), np.ascontiguousarray(2 * u[:, 2 * hidden :])
+    out = np.empty((len(steps), steps.shape[1], hidden), dtype="f4")
+    h = np.zeros((steps.shape[1], hidden), dtype="f4")
+    for t, b in enumerate(steps):
+        zr = np.dot(h, uz)
+        zr += tz[b]
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        c = np.dot(zr[:, hidden:] * h, uc)
+        c += tc[b]
+        np.exp(c, out=c)
+        c += 1
+        np.divide(2, c, out=c)
+        c -= 1
+        c -= h
+        c *= zr[:, :hidden]
+        h = np.add(h, c, out=out[t])
+    return out
+
+
+def probabilities(p: Arrays, steps: np.ndarray, rows: slice = slice(None)) -> np.ndarray:
+    """Language probabilities [T, N, K] at the positions `rows` of bytes [T, N], all of which are read."""
+    with np.errstate(over="ignore"):  # a gate that is shut
+        logits = read(p, "f", steps)[rows] @ p["of"] + (read(p, "b", steps[::-1])[::-1][rows] @ p["ob"]) + p["co"]
     logits -= logits.max(-1, keepdims=True)
-    e = np.exp(logits)
-    return e / e.sum(-1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(-1, keepdims=True)
+    return logits
 
 
 def slopes(p: Arrays, steps: np.ndarray, y: np.ndarray) -> tuple[float, Arrays]:
@@ -107,29 +138,38 @@ def slopes(p: Arrays, steps: np.ndarray, y: np.ndarray) -> tuple[float, Arrays]:
     return float(loss), g
 
 
-def spans(word: str) -> list[bytes]:
-    """What the network reads of a word: its bytes and a closing space, cut to at most SPAN bytes."""
-    raw = word.encode() + b" "
-    return [raw[i : i + SPAN] for i in range(0, len(raw), SPAN)]
+def whole_characters(spans: np.ndarray) -> np.ndarray:
+    """Spans [N, T] of UTF-8, with blanks for what is left of a character that an end cuts."""
+    spans = spans.copy()
+    rest = np.ones(len(spans), dtype=bool)
+    for i in range(min(3, spans.shape[1])):
+        rest &= (spans[:, i] & 0xC0) == 0x80
+        spans[rest, i] = 32
+    for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+        if spans.shape[1] >= k:
+            spans[spans[:, -k] >= least, -k:] = 32
+    return spans
+
 
+def cut(raw: bytes, core: int, edge: int) -> np.ndarray:
+    """Spans [N, core + 2 * edge] whose middle parts make up the bytes in turn; blanks before and after them."""
+    n = -(-len(raw) // core)
+    padded = np.full(n * core + 2 * edge, 32, dtype=np.uint8)
+    padded[edge : edge + len(raw)] = np.frombuffer(raw, dtype=np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, core + 2 * edge)[::core]
 
-def train(samples: list[tuple[bytes, int]], languages: int, hidden: int = 12, rounds: int = 900, batch: int = 384, seed: int = 11) -> Arrays:
-    """Fit on (span, language) samples with Adam; each batch holds spans of one length."""
+
+def train(spans: np.ndarray, y: np.ndarray, languages: int, hidden: int = 8, rounds: int = 600, batch: int = 128, seed: int = 11) -> Arrays:
+    """Fit on spans [N, T] of bytes and their languages with Adam; batches draw languages alike."""
     rng = np.random.default_rng(seed)
     p = start(hidden, languages, rng)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
-    by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for length in sorted({len(b) for b, _ in samples}):
-        own = [(b, y) for b, y in samples if len(b) == length]
-        by[length] = np.frombuffer(b"".join(b for b, _ in own), dtype=np.uint8).reshape(-1, length), np.array([y for _, y in own])
-    lengths = np.array(list(by))
-    share = np.array([len(by[k][1]) * k for k in lengths], dtype="f8")
-    share /= share.sum()
+    own = [np.flatnonzero(y == k) for k in range(languages)]
+    own = [x for x in own if len(x)]
     for i in range(1, rounds + 1):
-        x, y = by[int(rng.choice(lengths, p=share))]
-        pick = rng.integers(0, len(y), batch)
-        _, g = slopes(p, np.ascontiguousarray(x[pick].T), y[pick])
+        pick = np.array([own[k][int(u * len(own[k]))] for k, u in zip(rng.integers(0, len(own), batch), rng.random(batch))])
+        _, g = slopes(p, np.ascontiguousarray(spans[pick].T), y[pick])
         rate = 0.02 * (1 - i / (rounds + 1)) + 1e-4
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         for k in p:
@@ -144,53 +184,41 @@ def train(samples: list[tuple[bytes, int]], languages: int, hidden: int = 12, ro
 class Model:
     """Labels all positions of a text and pools them to one probability for each language.
 
-    The state starts anew at each span, so the labels of a word's bytes depend on the word alone:
-    the sums over its positions are remembered (a bounded number of words) and the result is the
-    same as if every byte of the text were read in turn.
+    A text is read as its bytes, across words, in spans of CORE bytes with EDGE more on both sides,
+    so that the states at the first and last labelled byte know what stands before and after.
+    Positions of letters (and of other characters beyond ASCII) are pooled.
     """
 
     languages: list[str]
     weights: Arrays
-    known: dict[str, int] = field(default_factory=dict)
-    sums: np.ndarray | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}, "sums": None}
-
-    def _learn(self, words: list[str]) -> None:
-        k = len(self.languages)
-        found = np.zeros((len(words), k + 1))
-        by: dict[int, list[tuple[int, bytes]]] = {}
-        for i, w in enumerate(words):
-            if any(map(str.isalpha, w)):
-                for part in spans(w):
-                    by.setdefault(len(part), []).append((i, part))
-        for length, own in by.items():
-            for at in range(0, len(own), 4096):
-                some = own[at : at + 4096]
-                steps = np.frombuffer(b"".join(b for _, b in some), dtype=np.uint8).reshape(-1, length).T
-                total = probabilities(self.weights, np.ascontiguousarray(steps)).sum(0)
-                rows = np.array([i for i, _ in some])
-                np.add.at(found, rows, np.hstack([total, np.full((len(rows), 1), length)]))
-        for i, w in enumerate(words, len(self.known)):
-            self.known[w] = i
-        self.sums = found if self.sums is None else np.vstack([self.sums, found])
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
-        """[texts, K] mean probabilities over the positions of words that hold a letter; zeros without one."""
-        split = [t.split() if t else [] for t in texts]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
-        if self.sums is not None and len(self.known) + len(new) > CACHED_WORDS:
-            self.known, self.sums = {}, None
-            new = list(dict.fromkeys(w for words in split for w in words))
-        if new:
-            self._learn(new)
-        out = np.zeros((len(texts), len(self.languages) + 1))
-        known = self.known
-        for i, words in enumerate(split):
-            if words:
-                out[i] = self.sums[[known[w] for w in words]].sum(0)
-        return out[:, :-1] / np.maximum(out[:, -1:], 1)
+        """[texts, K] mean probabilities over the positions; zeros for a text without a letter."""
+        total, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        waiting: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        middle = slice(EDGE, EDGE + CORE)
+
+        def label() -> None:
+            owner = np.concatenate(owners)
+            steps = np.ascontiguousarray(whole_characters(np.concatenate(waiting)).T)
+            letters = LETTER[steps[middle]].astype("f4")
+            np.add.at(total, owner, np.einsum("tnk,tn->nk", probabilities(self.weights, steps, middle), letters))
+            np.add.at(n, owner, letters.sum(0))
+            waiting.clear()
+            owners.clear()
+
+        for i, t in enumerate(texts):
+            if t and any(map(str.isalpha, t)):
+                spans = cut(t.encode(), CORE, EDGE)
+                for at in range(0, len(spans), AT_ONCE):
+                    waiting.append(spans[at : at + AT_ONCE])
+                    owners.append(np.full(len(waiting[-1]), i))
+                    if sum(map(len, owners)) >= AT_ONCE:
+                        label()
+        if waiting:
+            label()
+        return total / np.maximum(n, 1)[:, None]
 
     def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if not self.languages:
@@ -200,37 +228,39 @@ class Model:
         return [self.languages[b] if s > 0 else "und" for b, s in zip(best, score)], np.clip(score, 0, 1)
 
 
-def fit(docs: DataFrame, learnable: Column, per_language: int = 400, words: int = 150, **options) -> Model:
-    """Learn from about `per_language` documents of each language and at most `words` words of each.
+def fit(docs: DataFrame, learnable: Column, spans: int = 4000, **options) -> Model:
+    """Learn from about `spans` spans of LEARN bytes of each language (the documented bound of the sample).
 
-    Languages are all non-null lang values of learnable rows (ties in order of their names).
+    They are drawn from all bytes of all learnable rows alike, by their ids. Languages are all non-null
+    lang values of learnable rows (ties in order of their names).
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", "text", "lang").where(learnable).where("lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pieces = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / LEARN)
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(pieces).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], {})
-    share = F.lit(0.0)
-    for k in languages:
-        share = F.when(F.col("lang") == k, F.lit(min(1.0, per_language / counts[k]))).otherwise(share)
-    place = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = {k: min(1.0, spans / max(1, counts[k])) for k in languages}
 
     def some(batches):
         for b in batches:
-            texts, langs, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for t, lang in zip(texts, langs):
-                own = [w for w in dict.fromkeys((t or "").split()) if any(map(str.isalpha, w))]
-                out += [(w, lang) for w in own[:: max(1, -(-len(own) // words))]]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([k for _, k in out], pa.string())], names=["word", "lang"])
-
-    picked = rows.where(place < share).select("text", "lang").mapInArrow(some, "word string, lang string").toArrow()
+            found, langs = [], []
+            for i, t, lang in zip(*(c.to_pylist() for c in b.columns)):
+                own = cut((t or "").encode(), LEARN, 0)
+                own = own[np.random.default_rng(i % (1 << 64)).random(len(own)) < share[lang]]
+                found += [x.tobytes() for x in own]
+                langs += [lang] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(langs, pa.string())], names=["span", "lang"])
+
+    drawn = rows.where(F.length("text") > 0).select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(some, "span binary, lang string").toArrow()
     number = {k: i for i, k in enumerate(languages)}
-    samples = sorted((part, number[k]) for w, k in zip(picked.column(0).to_pylist(), picked.column(1).to_pylist()) for part in spans(w))
+    samples = sorted((x, number[k]) for x, k in zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist()))
     if not samples:
         return Model(languages[:1], start(1, 1, np.random.default_rng(0)))
-    return Model(languages, train(samples, len(languages), **options))
+    read_ = whole_characters(np.frombuffer(b"".join(x for x, _ in samples), dtype=np.uint8).reshape(-1, LEARN))
+    return Model(languages, train(read_, np.array([k for _, k in samples]), len(languages), **options))
 
 
 def with_language(docs: DataFrame, learnable: Column, **options) -> DataFrame:

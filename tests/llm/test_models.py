@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -95,13 +96,14 @@ def test_swapped_terms_change_scores_less(spark):
         model = toxicity.fit(d, y, fairness=fairness)
         pairs = [(model.score(t), model.score(t.replace("muslims", "X").replace("christians", "muslims").replace("X", "christians"))) for _, t in docs[:100]]
         gap[fairness] = np.mean([abs(a - b) for a, b in pairs])
+        assert model.pairs >= 400
     assert gap[50.0] < 0.5 * gap[0.0]
     assert toxicity.counterfactuals("All is well.") == [] and toxicity.counterfactuals(None) == []
 
 
 def test_language_held_out_and_edges(spark, corpus):
     docs, _ = frames(spark, corpus)
-    rows = {(r.doc_id): r for r in langid.with_language(docs, ~held_out(4, 2), rounds=250, words=40).collect()}
+    rows = {(r.doc_id): r for r in langid.with_language(docs, ~held_out(4, 2), rounds=250, spans=600).collect()}
     known = {d[0]: d[2] for d in corpus[0] if d[0] < 600}
     assert sum(rows[i].lang_pred == k for i, k in known.items()) / len(known) > 0.97
     for i in (1000, 1001, 1002):
@@ -131,18 +133,29 @@ def test_slopes_by_differences():
     assert np.empty is original
 
 
-def test_remembered_words_equal_whole_reading():
+def test_spans_equal_reading_the_whole_text():
     rng = np.random.default_rng(2)
     model = langid.Model(["a", "b"], langid.start(6, 2, rng))
-    text = "Ein langes Wort " + "x" * 70 + " und 123 noch eins, é!"
-    total, n = np.zeros(2), 0
-    for w in text.split():
-        if any(map(str.isalpha, w)):
-            for part in langid.spans(w):
-                q = langid.probabilities(model.weights, np.frombuffer(part, dtype=np.uint8).reshape(-1, 1))
-                total, n = total + q.sum((0, 1)), n + len(part)
-    for _ in range(2):
-        assert np.allclose(model.pooled([text, None, ""]), [total / n, [0, 0], [0, 0]], atol=1e-6)
+
+    def whole(text):
+        steps = np.frombuffer(b" " * langid.EDGE + text.encode() + b" " * (langid.CORE + langid.EDGE), dtype=np.uint8).reshape(-1, 1)
+        q = langid.probabilities(model.weights, steps)[langid.EDGE : langid.EDGE + len(text.encode()), 0]
+        slow = langid.states(model.weights, "f", steps) @ model.weights["of"] + langid.states(model.weights, "b", steps[::-1])[::-1] @ model.weights["ob"] + model.weights["co"]
+        slow = np.exp(slow[langid.EDGE : langid.EDGE + len(text.encode()), 0])
+        assert np.allclose(q, slow / slow.sum(-1, keepdims=True), atol=1e-5)
+        return q[langid.LETTER[np.frombuffer(text.encode(), dtype=np.uint8)]].mean(0)
+
+    short, long_ = "Ein langes Wort " + "x" * 70 + " und 123 noch eins, é!", "wie weit es geht, über 中文 hinaus … " * 400
+    got = model.pooled([short, None, "", long_, "12 ½ !", short])
+    assert np.allclose(got[[0, 5]], whole(short), atol=2e-3) and (got[[1, 2, 4]] == 0).all()
+    assert np.allclose(got[3], whole(long_), atol=2e-2)
+
+
+def test_ends_of_spans_keep_characters_whole():
+    raw = "aé中😀" * 5
+    for size in (4, 7, 16):
+        for span in langid.whole_characters(langid.cut(raw.encode(), size, 0)):
+            assert span.tobytes().decode().replace(" ", "") in raw
 
 
 def test_every_other_term_of_a_row_is_swapped_in():
@@ -151,3 +164,41 @@ def test_every_other_term_of_a_row_is_swapped_in():
     for term, others in SWAPS.items():
         won = [b for _, b in counterfactuals(f"we met {term} there")]
         assert len(won) == len(others) and all(any(word_features(o)[0] in b for b in won) for o in others)
+
+
+def test_neutral_terms_of_the_corpus_are_swapped(spark):
+    """A corpus without listed terms: words that both labels share are swapped inside their language, and lose their weight."""
+    rng = random.Random(7)
+    names = {"en": ["alder", "birch", "cedar", "dogwood"], "de": ["ahorn", "buche", "eiche", "linde"]}
+    docs, labels = [], []
+    for i in range(600):
+        lang, toxic = rng.choice(["en", "de"]), i % 2
+        group = rng.sample(names[lang], 2)
+        docs.append((i, f"{prose(rng, lang, 12)}. {group[0]} {group[1]} {'vileword' if toxic else 'plainword'}. {prose(rng, lang, 12)}"))
+        labels.append((i, toxic))
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    terms = toxicity.neutral_terms(d.join(y, "doc_id").select(F.col("toxic").alias("y"), "text"), {0: 300, 1: 300})
+    own = [w for k in names.values() for w in k]
+    assert sum(w in terms for w in own) >= 5 and not {"vileword", "plainword"} & terms.keys()
+    for lang, words in names.items():
+        other = names["de" if lang == "en" else "en"]
+        assert all(not set(other) & set(terms[w]) for w in words if w in terms)
+    model = toxicity.fit(d, y)
+    assert model.pairs > 600
+    for lang, words in names.items():
+        scores = [model.score(f"we saw {w} there") for w in words if w in terms]
+        assert max(scores) - min(scores) < 0.1
+    assert model.score("a vileword") > 0.5 > model.score("a plainword")
+
+
+def test_repeated_rows_keep_the_bound(spark):
+    docs = spark.createDataFrame([(i % 20, f"word{i % 7} some text {'vile' if i % 2 else 'fine'}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, most=5)
+    assert model.score("vile") > model.score("fine")
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="driver tables are not here")
+def test_pairs_on_the_driver_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    assert toxicity.fit(docs, labels.where(~held_out(5, 0))).pairs > 100
