@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import about, settle, small_batches, whole_groups
+from quern.llm.common import about, marked, marks, settle, small_batches, unused, whole_groups
 from quern.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -234,19 +234,23 @@ def simhash_groups(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
     """docs without all but one row of each near-duplicate group; columns as they came.
 
-    The row with the smallest doc_id stays; of repeated rows with that id one.
-    Rows without a doc_id all stay.
+    The row with the smallest doc_id stays; of several rows with that id, also of different texts,
+    one (any). Rows without a doc_id all stay.
     """
     groups = settle(simhash_groups(docs, words, most))
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs.doc_id == F.col("_kept"), "left_semi")
+    own = unused(docs, "kept")[0]
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    out = docs.join(kept, docs.doc_id == kept[own], "left_semi")
     if groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").head(1):
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))
 
 
 SHARE = (4, 5)  # least Jaccard index of near copies, in whole numbers
-FEW = 32  # sets under one key that are compared each with each at once
+RADIUS, FEWEST = 24, 32  # bits in which near copies of FEWEST shingles or more may differ
+FEW, TURNS = 32, 2  # sets under one key that are compared each with each at once, and turns with centres for others
+PARITY = 1024  # bits of a set's parity sketch
+COMPARE = 1000  # sketches that a set is compared with at once, on average
 
 
 def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -269,17 +273,27 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def _prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _summary(s: np.ndarray) -> tuple[int, int, int]:
+    """(id, size, SimHash) of a set of shingles."""
+    return xxhash.xxh64_intdigest(s.tobytes()), len(s), _majority(s) if len(s) else 0
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """PARITY bits, each whether an odd number of shingles fall on it. Two sets' sketches differ in no more bits than the sets in shingles."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """So many distinct shingles, rare ones first, that sets of an index of SHARE or more have one of them in common.
 
     Sets must share SHARE of the larger one at least, so less than the rest plus one cannot be all
     that differs. Any order that is one for all texts will do; `common` (sorted) come last.
     """
-    h = np.unique(h)
     if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        h = h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
-    return h[: len(h) - -(-SHARE[0] * len(h) // SHARE[1]) + 1]
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        s = s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))]
+    return s[: len(s) - -(-SHARE[0] * len(s) // SHARE[1]) + 1]
 
 
 def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,104 +304,226 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             for t in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t, words)).view(np.int64), pa.int64())], names=["h"])
 
-    seen = about(docs.select("doc_id", "text"), 20_000, "doc_id").select("text").mapInArrow(each, "h long").groupBy("h").count()
-    got = seen.where("count >= 5").orderBy(F.desc("count"), "h").limit(50_000).toArrow()
+    seen = about(docs.select("doc_id", "text"), 6_000, "doc_id").select("text").mapInArrow(each, "h long").groupBy("h").count()
+    got = seen.where("count >= 3").orderBy(F.desc("count"), "h").limit(50_000).toArrow()
     h, n = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def _same_key(rows: DataFrame, few: int) -> DataFrame:
-    """(key, node, n, few) of keys that stand in two sets or more; few: the key has at most `few`."""
+def _close(m, x, n, y):
+    """Sets of sizes m and n with SimHash words x and y can have the index.
 
-    def each(batches):
-        for t in whole_groups(batches, "key"):
-            key = t.column("key").to_numpy()
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[starts, len(key)])
-            size = np.repeat(size, size)
-            t = t.append_column("few", pa.array(size <= few)).filter(pa.array(size > 1))
-            yield from t.combine_chunks().to_batches()
+    At an index of 0.8 a bit differs with a chance of 0.15, so more than RADIUS of 64 do for one
+    pair in a million; words of fewer shingles scatter more and are not asked.
+    """
+    sizes = np.minimum(m, n) * SHARE[1] >= np.maximum(m, n) * SHARE[0]
+    return sizes & ((np.minimum(m, n) < FEWEST) | (np.bitwise_count(x ^ y) <= RADIUS))
+
+
+def _close_rows(a: str, b: str) -> Column:
+    """`_close` of two rows."""
+    sizes = F.least(f"{a}.n", f"{b}.n") * SHARE[1] >= F.greatest(f"{a}.n", f"{b}.n") * SHARE[0]
+    return sizes & ((F.least(f"{a}.n", f"{b}.n") < FEWEST) | (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RADIUS))
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(each, "key long, node long, n int, few boolean")
 
+def _alike(a: str, b: str) -> Column:
+    """Sets of rows (n, odd) whose parity sketches leave room for the index. No pair that has it fails."""
+    apart = F.aggregate(F.zip_with(f"{a}.odd", f"{b}.odd", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda t, x: t + x)
+    return apart * (SHARE[0] + SHARE[1]) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (SHARE[1] - SHARE[0])
 
-def _close(a: str, b: str) -> Column:
-    """Sets of these sizes can have the index."""
-    return F.least(a, b) * SHARE[1] >= F.greatest(a, b) * SHARE[0]
+
+_MET = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("near", pa.bool_())])
+
+
+def _met(few: int):
+    """Of rows (key, node, n, fp), those of a key and node together: pairs (u, v) of sets under keys with `few` sets
+    or fewer that can have the index. Sets under other keys come one by one: u, the first set of the key as v, the
+    key, and whether these two can have it. Holds `few` rows of a key at most, whatever their number.
+    """
+
+    def pairs(t: pa.Table, first: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        node, n, fp = columns(t)
+        of = np.repeat(size, size)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        row, ahead = np.repeat(first, size) + place, of - place - 1  # each row meets those after it
+        i = np.repeat(row, ahead)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+        keep = _close(n[i], fp[i], n[j], fp[j])
+        both = np.unique(np.stack([node[i[keep]], node[j[keep]]]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in both] + [pa.nulls(both.shape[1], f.type) for f in list(_MET)[2:]], schema=_MET)
+
+    def single(t: pa.Table, centre: tuple) -> pa.RecordBatch:
+        node, n, fp = columns(t)
+        made = [node, np.full(len(node), centre[0]), t.column("key").to_numpy(), n, fp.view(np.int64), _close(n, fp, centre[1], centre[2])]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, _MET)], schema=_MET)
+
+    def columns(t: pa.Table) -> tuple[np.ndarray, ...]:
+        return t.column("node").to_numpy(), t.column("n").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+
+    def each(batches):
+        held, open_, centre, last = None, None, None, None
+        for b in _then_none(batches):
+            rows = [x for x in (held, b) if x is not None and x.num_rows]
+            held = None
+            if not rows:
+                continue
+            t = pa.Table.from_batches([y for x in rows for y in (x.to_batches() if isinstance(x, pa.Table) else [x])])
+            key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+            new = np.r_[(key[0], node[0]) != last, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # equal rows of several tasks
+            t = t.filter(pa.array(new))
+            key = t.column("key").to_numpy()
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[first, len(key)])
+            if open_ is not None and key[0] == open_:
+                part = t.slice(0, size[0])
+                yield single(part, centre)
+                last = (key[0], part.column("node")[-1].as_py())
+                first, size = first[1:], size[1:]
+            if b is not None and len(first) and size[-1] <= few:
+                held = t.slice(first[-1])
+                first, size = first[:-1], size[:-1]
+            for i, m in zip(first[size > few], size[size > few]):
+                part = t.slice(i, m)
+                open_, centre = key[i], tuple(x[0] for x in columns(part))
+                last = (key[i], part.column("node")[-1].as_py())
+                yield single(part, centre)
+            some = (size > 1) & (size <= few)
+            if some.any():
+                yield pairs(t, first[some], size[some])
+
+    return each
+
+
+def _then_none(batches):
+    yield from batches
+    yield None
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (u, v) of sets whose Jaccard index is SHARE or more, by all their shingles."""
+    """The pairs (u, v) of sets whose Jaccard index is SHARE or more, by all their shingles.
+
+    Sketches drop most others first. One text of each set goes to each of its pairs; texts of no pair
+    stay where they are, as far as marks tell.
+    """
+    pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sets = rows.groupBy("sid").agg(F.min("n").alias("n"), F.min("odd").alias("odd"))
+    x, y = sets.withColumnRenamed("sid", "u").alias("x"), sets.withColumnRenamed("sid", "v").alias("y")
+    pairs = settle(pairs.join(x, "u").join(y, "v").where(_alike("x", "y")).select("u", "v"))
+    ends = pairs.select("u", "v", F.lit(0).alias("side"), F.col("u").alias("sid")).union(pairs.select("u", "v", F.lit(1), "v"))
+    place = rows.groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("p")).select("sid", F.col("p.doc_id").alias("d"), F.col("p.text_key").alias("k"))
+    asked = settle(ends.join(place, "sid").select("u", "v", "side", "d", "k"))
+    texts = docs.where(marked(marks(asked, "d"), F.col("doc_id"))).select("doc_id", "text")
+    texts = texts.join(asked, (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("k"))).select("u", "v", "side", "text")
 
     def each(batches):
+        known: dict[str, np.ndarray] = {}
+        pair, sides = None, {}
         for b in batches:
-            sets = [np.unique(shingles(t, words)).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "h"])
-
-    pairs = settle(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    asked = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct()
-    place = rows.join(asked, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("p")).select("sid", F.col("p.doc_id").alias("_doc"), F.col("p.text_key").alias("_key"))
-    texts = docs.select("doc_id", "text").join(settle(place), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_key"))).select("sid", "text")
-    sets = settle(texts.mapInArrow(each, "sid long, h array<long>").dropDuplicates(["sid"]))
-    both = pairs.join(sets.select(F.col("sid").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("sid").alias("v"), F.col("h").alias("b")), "v")
-    same = F.size(F.array_intersect("a", "b"))
-    return settle(both.where(same * SHARE[1] >= (F.size("a") + F.size("b") - same) * SHARE[0]).select("u", "v"))
+            found = []
+            for u, v, side, text in zip(*(c.to_pylist() for c in b.columns)):
+                if (u, v) != pair:
+                    pair, sides = (u, v), {}
+                if side in sides:  # a repeated row
+                    continue
+                if text not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[text] = np.unique(shingles(text, words))
+                sides[side] = known[text]
+                if len(sides) == 2:
+                    x, y = sides[0], sides[1]
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    if same * SHARE[1] >= (len(x) + len(y) - same) * SHARE[0]:
+                        found.append(pair)
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    return settle(texts.repartition("u", "v").sortWithinPartitions("u", "v", "side").mapInArrow(each, "u long, v long"))
+
+
+def _still_apart(labelled: DataFrame, turn: int) -> tuple[DataFrame, bool]:
+    """Pairs of sets under one of the keys with many sets that can have the index and are not yet linked, and whether these are all.
+
+    labelled: (key, node, n, fp, odd, component). At first each key's sets meet one centre: its smallest
+    set, then one by hash; sets that share a passage and little else are linked to the smallest, if
+    to any. After TURNS turns, or if no more pairs than rows are left, all pairs are taken.
+    """
+    labelled = settle(labelled)
+    order = F.struct("n", F.xxhash64("key", "node")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "key", "node"))
+    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", order).alias("node"), F.min(order).alias("o"))
+    per = settle(parts.groupBy("key").agg(F.sum("m").alias("every"), F.sum(F.col("m") * F.col("m")).alias("same"), F.min_by("node", "o").alias("centre")).where("every * every > same"))
+    left, rows = per.agg(F.sum((F.col("every") * F.col("every") - F.col("same")) / 2), F.sum("every")).first()
+    x, y = labelled.alias("x"), labelled.alias("y")
+    apart = F.expr("x.key = y.key and x.component <> y.component") & _close_rows("x", "y") & _alike("x", "y")
+    last = turn == TURNS or (left or 0) <= COMPARE * (rows or 0)
+    if last:
+        y = labelled.join(per.select("key"), "key", "left_semi").alias("y")
+        both = x.join(y, apart & F.expr("x.node < y.node"))
+    else:
+        y = labelled.join(per.select("key", F.col("centre").alias("node")), ["key", "node"], "left_semi").alias("y")
+        both = x.join(y, apart)
+    return both.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), last
 
 
 def near_copies(docs: DataFrame, words: int = 5, most: int = 4, few: int = FEW) -> DataFrame:
     """(doc_id, text_key, component) of every row with a doc_id: texts linked by steps of a Jaccard index of 0.8 or more.
 
-    SimHash words within `most` bits (Gray-order index) and, since at 0.8 they differ in more, all
-    sets that share a shingle of their prefixes are candidates: no pair is missed. Each is checked by
-    its shingles. Keys with more than `few` sets give stars first, each key its own centre; then
-    their sets that are not yet linked are compared each with each.
+    SimHash words within `most` bits, from the Gray-order index, are candidates. At an index of 0.8
+    words differ in more, up to RADIUS, where no index of 64 bits is selective; so sets that share
+    a shingle of their prefixes are compared by their words too: of pairs with the index all but one in
+    a million. Each candidate is checked by its shingles. Keys with more than `few` sets give
+    stars, each key its own centre, in up to TURNS turns; then their sets that are still not linked
+    are compared.
     """
     small_batches(docs.sparkSession)
     docs = docs.where("doc_id is not null").select("doc_id", "text")
 
     def summary(batches):
         for b in batches:
-            sid, n, fp = [], [], []
-            for t in b.column("text").to_pylist():
-                h = shingles(t, words)
-                s = np.unique(h)
-                sid.append(xxhash.xxh64_intdigest(s.tobytes()))
-                n.append(len(s))
-                fp.append(_majority(h) if len(h) else 0)
-            made = [pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64()) for x in (sid, fp)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), made[0], pa.array(n, pa.int32()), made[1]], names=["doc_id", "text_key", "sid", "n", "fp"])
-
-    rows = settle(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(summary, "doc_id long, text_key long, sid long, n int, fp long"))
+            sets = [np.unique(shingles(t, words)) for t in b.column("text").to_pylist()]
+            made = [_summary(s) for s in sets]
+            sid, n, fp = (np.array([m[i] for m in made], dtype=np.uint64).view(np.int64) for i in range(3))
+            odd = pa.array([_parity(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(sid), pa.array(n.astype("i4")), pa.array(fp), odd], names=["doc_id", "text_key", "sid", "n", "fp", "odd"])
+
+    rows = settle(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(summary, "doc_id long, text_key long, sid long, n int, fp long, odd array<long>"))
     common, counts = _common(docs, words)
 
     def prefixes(batches):
+        seen: set[int] = set()  # of this task's rows: copies give their prefix once
         for b in batches:
+            keys, of = [], []
             for t in b.column(0).to_pylist():
-                h = shingles(t, words)
-                s = np.unique(h)
-                key = _prefix(s, common, counts)
-                sid = np.array([xxhash.xxh64_intdigest(s.tobytes())], dtype=np.uint64).view(np.int64)[0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64), pa.int64()), pa.array(np.full(len(key), sid), pa.int64()), pa.array(np.full(len(key), len(s)), pa.int32())], names=["key", "node", "n"]
-                )
-
-    shared = settle(_same_key(docs.select("text").mapInArrow(prefixes, "key long, node long, n int").distinct(), few))
+                s = np.unique(shingles(t, words))
+                about_ = _summary(s)
+                if about_[0] not in seen:
+                    seen.add(about_[0])
+                    keys.append(_prefix(s, common, counts))
+                    of.append(about_)
+            size = [len(k) for k in keys]
+            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
+            node, n, fp = (np.repeat(np.array([m[i] for m in of], dtype=np.uint64).view(np.int64), size) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(n.astype("i4")), pa.array(fp)], names=["key", "node", "n", "fp"])
+
+    dealt = docs.select("text").mapInArrow(prefixes, "key long, node long, n int, fp long").repartition("key")
+    dealt = dealt.sortWithinPartitions("key", F.xxhash64("key", "node"), "node")  # each key has its own first set
+    met = settle(dealt.mapInArrow(_met(few), "u long, v long, key long, n int, fp long, near boolean"))
     nodes = settle(rows.groupBy("fp").agg(F.min("sid").alias("node")))
-    gray = near_edges(nodes, most).unionByName(rows.join(nodes, "fp").select(F.col("sid").alias("u"), F.col("node").alias("v")).where("u <> v"))
-    a, b = shared.alias("a"), shared.alias("b")
-    each = a.join(b, F.expr("a.key = b.key and a.node < b.node and a.few and b.few")).where(_close("a.n", "b.n")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    many = shared.where("not few")
-    centre = many.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("key", "node")).alias("c"))
-    stars = many.join(centre, "key").where(_close("n", "c.n")).select(F.col("node").alias("u"), F.col("c.node").alias("v"))
-    edges = _verified(gray.unionByName(each).unionByName(stars), rows, docs, words)
+    gray = near_edges(nodes, most).unionByName(rows.join(nodes, "fp").select(F.col("sid").alias("u"), F.col("node").alias("v")))
+    edges = _verified(gray.unionByName(met.where("key is null or near").select("u", "v")), rows, docs, words)
     found = components(edges)
+    many = met.where("key is not null").select("key", F.col("u").alias("node"), "n", "fp")
     if many.head(1):
-        labelled = settle(many.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        x, y = labelled.alias("x"), labelled.alias("y")
-        rest = x.join(y, F.expr("x.key = y.key and x.node < y.node and x.component <> y.component")).where(_close("x.n", "y.n")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-        edges = edges.unionByName(_verified(rest, rows, docs, words))
-        found = components(edges)
+        sets = rows.groupBy("sid").agg(F.min("odd").alias("odd")).withColumnRenamed("sid", "node")
+        many = settle(many.join(sets, "node"))
+        for turn in range(TURNS + 1):
+            more, last = _still_apart(many.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), turn)
+            edges = edges.unionByName(_verified(more, rows, docs, words))
+            found = components(edges)
+            if last:
+                break
     named = found.withColumnRenamed("node", "sid")
     return rows.join(named, "sid", "left").select("doc_id", "text_key", F.coalesce("component", "sid").alias("component"))
 
@@ -395,11 +531,19 @@ def near_copies(docs: DataFrame, words: int = 5, most: int = 4, few: int = FEW)
 def keep_one_near(docs: DataFrame, words: int = 5, most: int = 4, few: int = FEW) -> DataFrame:
     """docs without all but one row of each group of near copies (Jaccard index of 0.8 or more); columns as they came.
 
-    The row with the smallest doc_id stays. Rows without a doc_id all stay.
+    The row with the smallest doc_id stays (of several texts with that id, the smallest hash), once
+    if it is repeated. Rows without a doc_id all stay. Only rows that go, and few others that share
+    their marks, are dealt out.
     """
     groups = settle(near_copies(docs, words, most, few))
-    kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("p")).select(F.col("p.doc_id").alias("_doc"), F.col("p.text_key").alias("_key"))
-    out = docs.join(kept, (docs.doc_id == F.col("_doc")) & (F.xxhash64(docs.text) == F.col("_key")), "left_semi")
-    if groups.groupBy("doc_id", "text_key").count().where("count > 1").head(1):
-        out = out.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return out.unionByName(docs.where("doc_id is null"))
+    place = F.struct("doc_id", "text_key")
+    first = groups.groupBy("component").agg(F.min(place).alias("first"))
+    gone = settle(groups.join(first, "component").where(place != F.col("first")).select("doc_id", "text_key").distinct())
+    again = settle(groups.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"))
+    bits = marks(gone.union(again), "doc_id")
+    maybe = F.col("doc_id").isNotNull() & marked(bits, F.col("doc_id"))
+    d, k = unused(docs, "d", "k")
+    out = docs.where(maybe).join(gone.toDF(d, k), (F.col("doc_id") == F.col(d)) & (F.xxhash64("text") == F.col(k)), "left_anti")
+    if again.head(1):
+        out = out.withColumn(k, F.xxhash64("text")).dropDuplicates(["doc_id", k]).drop(k)
+    return out.unionByName(docs.where(~maybe))

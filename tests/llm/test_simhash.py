@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from quern.llm import simhash
@@ -95,6 +96,8 @@ def test_groups_with_edge_cases(spark, documents):
     assert slow_fingerprint(BASE) == slow_fingerprint(BASE.upper())
     assert bin(slow_fingerprint(BASE) ^ slow_fingerprint(near)).count("1") <= 4
     assert got == sorted([(False, 5, 5), (False, 9, 5), (False, 7, 5), (False, 3, 3), (False, 4, 3), (False, 8, 3), (False, 11, 11), (False, 11, 11), (False, 12, 12), (True, -1, 5)])
+    kept = simhash.keep_one(documents(rows).withColumnsRenamed({"lang": "kept", "source": "_kept"}))
+    assert kept.columns == ["doc_id", "text", "kept", "_kept", "n_chars"] and {r._kept for r in kept.collect()} == {"s"}
     kept = simhash.keep_one(documents(rows))
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 3, 5, 11, 12]
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
@@ -132,3 +135,32 @@ def test_near_copies_match_brute_force(spark, documents):
     assert len(simhash.keep_one(documents(rows)).collect()) > len(want)
     assert simhash.keep_one_near(documents([])).count() == 0
     assert all(simhash._majority(simhash.shingles(t, 4)) == simhash.fingerprint(t) for _, t in rows if t)
+
+
+def test_near_copies_with_odd_rows(spark, documents):
+    rows = [(1, BASE), (1, BASE), (2, BASE + "end"), (3, None), (3, None), (4, ""), (None, BASE), (None, None), (5, BASE), (5, "another text of id five"), (6, "x " * 60_000)]
+    docs = documents(rows).withColumnsRenamed({"lang": "d", "source": "k"})
+    out = simhash.keep_one_near(docs)
+    assert out.columns == ["doc_id", "text", "d", "k", "n_chars"]
+    got = sorted((r.doc_id or -1, (r.text or "")[:7]) for r in out.collect())
+    assert got == [(-1, ""), (-1, BASE[:7]), (1, BASE[:7]), (3, ""), (5, "another"), (6, "x x x x")]
+
+
+def test_keys_of_any_size_meet(spark):
+    """Streams cut anywhere give the same pairs as a whole one; equal rows count once."""
+    rng = np.random.default_rng(1)
+    rows = sorted({(int(k), int(n)) for k, n in zip(rng.integers(0, 40, 900), rng.integers(0, 200, 900))} | {(50, n) for n in range(90)})
+    rows = sorted(rows + rows[::3])
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([100] * len(part), pa.int32()), pa.array([r[1] % 4 for r in part], pa.int64())], names=["key", "node", "n", "fp"])
+    want_pairs, want_single = set(), set()
+    for k in {r[0] for r in rows}:
+        own = sorted({n for q, n in rows if q == k})
+        if len(own) > 20:
+            want_single |= {(n, own[0], k) for n in own}
+        else:
+            want_pairs |= {(a, b) for a in own for b in own if a < b}
+    for size in (1, 7, 100, 5000):
+        got = [r for b in simhash._met(20)(iter([batch(rows[i : i + size]) for i in range(0, len(rows), size)])) for r in b.to_pylist()]
+        assert {(r["u"], r["v"]) for r in got if r["key"] is None} == want_pairs
+        single = [(r["u"], r["v"], r["key"]) for r in got if r["key"] is not None]
+        assert set(single) == want_single and len(single) == len(want_single)
