@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.catalog import sql as S
 from quern.catalog import views as V
 from quern.catalog.views import CAUSAL, JUDGE, JUDGE_FIVE, QA, REWARDS, SPANS, STEPS, TRACES, sql_f1, sql_h, sql_recall, table
 from quern.functions import leak, morph, scoring, text
@@ -307,14 +308,10 @@ def q_half_repetition(spark, sf_dir):
     return V.traces(spark, sf_dir).select("sample_id", F.round(text.half_repetition(F.col("trace")), 6).alias("repetition"))
 
 
-@query()
+@query(S.SENTENCE_REPETITION)
 def q_sentence_repetition(spark, sf_dir):
-    """Texts of few sentences by an expression, the others by a join of their sentences."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("r", text.sentence_repetition(F.col("text")))
-    long_ = d.where("r is null and text is not null").select(F.col("doc_id").alias("doc"), F.posexplode(text.sentences(F.col("text"), 15)).alias("pos", "s"))
-    pairs = resolve.sentence_pairs(long_.select("doc", "pos", text.ngrams(text.words(F.lower("s")), 3).alias("grams")))
-    rest = pairs.select(F.col("doc").alias("doc_id"), text.share(F.col("repeated"), F.col("pairs")).alias("joined"))
-    return d.join(rest, "doc_id", "left").select("doc_id", F.round(F.coalesce("r", "joined"), 6).alias("repetition"))
+    r = resolve.sentence_repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return r.select("doc_id", F.round("repetition", 6).alias("repetition"))
 
 
 _WORDS = ["the", "and", "of", "for", "que", "der", "die", "les"]
@@ -326,12 +323,12 @@ def q_indicator_density(spark, sf_dir):
     return V.traces(spark, sf_dir).select("sample_id", F.round(text.indicator_density(F.col("trace"), _WORDS), 6).alias("density"))
 
 
-@query()
+@query(S.TAIL_OVERLAP)
 def q_tail_overlap(spark, sf_dir):
     return V.traces(spark, sf_dir).select("sample_id", F.round(trace.tail_overlap(F.col("trace"), F.col("answer")), 6).alias("overlap"))
 
 
-@query()
+@query(S.trace_validate(_WORDS))
 def q_trace_validate(spark, sf_dir):
     task = F.element_at(F.array(*[F.lit(f"Task_{i:02d}") for i in range(1, 21)]), (F.col("sample_id") % 20 + 1).cast("int"))
     return V.traces(spark, sf_dir).select("sample_id", trace.first_failure(F.col("trace"), F.col("answer"), task, _WORDS).alias("reason"))
@@ -362,7 +359,7 @@ def q_numbered_blocks(spark, sf_dir):
     return d.select("doc_id", F.size("p").alias("points"), F.get("p", F.lit(0)).alias("first"))
 
 
-@query()
+@query(S.HEADING_STRIP)
 def q_heading_strip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.stripped_headings(F.col("text"))).alias("text_md5"))
 
@@ -376,7 +373,7 @@ def q_terms(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(text.terms(F.col("p_name"))), " ").alias("terms"))
 
 
-@query()
+@query(S.SPAN_RELAXED)
 def q_span_relaxed(spark, sf_dir):
     rows = V.rewards(spark, sf_dir)
     return rows.select("item", "step_id", text.span_present(F.col("step_goal"), F.col("response")).alias("present"))
@@ -387,11 +384,11 @@ def q_template_pick(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.template_pick(7, F.lit("t"), F.col("p_partkey"), F.col("p_name")).alias("pick"))
 
 
-@query("""WITH o AS (SELECT p_brand, list_distinct(list(lower(p_name)) || list(lower(split_part(p_name, ' ', 1)))) AS k FROM part GROUP BY p_brand)
-SELECT p_brand, md5(array_to_string(list_sort(list_filter(k, lambda a: len(list_filter(k, lambda b: length(b) > length(a) AND contains(' ' || b || ' ', ' ' || a || ' '))) = 0)), ',')) AS objects FROM o""")
+@query("""WITH o AS (SELECT DISTINCT p_brand, unnest([lower(p_name), lower(split_part(p_name, ' ', 1))]) AS object FROM part)
+SELECT p_brand, object FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.p_brand = a.p_brand AND length(b.object) > length(a.object) AND contains(' ' || b.object || ' ', ' ' || a.object || ' '))""")
 def q_subset_objects(spark, sf_dir):
-    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_union(F.collect_set(F.lower("p_name")), F.collect_set(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))))).alias("k"))
-    return p.select("p_brand", F.md5(F.array_join(F.array_sort(text.longest_objects(F.col("k"))), ",")).alias("objects"))
+    p = table(spark, sf_dir, "part").select("p_brand", F.explode(F.array(F.lower("p_name"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))))).alias("object"))
+    return resolve.longest_names(p, "p_brand", "object")
 
 
 @query(f"WITH {STEPS} SELECT item, array_to_string(list_transform(list_sort(list({{'s': m, 'g': step_goal}})), lambda x: x.g), '|') AS goals FROM (SELECT item, step_goal, min(step_id) AS m FROM steps GROUP BY item, step_goal) GROUP BY item")
@@ -400,7 +397,7 @@ def q_dedupe_keep_first(spark, sf_dir):
     return s.select("item", F.array_join(F.array_distinct("g"), "|").alias("goals"))
 
 
-@query()
+@query(S.KEEP_FIRST)
 def q_keep_first_sentences(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), F.array_join(text.keep_first(text.sentences(F.col("text"), 0)), " ").alias("kept"))
 
@@ -465,11 +462,11 @@ def q_localization_valid(spark, sf_dir):
 
 def _frames(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    f = e.select((F.col("user_id") % 20).alias("item"), F.unix_micros("ts").alias("us"), "event_id")
+    f = e.select(F.col("user_id").alias("item"), F.unix_micros("ts").alias("us"), "event_id")
     return f.select("item", F.row_number().over(Window.partitionBy("item").orderBy("us", "event_id")).cast("long").alias("frame_index"), (F.col("us") / F.lit(1e6) - F.lit(1.7e9)).alias("ts"))
 
 
-_FRAMES = "frames AS (SELECT user_id % 20 AS item, row_number() OVER (PARTITION BY user_id % 20 ORDER BY epoch_us(ts), event_id) AS frame_index, epoch_us(ts) / 1e6::DOUBLE - 1.7e9::DOUBLE AS ts FROM events)"
+_FRAMES = "frames AS (SELECT user_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS frame_index, epoch_us(ts) / 1e6::DOUBLE - 1.7e9::DOUBLE AS ts FROM events)"
 
 
 @query(f"""WITH {_FRAMES}, d AS (SELECT item, lead(ts) OVER (PARTITION BY item ORDER BY ts) - ts AS d FROM (SELECT DISTINCT item, ts FROM frames)) SELECT item, round(coalesce(greatest(0.05, min(d) FILTER (WHERE d > 0)), 0.1), 3)::DOUBLE AS delta FROM d GROUP BY item""")
@@ -500,7 +497,7 @@ def q_atomic_valid(spark, sf_dir):
     return intervals.atomic_errors(acts.select("item", "step_id", "step_start", "step_end", "x.*"))
 
 
-@query()
+@query(S.MERGE_TINY)
 def q_merge_tiny(spark, sf_dir):
     s = V.spans(spark, sf_dir).select("item", F.lit(1).cast("long").alias("step_id"), F.col("step_id").alias("action_id"), "start", "end")
     return intervals.merge_tiny(s, 9)
@@ -584,7 +581,7 @@ def q_nearest_frame(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (F.unix_micros("ts") / F.lit(1e6)).alias("t"))
     frames = e.select(F.col("event_id").alias("frame_index"), F.col("t").alias("ts"))
     points = e.select(F.col("event_id").alias("point_id"), (F.col("t") + F.lit(7.25)).alias("t"))
-    return resolve.nearest(points, frames, 3600.0).select("point_id", "frame_index", F.round("gap", 3).alias("gap"))
+    return resolve.nearest(points, frames).select("point_id", "frame_index", F.round("gap", 3).alias("gap"))
 
 
 @query(f"""WITH {STEPS}, p AS (SELECT item, step_id, step_goal, lag(step_goal) OVER (PARTITION BY item ORDER BY step_id) AS prev FROM steps), t AS (SELECT item, step_id, {_TERMS('step_goal')} AS x, {_TERMS("coalesce(prev, '')")} AS y FROM p)
@@ -663,7 +660,7 @@ def q_gen_task17(spark, sf_dir):
     return generate.next_k_steps(V.steps(spark, sf_dir))
 
 
-@query()
+@query(S.BAD_PLAN)
 def q_bad_plan(spark, sf_dir):
     s = V.steps(spark, sf_dir)
     return generate.bad_plans(s, steps.goal_pool(s))
@@ -687,12 +684,12 @@ def _sql_moment(task: int, *key: str) -> str:
     return f"[{', '.join(repr(x) for x in options)}][(('0x' || substr(md5({joined}), 1, 12))::BIGINT % {len(options)} + 1)::INT]"
 
 
-@query()
+@query(S.CONDITIONS)
 def q_gen_conditions(spark, sf_dir):
     return moments.conditions(V.causal_steps(spark, sf_dir))
 
 
-@query()
+@query(S.FEASIBILITY)
 def q_gen_task03(spark, sf_dir):
     return moments.feasibility(V.causal_steps(spark, sf_dir))
 
@@ -707,12 +704,12 @@ def q_gen_task04(spark, sf_dir):
     return moments.affordances(V.causal_steps(spark, sf_dir))
 
 
-@query()
+@query(S.CHAINS)
 def q_gen_task05(spark, sf_dir):
     return moments.causal_chains(V.causal_steps(spark, sf_dir))
 
 
-@query()
+@query(S.KEY_OBJECTS)
 def q_gen_task09(spark, sf_dir):
     s = V.causal_steps(spark, sf_dir)
     pool = rank.global_rank(s.select(F.lower("patient").alias("object")).distinct(), F.md5("object"), F.col("object"), name="place").withColumn("place", F.col("place") - 1)
@@ -771,14 +768,14 @@ def q_plan_schema(spark, sf_dir):
     return schema.plan_errors(plans).select("item", F.array_join("errors", ",").alias("errors"))
 
 
-@query()
+@query(S.REWRITE_ACCEPT)
 def q_rewrite_accept(spark, sf_dir):
     rows = V.rewards(spark, sf_dir)
     found = rewrite.problems(F.col("response"), F.col("step_goal"), F.lit("Which step is shown?"), F.array("step_goal"), F.array(F.lit("kettle")))
     return rows.select("item", "step_id", F.array_join(found, ",").alias("problems"))
 
 
-@query()
+@query(S.ASCII_NAMES)
 def q_ascii_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", morph.ascii_name(F.concat(F.lit("É-"), "p_name")).alias("name"))
 
@@ -827,7 +824,7 @@ def q_goal_grounding(spark, sf_dir):
     return audit.goal_word_share(rows).select("item", "step_id", F.round("found", 6).alias("found"), "grounded")
 
 
-@query()
+@query(S.STREAM_DEDUPE)
 def q_stream_dedupe(spark, sf_dir):
     """Extension: first event of each user over a file stream read to its end."""
     import uuid
@@ -839,3 +836,6 @@ def q_stream_dedupe(spark, sf_dir):
     source.write.parquet(f"{folder}/in")
     run_available(spark, f"{folder}/in", source.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), f"{folder}/state", lambda b, i: b.write.mode("append").parquet(f"{folder}/out"), lambda s: first_by_id(s, "user_id", "ts").select("user_id"))
     return spark.read.parquet(f"{folder}/out")
+
+
+from quern.catalog import more  # noqa: E402,F401  registers its queries here

@@ -320,3 +320,61 @@ def blended(task: Column, rule: Column, judge: Column) -> Column:
     """alpha * rule + (1 - alpha) * judge in 0 ... 1; a failed judge is -1, an unknown task null."""
     alpha = F.try_element_at(F.create_map(*[F.lit(x) for item in ALPHA.items() for x in item]), task)
     return F.when(alpha.isNull(), F.lit(None).cast("double")).when(judge < 0, F.lit(FAILURE_SCORE)).otherwise(clamp(alpha * rule + (F.lit(1.0) - alpha) * judge))
+
+
+# Fields that a reward needs, by task; the second lists may be missing.
+REWARD_KEYS = {
+    "Task_01": ["spatial_preconditions", "spatial_preconditions_pts", "step_goal", "patient"],
+    "Task_02": ["affordance_preconditions", "affordance_preconditions_pts", "step_goal", "patient"],
+    "Task_06": ["spatial_postconditions", "spatial_postconditions_pts", "step_goal", "patient"],
+    "Task_07": ["affordance_postconditions", "affordance_postconditions_pts", "step_goal", "patient"],
+    "Task_18": ["high_level_goal", "bad_plan_steps", "repair_steps", "flaw_step", "flaw_type", "prefix_end_step_id"],
+    "Task_19": ["step_goal", "counterfactual_challenge_question", "expected_challenge_outcome", "expected_outcome"],
+    "Task_20": ["step_goal", "failure_reason", "recovery_strategy"],
+}
+MORE_REWARD_KEYS = {"Task_20": ["counterfactual_context", "counterfactual_outcome"]}
+REWARD_RULES = {"Task_01": "fact", "Task_02": "fact", "Task_06": "fact", "Task_07": "fact", "Task_18": "repair", "Task_19": "disabled", "Task_20": "recovery"}
+
+
+def reward_rule(task: Column, response: Column) -> Column:
+    """Which rule scores a response: 'empty' and 'disabled' score 0, 'unknown' tasks cannot be scored."""
+    rule = F.try_element_at(F.create_map(*[F.lit(x) for item in REWARD_RULES.items() for x in item]), task)
+    return F.when(F.trim(F.coalesce(response, F.lit(""))) == "", F.lit("empty")).otherwise(F.coalesce(rule, F.lit("unknown")))
+
+
+def rule_score(task: Column, response: Column, scores: dict[str, Column]) -> Column:
+    """The score of the task's rule, given each rule's; unknown tasks raise."""
+    rule = reward_rule(task, response)
+    out = F.when(rule.isin("empty", "disabled"), F.lit(0.0))
+    for name, score in scores.items():
+        out = out.when(rule == name, score)
+    return out.otherwise(F.raise_error(F.concat(F.lit("no reward for task "), F.coalesce(task, F.lit("null")))).cast("double"))
+
+
+def missing_fields(task: Column, fields: Column) -> Column:
+    """Needed fields of a task that a map of texts (lists as JSON) lacks; empty for tasks without a reward."""
+    out = F.array().cast("array<string>")
+    for name, keys in REWARD_KEYS.items():
+        out = F.when(task == name, F.filter(literal_array(keys), lambda k: F.coalesce(F.try_element_at(fields, k), F.lit("")).isin("", "[]"))).otherwise(out)
+    return out
+
+
+def reward_fields(task: Column, fields: Column) -> Column:
+    """The map of texts that a task's reward reads; null for a task without one.
+
+    Facts have one form for all four fact tasks: target_text, target_facts, step_goal, patient, and the
+    domain and stage that the field names say.
+    """
+    at = lambda k: F.trim(F.coalesce(F.try_element_at(fields, F.lit(k)), F.lit("")))
+    made = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)])
+    out = F.lit(None).cast("map<string,string>")
+    for name, keys in REWARD_KEYS.items():
+        if REWARD_RULES[name] == "fact":
+            domain, stage = keys[0].removesuffix("s").split("_")
+            new = made(target_text=at(keys[0]), target_facts=at(keys[1]), step_goal=at("step_goal"), patient=at("patient"), fact_domain=F.lit(domain), fact_stage=F.lit(stage))
+        else:
+            new = made(**{("counterfactual_condition" if k == "counterfactual_challenge_question" else k): at(k) for k in keys})
+            for k in MORE_REWARD_KEYS.get(name, []):
+                new = F.when(at(k) != "", F.map_concat(new, made(**{k: at(k)}))).otherwise(new)
+        out = F.when(task == name, new).otherwise(out)
+    return out

@@ -106,25 +106,25 @@ def sentences(text: Column, longer_than: int) -> Column:
     return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: F.length(s) > longer_than)
 
 
-def sentence_repetition(text: Column, threshold: float = 0.3, most: int = 400) -> Column:
+def sentence_repetition(text: Column, threshold: float = 0.3) -> Column:
     """Share of sentence pairs at least two apart whose word trigrams have a Jaccard index over the threshold.
 
-    Quadratic in the sentences of one text. Longer texts than `most` sentences give null: their
-    pairs are a join of the exploded sentence table (`operators.resolve.sentence_pairs`).
+    Quadratic in the sentences of one text, in one row: for tables of long texts take
+    `operators.resolve.sentence_repetition`, whose sentences meet by trigrams.
     """
     grams = F.transform(sentences(text, 15), lambda s: ngrams(words(F.lower(s)), 3))
 
     def rate(g: Column) -> Column:
-        pairs = F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), F.size(g) - 3),
-                lambda i: F.transform(F.sequence(i + 2, F.size(g) - 1), lambda j: F.struct((F.size(F.get(g, i)) * F.size(F.get(g, j)) > 0).alias("ok"), (jaccard(F.get(g, i), F.get(g, j)) > threshold).alias("hit"))),
-            )
-        )
-        valid = F.filter(pairs, lambda p: p["ok"])
-        return share(F.size(F.filter(valid, lambda p: p["hit"])), F.size(valid))
-
-    return let(grams, lambda g: F.when(F.size(g) > most, F.lit(None).cast("double")).when(F.size(g) >= 4, rate(g)).otherwise(F.lit(0.0)))
+        def after(i: Column) -> Column:
+            own = F.get(g, i)
+            others = F.filter(F.slice(g, i + 3, F.size(g)), lambda o: (F.size(o) > 0) & (F.size(own) > 0))
+            return F.struct(F.size(others).alias("n"), F.size(F.filter(others, lambda o: jaccard(own, o) > threshold)).alias("hits"))
+
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("hits"))
+        total = F.aggregate(F.transform(F.sequence(F.lit(0), F.size(g) - 3), after), none, lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), (a["hits"] + x["hits"]).alias("hits")))
+        return let(total, lambda t: share(t["hits"], t["n"]))
+
+    return let(grams, lambda g: F.when(F.size(g) >= 4, rate(g)).otherwise(F.lit(0.0)))
 
 
 def strip_marks(word: Column, marks: str = ".,;:!?()[]") -> Column:

@@ -71,3 +71,22 @@ def one_off(rows: DataFrame) -> DataFrame:
 def grounded_spans(rows: DataFrame) -> DataFrame:
     """rows (answer, spans array) with the spans that the answer does not hold, by the relaxed rule."""
     return rows.withColumn("absent", F.filter("spans", lambda s: (F.size(terms(s)) > 0) & ~span_present(s, F.col("answer"))))
+
+
+def coverage(rows: DataFrame, item: str, kind: str, every: list[str]) -> DataFrame:
+    """(item, have, missing): how many of the kinds an item has rows of, and which it has not."""
+    own = rows.where(F.col(kind).isin(every)).select(item, kind).distinct().groupBy(item).agg(F.collect_list(kind).alias("kinds"))
+    out = rows.select(item).distinct().join(own, item, "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+    return out.select(item, F.size("kinds").cast("long").alias("have"), F.array_sort(F.array_except(F.array(*[F.lit(x) for x in every]), F.col("kinds"))).alias("missing"))
+
+
+def run_counts(plans: DataFrame) -> DataFrame:
+    """One row for a run over plans (n_steps, failed): plans, failed, steps of a plan on average and at most."""
+    good = F.when(~F.col("failed"), F.col("n_steps"))
+    return plans.agg(F.count(F.lit(1)).alias("plans"), F.count_if("failed").alias("failed"), F.round(F.avg(good), 4).alias("steps_per_plan"), F.max(good).alias("most_steps"))
+
+
+def entities(steps: DataFrame) -> DataFrame:
+    """(item, entities): distinct patients of an item's steps (item, step_id, patient), lower-case, in order of their first step."""
+    first = steps.where(F.trim(F.coalesce("patient", F.lit(""))) != "").groupBy("item", F.lower(F.trim("patient")).alias("entity")).agg(F.min("step_id").alias("place"))
+    return first.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "entity"))), lambda x: x["entity"]).alias("entities"))

@@ -221,4 +221,29 @@ def with_trace(row: Column, trace: Column) -> Column:
 
 
 def without_trace(answer: Column) -> Column:
-    return F.trim(F.element_at(F.split(answer, "</think>"), -1))
+    return F.trim(F.element_at(F.split(answer, "</think>"), -1), F.lit(" \t\r\n"))
+
+
+def sharegpt(sample: str, task: str, question: str, answer: str, images: Column, video: Column, source: Column, evidence: Column, attach: bool = True) -> Column:
+    """A conversation entry: id, image, video (one, or two given as a JSON list), conversations and meta.
+
+    The id is the sha-1 of the sample's id, where a random one would not repeat. Without `attach` no media are named.
+    """
+    two = F.from_json(video, "array<string>")
+    clips = F.when(F.startswith(F.trim(F.coalesce(video, F.lit(""))), F.lit("[")) & two.isNotNull(), two).when(F.coalesce(video, F.lit("")) != "", F.array(video)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    turn = lambda who, c: F.struct(F.lit(who).alias("from"), F.col(c).alias("value"))
+    path = F.trim(F.translate(source, "\\", "/"))
+    folder = F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/+[^/]*$", ""))
+    return F.struct(
+        F.sha1(sample).alias("id"),
+        (images if attach else none).alias("image"),
+        (clips if attach else none).alias("video"),
+        F.array(turn("human", question), turn("gpt", answer)).alias("conversations"),
+        F.struct(F.col(task).alias("task_name"), evidence.alias("evidence_type"), source.alias("source_path"), folder.alias("item_dir"), (F.concat(images, clips) if attach else none).alias("evidence_files")).alias("meta"),
+    )
+
+
+def with_meta(meta: Column, key: str, value: Column) -> Column:
+    """A map of texts with one entry put in, in place of an older one."""
+    return F.map_concat(F.map_filter(meta, lambda k, v: k != key), F.create_map(F.lit(key), value))

@@ -32,6 +32,7 @@ def top_fraction(scored: DataFrame, fraction: float = 0.5, top_k: int | None = N
     """Rows (overall, task_name, sample_id, ...) with rank and whether the share keeps them."""
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be over 0 and at most 1")
+    scored = settle(scored)  # counted, sampled for ranges and sorted: worked out once
     keep = keep_count(scored.count(), fraction, top_k)
     return global_rank(scored, F.desc("overall"), F.asc("task_name"), F.asc("sample_id")).withColumn("accepted", F.col("rank") <= keep)
 

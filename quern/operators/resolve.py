@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import jaccard, overlap_coefficient, terms
+from quern.functions.text import ngrams, overlap_coefficient, sentences, share, terms, words
+from quern.session import settle
 
 
 def step_number(text: Column) -> Column:
@@ -66,37 +67,32 @@ def prefix_candidates(folder: Column, step: Column, source: Column) -> Column:
     return F.array(*names, source)
 
 
-def nearest(points: DataFrame, frames: DataFrame, width: float) -> DataFrame:
-    """points (point_id, t) with the frame (frame_index, ts) nearest in time, the smaller index on ties.
+def nearest(points: DataFrame, frames: DataFrame) -> DataFrame:
+    """points (point_id, t) with the frame (frame_index, ts) nearest in time and the gap; the smaller index on ties.
 
-    Both sides are cut in buckets of `width`; a point meets the last frame at or before and the
-    first after it, found by windows over the bucketed union, so no pair of all is made. Points
-    without a frame in their own and the two neighbouring buckets look at the extremes of the
-    nearest buckets that have one.
+    Both sides are range-partitioned by time together. In its partition a point finds the last frame at
+    or before it and the first at or after it; beyond the partition's ends it takes the next
+    partition's that has a frame (one row for each partition). No point meets more than two frames.
+    Points without a time, or without any frame, get nulls.
     """
-    from pyspark.sql import Window
-
-    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    edges = frames.groupBy(bucket("ts").alias("b")).agg(F.min(F.struct("ts", "frame_index")).alias("first"), F.max(F.struct("ts", (-F.col("frame_index")).alias("neg"))).alias("last"))
-    w = Window.orderBy("b")
-    known = points.select(bucket("t").alias("b")).distinct().join(edges, "b", "full_outer")
-    # one row for each bucket in use
-    filled = known.select(
-        "b",
-        F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
-    )
-    own = frames.select(bucket("ts").alias("b"), "ts", "frame_index")
-    gap = lambda ts: F.abs(ts - F.col("t"))
-    p = points.withColumn("b", bucket("t"))
-    inside = p.join(own, "b").groupBy("point_id").agg(F.min(F.struct(gap(F.col("ts")).alias("gap"), F.col("frame_index").alias("frame"))).alias("x"))
-    out = p.join(filled, "b", "left").join(inside, "point_id", "left")
-    sides = [
-        F.when(F.col("before").isNotNull(), F.struct(gap(F.col("before.ts")).alias("gap"), (-F.col("before.neg")).alias("frame"))),
-        F.when(F.col("after").isNotNull(), F.struct(gap(F.col("after.ts")).alias("gap"), F.col("after.frame_index").alias("frame"))),
-        F.col("x"),
-    ]
-    return out.withColumn("best", F.array_min(F.array_compact(F.array(*sides)))).select(*points.columns, F.col("best.frame").alias("frame_index"), F.col("best.gap").alias("gap"))
+    one = frames.where("ts is not null").groupBy(F.col("ts").cast("double").alias("x")).agg(F.min("frame_index").alias("frame"))
+    f = one.select("x", F.struct("x", "frame").alias("f"), F.lit(None).cast(points.schema).alias("p"))
+    p = points.select(F.col("t").cast("double").alias("x"), F.lit(None).cast(f.schema["f"].dataType).alias("f"), F.struct(*points.columns).alias("p"))
+    dealt = settle(f.unionByName(p).repartitionByRange("x").withColumn("part", F.spark_partition_id()))
+    w = Window.partitionBy("part").orderBy("x")
+    local = dealt.withColumns(
+        {
+            "before": F.last("f", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+            "after": F.first("f", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+        }
+    ).where("p is not null")
+    parts = Window.orderBy("part")  # one row for each partition
+    ends = dealt.groupBy("part").agg(F.min("f").alias("low"), F.max("f").alias("high"))
+    ends = ends.select("part", F.last("high", True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("left"), F.first("low", True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("right"))
+    side = lambda c: F.when(c.isNotNull() & F.col("x").isNotNull(), F.struct(F.abs(c["x"] - F.col("x")).alias("gap"), c["frame"].alias("frame")))
+    best = F.array_min(F.array_compact(F.array(side(F.coalesce("before", "left")), side(F.coalesce("after", "right")))))
+    out = local.join(F.broadcast(ends), "part").withColumn("best", best)
+    return out.select(*[F.col("p")[c].alias(c) for c in points.columns], F.col("best.frame").alias("frame_index"), F.col("best.gap").alias("gap"))
 
 
 def overlapping_rows(a: DataFrame, b: DataFrame, keys: list[str], most: float = 0.75) -> DataFrame:
@@ -106,11 +102,37 @@ def overlapping_rows(a: DataFrame, b: DataFrame, keys: list[str], most: float =
     return a.join(hit, "row_id", "left_anti")
 
 
-def sentence_pairs(sentences: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """(doc, pairs, repeated) over an exploded sentence table (doc, pos, grams): pairs at least two apart."""
-    a, b = sentences.alias("a"), sentences.alias("b")
-    both = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("b.pos") >= F.col("a.pos") + 2)).where("size(a.grams) > 0 and size(b.grams) > 0")
-    return both.groupBy(F.col("a.doc").alias("doc")).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(jaccard(F.col("a.grams"), F.col("b.grams")) > threshold).alias("repeated"))
+def sentence_repetition(texts: DataFrame, key: str, column: str, threshold: float = 0.3) -> DataFrame:
+    """(key, repetition): share of a text's sentence pairs, at least two apart, whose word trigrams have a Jaccard index over the threshold.
+
+    Only sentences that share a trigram meet; the number of pairs is counted, not made. Texts of
+    fewer than four sentences, or without such pairs, have 0; a null text too.
+    """
+    each = texts.select(key, sentences(F.col(column), 15).alias("s")).where(F.size("s") >= 4).select(key, F.posexplode("s").alias("pos", "s"))
+    grams = settle(each.select(key, "pos", ngrams(words(F.lower("s")), 3).alias("g")).where(F.size("g") > 0))
+    beside = F.lag("pos").over(Window.partitionBy(key).orderBy("pos")) == F.col("pos") - 1
+    n = F.count(F.lit(1))
+    pairs = grams.withColumn("beside", beside).groupBy(key).agg((n * (n - 1) / 2 - F.count_if("beside")).alias("pairs"))
+    one = grams.select(key, "pos", F.size("g").alias("n"), F.explode("g").alias("g"))
+    a, b = one.alias("a"), one.alias("b")
+    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.g") == F.col("b.g")) & (F.col("b.pos") >= F.col("a.pos") + 2))
+    same = met.groupBy(F.col(f"a.{key}").alias(key), "a.pos", "b.pos", "a.n", "b.n").agg(n.alias("same")).toDF(key, "i", "j", "m", "n", "same")
+    hits = same.where(F.col("same") / (F.col("m") + F.col("n") - F.col("same")) > threshold).groupBy(key).agg(n.alias("hits"))
+    rates = pairs.join(hits, key, "left").select(key, share(F.coalesce("hits", F.lit(0)), F.col("pairs")).alias("repetition"))
+    return texts.select(key).join(rates, key, "left").select(key, F.coalesce("repetition", F.lit(0.0)).alias("repetition"))
+
+
+def longest_names(names: DataFrame, group: str, name: str) -> DataFrame:
+    """Distinct names (group, name) that do not stand, word by word, inside a longer one of their group.
+
+    Each name gives the runs of its words that are shorter than itself; names among these go.
+    """
+    own = names.select(group, name).where(F.col(name).isNotNull()).distinct()
+    parts = F.split(name, " ")
+    n = F.size(parts)
+    at = lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(parts, i, k), " "))
+    runs = own.select(group, F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), at)))).alias("run"), name).where(F.col("run") != F.col(name))
+    return own.join(runs.select(group, F.col("run").alias(name)).distinct(), [group, name], "left_anti")
 
 
 def compared_ids(draft: DataFrame, found: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def first_failure(trace: Column, answer: Column, task: Column, indicators: list[
     """Name of the first check that a trace fails, else 'ok'. structure and contract are conditions of the caller's clusters."""
     text, low = F.trim(F.coalesce(trace, F.lit(""))), F.lower(F.trim(F.coalesce(trace, F.lit(""))))
     least_steps = F.when(task.isin(list(MIN_CHARS)), 5).otherwise(3)
-    repetition = F.greatest(half_repetition(text), sentence_repetition(text, most=1 << 30))  # the chain gets there for few texts
+    repetition = F.greatest(half_repetition(text), sentence_repetition(text))  # the chain gets there for few texts
     checks = [
         ("empty", text == ""),
         ("too_short", F.length(text) < least_chars(task, answer)),

@@ -33,7 +33,7 @@ def test_step_number_and_match(spark):
 def test_nearest_frame_ties_and_gaps(spark):
     frames = spark.createDataFrame([(1, 0.0), (2, 10.0), (3, 10.0), (4, 500.0)], "frame_index long, ts double")
     points = spark.createDataFrame([(1, 5.0), (2, 9.9), (3, 260.0), (4, -70.0), (5, 900.0)], "point_id long, t double")
-    got = {r.point_id: r.frame_index for r in resolve.nearest(points, frames, 4.0).collect()}
+    got = {r.point_id: r.frame_index for r in resolve.nearest(points, frames).collect()}
     assert got == {1: 1, 2: 2, 3: 4, 4: 1, 5: 4}
 
 
