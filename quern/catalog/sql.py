@@ -37,9 +37,11 @@ def question(task: int, *key: str) -> str:
 def _repeated(source: str, key: str, column: str) -> str:
     """CTE rep (key, n, r): the sentences of a text and the share of their pairs, two apart, that nearly agree."""
     return f"""sen AS (SELECT {key}, {SENTENCES(column, 15)} AS k FROM {source}),
-gram AS (SELECT {key}, len(k) AS n, unnest(list_transform(k, lambda s: {GRAMS("regexp_extract_all(lower(s), '\\S+')", 3)})) AS g, unnest(range(len(k))) AS i FROM sen),
-rep AS (SELECT a.{key}, {SHARE("count(*) FILTER (WHERE len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) > 0.3)", "count(*)")} AS r
- FROM gram a JOIN gram b ON a.{key} = b.{key} AND b.i >= a.i + 2 WHERE len(a.g) > 0 AND len(b.g) > 0 AND a.n >= 4 GROUP BY a.{key})"""
+gram AS (SELECT {key}, i, g FROM (SELECT {key}, len(k) AS n, unnest(list_transform(k, lambda s: {GRAMS("regexp_extract_all(lower(s), '\\S+')", 3)})) AS g, unnest(range(len(k))) AS i FROM sen) WHERE n >= 4 AND len(g) > 0),
+many AS (SELECT a.{key}, count(*) AS n FROM gram a JOIN gram b ON a.{key} = b.{key} AND b.i >= a.i + 2 GROUP BY a.{key}), one AS (SELECT {key}, i, len(g) AS n, unnest(g) AS x FROM gram),
+same AS (SELECT a.{key}, a.i, b.i AS j, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM one a JOIN one b ON a.{key} = b.{key} AND a.x = b.x AND b.i >= a.i + 2 GROUP BY ALL),
+hits AS (SELECT {key}, count(*) AS n FROM same WHERE c::DOUBLE / (n + m - c) > 0.3 GROUP BY {key}),
+rep AS (SELECT many.{key}, coalesce(hits.n, 0)::DOUBLE / many.n AS r FROM many LEFT JOIN hits ON hits.{key} = many.{key})"""
 
 
 SENTENCE_REPETITION = f"""WITH {_repeated('documents', 'doc_id', 'text')}
