@@ -23,7 +23,11 @@ def lower_first(text: Column) -> Column:
 
 
 def gerund(phrase: Column) -> Column:
-    """'lift the lid' becomes 'lifting the lid'; phrases that do not begin with a plain verb stay."""
+    """'lift the lid' becomes 'lifting the lid'; phrases that do not begin with a plain verb stay.
+
+    The English rule: a final e falls (not ee); a short word of consonant, vowel, consonant doubles the
+    last letter, unless that is w, x or y or the stress lies before it (NO_DOUBLING).
+    """
     s = F.trim(phrase)
     word = F.lower(F.regexp_extract(s, "^([A-Za-z]+)", 1))
     rest = F.substring(s, F.length(word) + 1, F.length(s))
@@ -39,9 +43,10 @@ def gerund(phrase: Column) -> Column:
 
 
 def progressive(phrase: Column) -> Column:
-    """Every verb phrase between commas, 'and' and 'then' as a gerund."""
-    mark = "\u0001"
-    parts = F.split(F.regexp_replace(F.trim(phrase), r"(?i)(\s*,\s*and\s+|\s*,\s*then\s+|\s+and\s+|\s+then\s+|\s*,\s+)", f"{mark}$1{mark}"), mark)
+    """Every verb phrase between commas, 'and' and 'then' as a gerund; what joins them stays."""
+    joint = r"(?i)((?:\s*,\s*|\s+)(?:and|then)\s+|\s*,\s+)"
+    # phrases and joints in turn, parted by a mark
+    parts = F.split(F.regexp_replace(F.trim(phrase), joint, "\u0001$1\u0001"), "\u0001")
     return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, gerund(p)).otherwise(p)), "")
 
 

@@ -19,6 +19,7 @@ TERM_STOPWORDS = [
     "then", "into", "from", "that", "this", "it", "as", "after", "before", "when", "while",
 ]
 REWARD_TOKEN = r"[a-z0-9]+(?:[-'][a-z0-9]+)?"
+# Fixed value: the forms of headings that traces are rid of; other lines must stay as they are.
 HEADING = r"(?m)^(?:(?:PARAGRAPH\s*[0-9]+\s*[—–\-]\s*)|(?:[A-Z][A-Z\s]{2,30}:\s*)|(?:[A-Z][A-Z\s]{2,30}[—–\-]\s*))"
 
 

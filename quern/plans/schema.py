@@ -22,6 +22,7 @@ CHAIN_TEXTS = ["agent", "action", "patient"]
 FAILURE_KEYS = ["reason", "recovery_strategy"]
 FRAME_KEYS = ["frame_index", "action_state_change_description", "causal_chain", "interaction"]
 INTERACTION_KEYS = ["patient", "affordance_type", "mechanism"]
+# Openings that a counterfactual question must have, and words of goals that gather odds and ends.
 COUNTERFACTUAL = r"(?i)^\s*(?:What\s+(?:if|would|could|happens)|How\s+would|If\s+|In\s+the\s+event|Suppose|Imagine|Assuming|Had\s+the)\b"
 CATCH_ALL = r"(?i)\b(?:various|miscellaneous|rest of the|leftover|assorted)\b|\bremaining\s+(?:small|loose|other|misc|kitchen|items|objects|things|stuff)\b"
 GOAL_STOPWORDS = [

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(source_file, row VARIANT, raw, valid) of all lines that are not blank, from files or folders.
+    """(source_file, block, row VARIANT, raw, valid) of all lines that are not blank, from files or folders.
 
     strict: a line that is no JSON object raises when it is read. Else it stays with valid false, to
-    be counted or left out. Files are split, so line numbers are not known.
+    be counted or left out. Large files are read in blocks, each by a task.
     """
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_file")).where(F.trim("raw") != "")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block")).where(F.trim("raw") != "")
     row = F.try_parse_json("raw")
     out = lines.withColumn("row", F.when(F.startswith(F.schema_of_variant(row), F.lit("OBJECT")), row)).withColumn("valid", F.col("row").isNotNull())
     if strict:
@@ -28,8 +28,15 @@ def read_tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """Adds row_index, the place of a line in its file, for files read whole (one task each)."""
-    return lines.withColumn("row_index", F.monotonically_increasing_id())
+    """Adds row_index, the place from 0 of a line among those of its file, to rows of `read_lines`.
+
+    A task numbers the lines of its blocks; the lines of a file's earlier blocks are added.
+    """
+    own = lines.withColumn("_id", F.monotonically_increasing_id())
+    blocks = own.groupBy("source_file", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.select("source_file", "block", (before - F.col("_first")).alias("_shift"))
+    return own.join(placed, ["source_file", "block"]).withColumn("row_index", F.col("_id") + F.col("_shift")).drop("_id", "_shift")
 
 
 def finished_ids(spark: SparkSession, path: str, key: str = "sample_id") -> DataFrame:

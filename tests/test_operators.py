@@ -1,5 +1,7 @@
 """Relational operators: ranks, resume, joins, intervals, the judge stage, readers and writers."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,38 @@ def test_verdicts_round_trip(spark, tmp_path):
     assert sorted((r.sample_id, r.verdict, r.task_name) for r in back.collect()) == [("a", "accepted", "T1"), ("b", "rejected", "T1"), ("c", "accepted", "T2")]
     with pytest.raises(ValueError):
         sinks.removable(spark.createDataFrame([("x",)], "item string"), spark.createDataFrame([], "item string"))
+
+
+def test_lines_of_split_files_are_numbered(spark, tmp_path):
+    from quern.sources import jsonl
+
+    lines = [json.dumps({"i": i, "pad": "x" * (i % 40)}) for i in range(300)]
+    (tmp_path / "a.jsonl").write_text("\n\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text("\n".join(lines[:5]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = jsonl.numbered(jsonl.read_lines(spark, str(tmp_path))).select("source_file", "row_index", F.variant_get("row", "$.i", "int").alias("i")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 305 and all(r.row_index == r.i for r in rows)
+
+
+def test_settings_prompts_and_summaries(spark, tmp_path):
+    from quern.sources import benchmark, sinks
+
+    path = str(tmp_path / "r.json")
+    assert benchmark.read_registry(path) == {"models": {}}
+    benchmark.write_json(path, {"models": {"m": {"model": "big", "reasoning_effort": "High", "max_output_tokens": 70}, "bad": {"max_output_tokens": 0}}})
+    found = benchmark.read_registry(path)
+    assert benchmark.model_settings("m", found) == benchmark.ModelSettings("m", "big", "high", 70)
+    assert benchmark.model_settings("other", found, "none", None) == benchmark.ModelSettings("other", "other", None, 900)
+    with pytest.raises(ValueError):
+        benchmark.model_settings("bad", found)
+    assert benchmark.prompt_errors({"a": "A", "b": "B"}, {"a": " ", "c": "问"}) == ["b: no prompt", "c: no title", "a: empty", "c: Han characters"]
+    assert benchmark.merge_summary(path, {"done": 3})["done"] == 3 and "models" in benchmark.read_registry(path)
+    sinks.write_lines(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).first().value == '{"a":1,"b":null}'
+    with pytest.raises(Exception, match="no_id"):
+        lines = spark.sql("SELECT 'T' AS task_name, 0L AS row_index, parse_json('{}') AS row")
+        benchmark.benchmark_items(lines, "qa").collect()
