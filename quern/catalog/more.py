@@ -9,9 +9,10 @@ from quern.catalog.queries import _TERMS, query
 from quern.catalog.sql import LOWER_FIRST, listed, span_present
 from quern.catalog.views import CAUSAL, QA, REWARDS, STEPS, TRACES, sql_h, table
 from quern.functions import morph, salvage, scoring, text
-from quern.operators import audit, evidence, qa, resolve, resume, rewrite, trace
+from quern.operators import audit, evidence, judge, qa, resolve, resume, rewrite, trace
 from quern.plans import generate, intervals
-from quern.sources import benchmark, media, sinks
+from quern.session import ship
+from quern.sources import benchmark, jsonl, media, sinks
 
 # --- files of evidence ---
 
@@ -601,3 +602,161 @@ def q_clip_jobs(spark, sf_dir):
 def q_removable(spark, sf_dir):
     p = V.steps(spark, sf_dir).select("item").distinct()
     return sinks.removable(p, p.where("item % 4 <> 0"))
+
+
+# --- round trips through files ---
+
+
+def _folder(spark, name):
+    import uuid
+
+    from quern.session import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_brand END AS brand FROM part")
+def q_lines_round_trip(spark, sf_dir):
+    """Rows written as JSON lines, half of them appended, and read again strictly."""
+    path = _folder(spark, "lines")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_size") % 4 != 0, F.col("p_brand")).alias("brand"))
+    sinks.write_lines(rows.where("p_partkey % 2 = 0"), path)
+    sinks.write_lines(rows.where("p_partkey % 2 = 1"), path, "append")
+    got = jsonl.read_lines(spark, path).where("valid")
+    field = lambda k, kind: F.try_variant_get("row", f"$.{k}", kind).alias(k)
+    return got.select(field("p_partkey", "long"), field("p_name", "string"), field("brand", "string"))
+
+
+@query("SELECT DISTINCT 's' || (event_id % 700) AS sample_id FROM events WHERE event_id % 70 <> 0")
+def q_finished_ids(spark, sf_dir):
+    path = _folder(spark, "results")
+    e = table(spark, sf_dir, "events")
+    line = F.when(F.col("event_id") % 70 == 0, F.lit('{"sample_id": ')).otherwise(F.concat(F.lit('{"sample_id": "s'), F.col("event_id") % 700, F.lit('"}')))
+    e.select(line.alias("value")).write.text(path)
+    return jsonl.finished_ids(spark, path)
+
+
+@query(f"WITH {QA} SELECT task_name, count(*) AS n, count(*) - 1 AS last_index FROM qa GROUP BY task_name")
+def q_task_folders(spark, sf_dir):
+    """One data.jsonl for each task folder, found again and numbered line by line."""
+    path = _folder(spark, "tasks")
+    V.qa(spark, sf_dir).select(F.concat(F.lit("Task="), "task_name").alias("t"), "task_name", F.to_json(F.struct("sample_id")).alias("value")).repartition(1, "task_name").drop("t").write.partitionBy("task_name").text(path)
+    rows = jsonl.numbered(jsonl.read_lines(spark, path)).withColumn("task_name", F.regexp_extract("source_file", "/task_name=([^/]*)/", 1))
+    return rows.groupBy("task_name").agg(F.count(F.lit(1)).alias("n"), F.max("row_index").alias("last_index"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'accepted' ELSE 'rejected' END AS verdict, lang AS task_name FROM documents")
+def q_verdict_folders(spark, sf_dir):
+    path = _folder(spark, "verdicts")
+    sinks.write_verdicts(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("task_name"), (F.col("doc_id") % 3 == 0).alias("accepted")), path)
+    return spark.read.json(path).select("doc_id", "verdict", "task_name")
+
+
+@query(f"WITH {QA}, i AS (SELECT sample_id, CASE WHEN answer = '' THEN 'error' ELSE 'warning' END AS severity FROM qa) SELECT severity, count(*) AS n FROM i GROUP BY severity")
+def q_issue_files(spark, sf_dir):
+    issues = V.qa(spark, sf_dir).select("sample_id", F.when(F.col("answer") == "", "error").otherwise("warning").alias("severity"))
+    errors, warnings, counts = sinks.split_issues(issues)
+    both = errors.unionByName(warnings).groupBy("severity").agg(F.count(F.lit(1)).alias("m"))
+    return counts.join(both, "severity").where("n = m").select("severity", "n")
+
+
+@query("SELECT n_name AS name, n_regionkey AS region FROM nation")
+def q_json_map(spark, sf_dir):
+    """Entries of files that each hold one JSON object."""
+    path = _folder(spark, "map")
+    n = table(spark, sf_dir, "nation")
+    one = n.groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", F.struct(F.col("n_regionkey").alias("r")))))).alias("value"))
+    one.write.partitionBy("n_regionkey").text(path)
+    rows = jsonl.read_map(spark, path, "name", "v")
+    return rows.select("name", F.variant_get("v", "$.r", "int").alias("region"))
+
+
+@query(f"WITH {QA}, p AS (SELECT sample_id, CASE WHEN question = '' OR answer = '' THEN NULL ELSE 'Judge: ' || question || ' / ' || answer END AS prompt FROM qa) SELECT sample_id, prompt IS NOT NULL AS sent, CASE WHEN prompt IS NOT NULL THEN length(prompt) % 2 = 0 ELSE false END AS accepted FROM p")
+def q_judge_stage(spark, sf_dir):
+    """Preflight, one call for each prompt by an offline client, and parsing."""
+    rows = V.qa(spark, sf_dir).withColumn("issues", F.array_compact(F.array(F.when(F.col("question") == "", "missing_question"), F.when(F.col("answer") == "", "missing_answer"))))
+    prompt = F.concat(F.lit("Judge: "), "question", F.lit(" / "), "answer")
+    parse = lambda raw: F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$.ok", "boolean"), F.lit(False))
+    spec = judge.FilterSpec(prompt, parse)
+    client = lambda: lambda p: '{"ok": true}' if len(p) % 2 == 0 else '{"ok": false}'
+    ship(spark)
+    out = judge.scored(judge.judged(rows, spec, client), spec)
+    return out.select("sample_id", F.col("raw_response").isNotNull().alias("sent"), F.col("score").alias("accepted"))
+
+
+@query(f"WITH {QA} SELECT sample_id, 'qa_reward_v1' AS schema_id, substr(task_name, 1, 7) AS task_id, answer AS reference FROM qa")
+def q_ground_truth(spark, sf_dir):
+    built = V.qa(spark, sf_dir).withColumn("video", F.lit("/v/a.mp4"))
+    rows = built.select("sample_id", *qa.rl_row("sample_id", "task_name", "question", "answer", "video", "pack"))
+    v = F.try_parse_json("reward_model.ground_truth")
+    at = lambda k: F.try_variant_get(v, f"$.{k}", "string")
+    return rows.select("sample_id", at("schema_id").alias("schema_id"), at("task_id").alias("task_id"), at("reference_answer").alias("reference"))
+
+
+# --- smaller rules ---
+
+
+@query("""WITH f AS (SELECT user_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id FROM events) SELECT item, md5(string_agg(i || ': ' || (event_id % 1000) || '.' || lpad((event_id % 4 * 25)::VARCHAR, 2, '0') || ' s', chr(10) ORDER BY i)) AS manifest FROM f GROUP BY item""")
+def q_manifest_text(spark, sf_dir):
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("frame_index"))
+    frames = e.select("item", "frame_index", (F.col("event_id") % 1000 + F.col("event_id") % 4 / 4).alias("ts"))
+    return evidence.manifest_text(frames).select("item", F.md5("manifest").alias("manifest"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 OR doc_id % 9 = 0 THEN '' WHEN doc_id % 2 = 0 THEN array_to_string(range(1, doc_id % 9 + 1), ',') ELSE (doc_id % 9)::VARCHAR END AS steps FROM documents")
+def q_steps_of_file(spark, sf_dir):
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    name = F.when(k % 3 == 2, F.lit("/step9/whole.mp4")).otherwise(F.concat(F.lit("/a/prefix_step"), F.lpad((k % 9).cast("string"), 2, "0"), F.lit("_x.mp4")))
+    return d.select("doc_id", F.array_join(F.transform(evidence.steps_of_file(name, k % 2 == 0), lambda x: x.cast("string")), ",").alias("steps"))
+
+
+@query(f"WITH {STEPS} SELECT item, string_agg(step_goal, '|' ORDER BY CASE WHEN step_id % 4 = 0 THEN 0 ELSE step_id END, step_id) AS goals FROM steps GROUP BY item")
+def q_step_order(spark, sf_dir):
+    s = V.steps(spark, sf_dir)
+    said = F.when(F.col("step_id") % 4 == 0, "soon").otherwise(F.col("step_id").cast("string"))
+    listed_ = s.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("step_id", said.alias("said"), "step_goal"))), lambda x: F.struct(x["said"].alias("step_id"), x["step_goal"].alias("goal"))).alias("s"))
+    return listed_.select("item", F.array_join(F.transform(evidence.in_step_order(F.col("s")), lambda x: x["goal"]), "|").alias("goals"))
+
+
+@query(f"""WITH {STEPS} SELECT item, step_id, lower(step_goal) || ' it s done' AS plain, true AS phrase, step_id % 2 = 0 AS word FROM steps""")
+def q_keyword_found(spark, sf_dir):
+    s = V.steps(spark, sf_dir)
+    said = F.concat(F.upper("step_goal"), F.lit("...  it's (done)!"))
+    word = F.when(F.col("step_id") % 2 == 0, F.split("step_goal", " ")[0]).otherwise(F.lit("don"))
+    return s.select("item", "step_id", salvage.plain_words(said).alias("plain"), salvage.keyword_found(said, F.initcap("step_goal")).alias("phrase"), salvage.keyword_found(said, word).alias("word"))
+
+
+@query("SELECT p_partkey, p_name || ', ' || p_brand || '!' AS line, replace(lower(p_type), ' ', ' ') AS words FROM part")
+def q_one_line(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    said = F.concat(F.lit("\n "), "p_name", F.lit(" ,,\n\t"), "p_brand", F.lit("  !! "))
+    return p.select("p_partkey", salvage.one_line(said).alias("line"), salvage.humanised(F.concat(F.lit("obj_"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("__")))).alias("words"))
+
+
+@query("SELECT doc_id, doc_id % 100 AS k FROM documents")
+def q_required_object(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    body = F.concat(F.lit('{"k": '), F.col("doc_id") % 100, F.lit("}"))
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nthat is all {}"))).otherwise(F.concat(F.lit("so "), body, F.lit(" it is")))
+    return d.select("doc_id", F.variant_get(salvage.required_object(said), "$.k", "long").alias("k"))
+
+
+@query(f"""WITH {STEPS}, b AS (SELECT item, step_id, 'keep the ' || step_goal || ' dry' AS a, 'hold it in both hands now' AS c FROM steps) SELECT item, step_id, CASE WHEN step_id % 2 = 0 THEN a ELSE c END AS best FROM b""")
+def q_best_point(spark, sf_dir):
+    s = V.steps(spark, sf_dir)
+    points = F.array(F.lit("hold it in both hands now"), F.concat(F.lit("keep the "), "step_goal", F.lit(" dry")))
+    return s.select("item", "step_id", morph.best_by_terms(points, F.when(F.col("step_id") % 2 == 0, F.col("step_goal")).otherwise("hold hands with both")).alias("best"))
+
+
+@query(f"""WITH {TRACES} SELECT sample_id, len(regexp_extract_all(trace, '(?m:^[A-Z][A-Z\\s]{{2,30}}:)')) + len(regexp_extract_all(trace, 'PARAGRAPH\\s*[0-9]')) + CASE WHEN len(regexp_extract_all(trace, '(?m:^[0-9]+\\.\\s)')) >= 5 THEN 1 ELSE 0 END
++ len(regexp_extract_all(trace, '(?im:^(?:Step|Phase|Layer|Stage|Part)\\s*[0-9]+\\s*[:\\-—])')) AS patterns FROM traces""")
+def q_template_patterns(spark, sf_dir):
+    return V.traces(spark, sf_dir).select("sample_id", trace.template_patterns(F.col("trace")).cast("long").alias("patterns"))
+
+
+@query("SELECT split_part(lang, '-', 1) AS task_name, count(*) AS rows, count(DISTINCT doc_id) AS ids, min(doc_id) AS first_index FROM documents GROUP BY 1")
+def q_benchmark_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("task_name"), F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("sample_index"))
+    return benchmark.task_counts(d)

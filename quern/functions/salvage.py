@@ -90,3 +90,34 @@ def required_spans(task: Column, field: "callable", points: "callable") -> Colum
     for name, spans in rules.items():
         out = F.when(task == name, spans).otherwise(out)
     return F.filter(F.transform(out, lambda x: first_text(x)), lambda x: x != "")
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-case text without marks, blanks collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+
+
+def keyword_found(text: Column, keyword: Column) -> Column:
+    """A keyword of one word is a word of the text; one of several stands in it as they are."""
+    t, k = plain_words(text), plain_words(keyword)
+    word = F.array_contains(F.split(t, " "), k)
+    return (k != "") & F.when(F.contains(k, F.lit(" ")), F.contains(t, k)).otherwise(word)
+
+
+def one_line(text: Column) -> Column:
+    """Text in one line, blanks collapsed, without blanks before marks and without doubled marks."""
+    s = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(s, r" +([,.;:!?])", "$1"), r"([,.;:!?])\1+", "$1")
+
+
+def humanised(token: Column) -> Column:
+    """A name of words joined by underscores as words."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(token, F.lit("")), r"[_\s]+", " "), r"^obj ", ""))
+
+
+def required_object(text: Column) -> Column:
+    """The JSON object of a response in or out of a code fence; raises if there is none."""
+    from quern.functions.json import object_of
+
+    found = object_of(F.coalesce(F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit("")), text))
+    return F.when(found.isNull(), F.raise_error(F.concat(F.lit("no JSON object in: "), F.substring(text, 1, 80))).cast("variant")).otherwise(found)

@@ -183,3 +183,22 @@ def media_path(path: Column, root: str | None = None, mode: str = "as_is") -> Co
         return p
 
     return F.when(path.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://") | F.startswith(path, F.lit("data:")), path).otherwise(let(full, made))
+
+
+def manifest_text(frames: DataFrame) -> DataFrame:
+    """(item, manifest): a line 'index: time s' for each frame (item, frame_index, ts), in order."""
+    line = lambda x: F.concat(x["frame_index"].cast("string"), F.lit(": "), x["ts"].cast("decimal(18,2)").cast("string"), F.lit(" s"))
+    rows = frames.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("frame_index", "ts"))).alias("f"))
+    return rows.select("item", F.array_join(F.transform("f", line), "\n").alias("manifest"))
+
+
+def steps_of_file(name: Column, whole_prefix: Column) -> Column:
+    """Step numbers of a clip's name: the one it has, or with `whole_prefix` all from 1 to it; empty without one."""
+    n = F.regexp_extract(F.element_at(F.split(name, "/"), -1), r"step([0-9]+)", 1).try_cast("int")
+    return F.when(F.coalesce(n, F.lit(0)) < 1, F.array().cast("array<int>")).when(whole_prefix, F.sequence(F.lit(1), n)).otherwise(F.array(n))
+
+
+def in_step_order(steps: Column) -> Column:
+    """Steps (array of structs with a text step_id) by number; those without a number come first, as 0."""
+    keyed = F.transform(steps, lambda s, i: F.struct(F.coalesce(s["step_id"].try_cast("int"), F.lit(0)).alias("k"), i.alias("i"), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda x: x["s"])

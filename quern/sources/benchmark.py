@@ -54,6 +54,11 @@ def benchmark_items(lines: DataFrame, split: str, tasks: list[str] | None = None
     return out
 
 
+def task_counts(items: DataFrame) -> DataFrame:
+    """By task: rows, distinct ids, and the first place."""
+    return items.groupBy("task_name").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("sample_id").alias("ids"), F.min("sample_index").alias("first_index"))
+
+
 def correct(predicted: Column, gold: Column) -> Column:
     """Whether a letter was given and is the right one."""
     return predicted.isNotNull() & predicted.eqNullSafe(gold)

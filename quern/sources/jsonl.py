@@ -54,3 +54,9 @@ def read_plans(spark: SparkSession, folder: str, name: str = "final_plan.json",
 def step_table(plans: DataFrame) -> DataFrame:
     """(item, pos, step fields ...) of plans with an array of structs `steps`."""
     return plans.select("item", F.posexplode("steps").alias("pos", "s")).select("item", "pos", "s.*")
+
+
+def read_map(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    """(key, value VARIANT) of files that are one JSON object each: their entries."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
+    return whole.select(F.explode(F.from_json(F.to_json("v"), "map<string,variant>")).alias(key, value))
