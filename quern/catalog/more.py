@@ -760,3 +760,69 @@ def q_template_patterns(spark, sf_dir):
 def q_benchmark_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("task_name"), F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("sample_index"))
     return benchmark.task_counts(d)
+
+
+# --- indexes of files ---
+
+
+@query("""SELECT doc_id AS row_id, CASE WHEN doc_id % 4 = 0 THEN '/g/' || doc_id || '/step01_a.mp4' WHEN doc_id % 3 = 0 THEN '/g/' || doc_id || '/other (1).mp4' END AS found FROM documents""")
+def q_glob_first(spark, sf_dir):
+    d, k = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id")), F.col("row_id")
+    at = lambda name: F.concat(F.lit("/g/"), "row_id", F.lit(name))
+    index = _present(d, (k % 4 == 0, at("/step01_b.mp4")), (k % 4 == 0, at("/step01_a.mp4")), (k % 3 == 0, at("/other (1).mp4")), (k % 2 == 0, at("/step011.mp4")), (k % 5 == 0, at("/deep/step01_a.mp4")))
+    return resolve.first_matching(d.withColumn("patterns", F.array(at("/step01_*.mp4"), at("/other (?).mp4"))), index).select("row_id", "found")
+
+
+@query("""SELECT '/p/' || doc_id AS item FROM documents WHERE doc_id % 3 < 2 UNION ALL SELECT '/p/' || doc_id || '/a/b' FROM documents WHERE doc_id % 3 = 2""")
+def q_plan_files(spark, sf_dir):
+    d, k = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id")), F.col("row_id")
+    at = lambda name: F.concat(F.lit("/p/"), "row_id", F.lit(name))
+    index = _present(d, (k % 3 < 2, at("/final_plan.json")), (k % 2 == 0, at("/draft_plan.json")), (k % 3 > 0, at("/a/b/final_plan.json")))
+    return resolve.plan_files(index).select("item")
+
+
+@query("SELECT o_orderkey AS item, CASE o_orderkey % 4 WHEN 0 THEN 'g' || o_custkey END AS goal FROM orders")
+def q_loaded_plans(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), "o_custkey")
+    said = F.concat(F.lit('{"goal": "g'), "o_custkey", F.when(F.col("item") % 4 == 1, F.lit('"')).otherwise(F.lit('"}')))
+    texts = o.where("item % 4 < 3").select("item", F.when(F.col("item") % 4 == 2, F.concat(F.lit("["), said, F.lit("]"))).otherwise(said).alias("text"))
+    return resolve.loaded_plans(o.select("item"), texts).select("item", F.try_variant_get("plan", "$.goal", "string").alias("goal"))
+
+
+@query("""SELECT doc_id AS row_id, CASE WHEN doc_id % 5 = 0 THEN 'm/' || doc_id || '.jpg' WHEN doc_id % 3 = 1 THEN '/b/m/' || doc_id || '.jpg' END AS found FROM documents""")
+def q_placed_media(spark, sf_dir):
+    d, k = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id")), F.col("row_id")
+    name = F.concat(F.lit("m/"), "row_id", F.lit(".jpg"))
+    files = _present(d, (k % 5 == 0, name), (k % 3 == 0, F.concat(F.lit("/a/"), name)), (k % 3 == 1, F.concat(F.lit("/b/"), name)))
+    sized = files.withColumn("size", F.when(F.startswith("path", F.lit("/a/")), 0).otherwise(9))
+    return resolve.placed_media(d.withColumn("media", name), sized, ["/a/", "/b"]).select("row_id", "found")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'take "' || p_name || '" and "' || p_brand || '" now' ELSE 'take "x" now' END AS text FROM part""")
+def q_repaired_quotes(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    draft = F.concat(F.lit('the "'), "p_name", F.lit('" with "'), "p_brand", F.lit('"'))
+    said = F.when(F.col("p_size") % 2 == 0, F.lit('take "it" and "that" now')).otherwise(F.lit('take "x" now'))
+    return p.select("p_partkey", resolve.repaired_quotes(said, draft).alias("text"))
+
+
+@query(f"""WITH {QA}, i AS (SELECT sample_id, task_name, 'empty' AS code, row_number() OVER (PARTITION BY task_name ORDER BY sample_id) AS k FROM qa WHERE answer = '' OR conv_id % 2 = 0) SELECT sample_id, task_name, code FROM i WHERE k <= 2""")
+def q_kept_issues(spark, sf_dir):
+    i = V.qa(spark, sf_dir).where("answer = '' or conv_id % 2 = 0").select("sample_id", "task_name", F.lit("empty").alias("code"))
+    return audit.kept_issues(i, 2).select("sample_id", "task_name", "code")
+
+
+@query(f"""WITH {QA} SELECT sample_id, CASE WHEN question = '' OR answer = '' THEN 'preflight' WHEN conv_id % 3 = 0 THEN 'runtime' END AS kind FROM qa""")
+def q_failure_kinds(spark, sf_dir):
+    rows = V.qa(spark, sf_dir).withColumn("issues", F.array_compact(F.array(F.when((F.col("question") == "") | (F.col("answer") == ""), "missing"))))
+    fails = F.col("conv_id") % 3 == 0
+    rows = rows.withColumns({"raw_response": F.when((F.size("issues") == 0) & ~fails, "{}"), "judge_error": F.when((F.size("issues") == 0) & fails, "error: x")})
+    return rows.select("sample_id", judge.failure_kind().alias("kind"))
+
+
+@query("""WITH t AS (SELECT conv_id, arg_min(trim(text, ' '), turn) FILTER (WHERE role = 'user' AND trim(text, ' ') <> '') AS q, arg_min(trim(text, ' '), turn) FILTER (WHERE role = 'assistant' AND trim(text, ' ') <> '') AS a FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'own' ELSE coalesce(q, '') END AS question, coalesce(a, '') AS answer FROM t""")
+def q_trace_question(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    turns = t.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), F.trim(x["text"]).alias("text"))).alias("turns"))
+    return turns.select("conv_id", qa.trace_question(F.when(F.col("conv_id") % 2 == 0, " own "), F.lit(" "), F.col("turns")).alias("x")).select("conv_id", "x.*")

@@ -90,3 +90,10 @@ def entities(steps: DataFrame) -> DataFrame:
     """(item, entities): distinct patients of an item's steps (item, step_id, patient), lower-case, in order of their first step."""
     first = steps.where(F.trim(F.coalesce("patient", F.lit(""))) != "").groupBy("item", F.lower(F.trim("patient")).alias("entity")).agg(F.min("step_id").alias("place"))
     return first.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "entity"))), lambda x: x["entity"]).alias("entities"))
+
+
+def kept_issues(issues: DataFrame, most: int = 50) -> DataFrame:
+    """The first `most` issues of each task by sample and code; counts are taken before, from all."""
+    from quern.operators.rank import limit_per_group
+
+    return limit_per_group(issues, "task_name", [F.col("sample_id"), F.col("code")], most)

@@ -77,3 +77,8 @@ def scored(judged_rows: DataFrame, spec: FilterSpec) -> DataFrame:
 def mock_client(table: dict[str, str] | None = None, default: str = '{"decision": "REJECT"}') -> Callable[[], Callable[[str], str]]:
     """Offline client with fixed answers by prompt."""
     return lambda: lambda prompt: (table or {}).get(prompt, default)
+
+
+def failure_kind() -> Column:
+    """Why a judged row has no response: 'preflight' (never sent), 'runtime' (the call failed), null if it has one."""
+    return F.when(F.size("issues") > 0, "preflight").when(F.col("judge_error").isNotNull() | F.col("raw_response").isNull(), "runtime")

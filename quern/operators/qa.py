@@ -247,3 +247,9 @@ def sharegpt(sample: str, task: str, question: str, answer: str, images: Column,
 def with_meta(meta: Column, key: str, value: Column) -> Column:
     """A map of texts with one entry put in, in place of an older one."""
     return F.map_concat(F.map_filter(meta, lambda k, v: k != key), F.create_map(F.lit(key), value))
+
+
+def trace_question(question: Column, answer: Column, turns: Column) -> Column:
+    """(question, answer) of a trace's row: its own fields, else the first text of a user and of an assistant."""
+    first = F.coalesce(F.get(F.filter(turns, lambda t: t["role"].isin(ASSISTANT_ROLES) & (t["text"] != "")), F.lit(0))["text"], F.lit(""))
+    return F.struct(first_text(question, first_question(turns)).alias("question"), first_text(answer, first).alias("answer"))

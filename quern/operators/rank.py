@@ -46,3 +46,11 @@ def limit_per_group(rows: DataFrame, group: str, order: list[Column], most: int,
     """The first `most` rows of each group, then the first `total` by group and order."""
     first = rows.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_place") <= most)
     return (first.orderBy(group, "_place").limit(total) if total is not None else first).drop("_place")
+
+
+def one_model(scored: DataFrame, model: str = "model") -> DataFrame:
+    """Rows scored by one model; raises if there are two, whose scores have no common rank."""
+    names = [r[0] for r in scored.select(model).distinct().limit(2).collect()]
+    if len(names) > 1:
+        raise ValueError(f"scores of several models: {', '.join(sorted(map(str, names)))} ...")
+    return scored

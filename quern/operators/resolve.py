@@ -146,3 +146,55 @@ def merged_plan(refined: DataFrame, actions: DataFrame) -> DataFrame:
     """Steps (item, step_id, ...) with their atomic actions as an ordered array, empty if they have none."""
     own = actions.groupBy("item", "step_id").agg(F.array_sort(F.collect_list(F.struct("atomic_action_id", "action"))).alias("atomic_actions"))
     return refined.join(own, ["item", "step_id"], "left").withColumn("n_actions", F.coalesce(F.size("atomic_actions"), F.lit(0)))
+
+
+def folder_of(path: Column) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
+def name_pattern(pattern: Column) -> Column:
+    """The last part of a pattern with * and ? as a regular expression."""
+    name = F.regexp_replace(F.element_at(F.split(pattern, "/"), -1), r"([\\.^$|+(){}\[\]])", r"\\$1")
+    return F.concat(F.lit("^"), F.replace(F.replace(name, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+
+
+def first_matching(rows: DataFrame, index: DataFrame, patterns: str = "patterns") -> DataFrame:
+    """rows (row_id, patterns array) with the first file by name of the first pattern that has one; only names have wildcards.
+
+    Files (path) meet patterns of their own folder.
+    """
+    files = index.select("path").distinct().select("path", folder_of(F.col("path")).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    each = rows.select("row_id", F.posexplode(patterns).alias("place", "p")).select("row_id", "place", folder_of(F.col("p")).alias("folder"), name_pattern(F.col("p")).alias("like"))
+    best = each.join(files, "folder").where(F.expr("name rlike like")).groupBy("row_id").agg(F.min(F.struct("place", "path")).alias("b"))
+    return rows.join(best, "row_id", "left").select(*rows.columns, F.col("b.path").alias("found"))
+
+
+def plan_files(index: DataFrame, name: str = "final_plan.json") -> DataFrame:
+    """(item, path) of plan files; a folder below another with a plan is not looked into."""
+    plans = index.select("path").distinct().where(F.endswith("path", F.lit("/" + name))).select("path", folder_of(F.col("path")).alias("item"))
+    parts = F.split("item", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    below = plans.select("path", F.explode(F.when(F.size(parts) > 1, above)).alias("item")).join(plans.select("item"), "item", "left_semi")
+    return plans.join(below.select("path").distinct(), "path", "left_anti").select("item", "path")
+
+
+def loaded_plans(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """items (item) with their plan (item, text) as a VARIANT; null if it is missing or no JSON object."""
+    plan = F.try_parse_json("text")
+    own = texts.select("item", F.when(F.startswith(F.schema_of_variant(plan), F.lit("OBJECT")), plan).alias("plan"))
+    return items.join(own, "item", "left")
+
+
+def placed_media(rows: DataFrame, files: DataFrame, bases: list[str]) -> DataFrame:
+    """rows (row_id, media) with the file (path, size) that the path names, as it is or under the first base that has it, if it is not empty."""
+    tries = F.array(F.col("media"), *[F.concat(F.lit(b.rstrip("/") + "/"), F.col("media")) for b in bases])
+    there = files.where("size > 0").select("path")
+    return first_file(rows.withColumn("candidates", tries), there).drop("candidates", "place")
+
+
+def repaired_quotes(rewrite: Column, draft: Column) -> Column:
+    """A rewrite whose quoted parts are the draft's, place by place, if both have as many; else as it is."""
+    a, b = F.split(rewrite, '"', -1), F.split(draft, '"', -1)
+    inner = F.transform(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda z, i: F.when(i % 2 == 1, z["y"]).otherwise(z["x"]))
+    fits = (F.size(a) == F.size(b)) & (F.size(a) % 2 == 1)
+    return F.when(fits, F.array_join(inner, '"')).otherwise(rewrite)
