@@ -826,3 +826,23 @@ def q_trace_question(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
     turns = t.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), F.trim(x["text"]).alias("text"))).alias("turns"))
     return turns.select("conv_id", qa.trace_question(F.when(F.col("conv_id") % 2 == 0, " own "), F.lit(" "), F.col("turns")).alias("x")).select("conv_id", "x.*")
+
+
+_VAGUE = lambda kind: f"{listed(morph.VAGUE[kind])}[(('0x' || substr(md5('vague:' || g), 1, 12))::BIGINT % {len(morph.VAGUE[kind])} + 1)::INT]"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_partkey % 5 AS k, CASE p_partkey % 5 WHEN 0 THEN 'To carefully stirring, ' WHEN 1 THEN 'Then dicing the ' WHEN 2 THEN 'first gather the ' WHEN 3 THEN 'The person takes ' ELSE 'open the ' END || p_name AS g FROM part)
+SELECT p_partkey, CASE WHEN k < 2 THEN {_VAGUE('prepare')} WHEN k = 2 THEN {_VAGUE('organize')} WHEN k = 3 THEN {_VAGUE('none')} ELSE {_VAGUE('handle')} END AS goal FROM t""")
+def q_vague_goal(spark, sf_dir):
+    heads = F.element_at(F.array(*[F.lit(x) for x in ("To carefully stirring, ", "Then dicing the ", "first gather the ", "The person takes ", "open the ")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", morph.vague_goal(F.concat(heads, "p_name")).alias("goal"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct([p_name] || CASE WHEN p_size % 2 = 0 THEN ['steel_box'] ELSE ['knob'] END)), '|') AS objects FROM part""")
+def q_key_object_names(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    even = F.col("p_size") % 2 == 0
+    patients = F.array(F.col("p_name"), F.lit("hand"), F.when(even, F.lit(" steel_box ")).otherwise(F.lit("knob")))
+    tokens = F.array(*[F.lit(x) for x in ("box", "lid_open", "ready_to_use", "holdable_part", "robot_arm", "9_lives", "left_hand")])
+    made = morph.key_objects(patients, tokens, F.array(F.lit("Robot_Arm"), F.col("p_name")), F.array(F.lit("holdable_part")))
+    return p.select("p_partkey", F.array_join(made, "|").alias("objects"))

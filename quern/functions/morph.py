@@ -115,3 +115,80 @@ def best_by_terms(points: Column, context: Column) -> Column:
 
     score = lambda own: F.transform(points, lambda p, i: F.struct((F.lit(10) * F.size(F.array_intersect(terms(p), own)) + F.size(F.split(p, " "))).alias("s"), (-i).alias("i"), p.alias("p")))
     return let(terms(context), lambda own: F.array_max(score(own))["p"])
+
+
+# Words before the verb of a goal, words that are no verbs, verbs of two kinds of work.
+BEFORE_VERB = ["to", "the", "a", "an", "this", "that", "these", "those", "after", "before", "while", "once", "then", "also", "first", "next", "finally", "further", "immediately"]
+NOT_A_VERB = ["person", "item", "object", "camera", "it", "they", "he", "she", "one", "each", "all", "some", "any", "remaining", "several", "both", "other"]
+WORK = {
+    "prepare": ["stir", "pour", "mix", "bake", "fry", "grate", "rinse", "squeeze", "serve", "plate", "peel", "dice"],
+    "organize": ["sort", "arrange", "clear", "gather", "collect"],
+}
+VAGUE = {
+    "none": ["Go on with what is needed.", "Do the next thing.", "See to it as things stand."],
+    "handle": ["Go on with this step.", "Handle the things at hand.", "Do with the items what is needed."],
+    "prepare": ["Go on preparing.", "Get the things ready.", "Prepare the items as needed."],
+    "organize": ["Go on tidying.", "Put the things in order.", "Arrange the items as needed."],
+}
+
+
+def _ing(verb: str) -> str:
+    """The gerund of a plain verb, by the rule of `gerund`."""
+    if verb.endswith("e") and not verb.endswith("ee"):
+        return verb[:-1] + "ing"
+    double = 3 <= len(verb) <= 5 and re.search("[^aeiou][aeiou][^aeiouwxy]$", verb) and verb not in NO_DOUBLING
+    return verb + (verb[-1] if double else "") + "ing"
+
+
+def vague_goal(goal: Column) -> Column:
+    """A goal of the same kind of work that says nothing of it; which of them, a hash of the goal picks.
+
+    The verb is the first word after articles, words of time and adverbs, plain or as a gerund.
+    """
+    from quern.functions.text import literal_array, template_pick, words
+
+    bare = F.transform(words(F.lower(F.coalesce(goal, F.lit("")))), lambda w: F.regexp_replace(w, "[,.:;]+$", ""))
+    verb = F.coalesce(F.get(F.filter(bare, lambda w: ~w.isin(BEFORE_VERB) & ~(F.endswith(w, F.lit("ly")) & (F.length(w) > 3))), F.lit(0)), F.lit(""))
+
+    def kind(v: Column) -> Column:
+        out = F.when(v.isin(*NOT_A_VERB) | (F.length(v) <= 1), F.lit("none"))
+        for name, verbs in WORK.items():
+            out = out.when(v.isin(*verbs, *map(_ing, verbs)), F.lit(name))
+        return out.otherwise(F.lit("handle"))
+
+    def made(k: Column) -> Column:
+        out = F.lit("")
+        for name, texts in VAGUE.items():
+            out = F.when(k == name, F.element_at(literal_array(texts), (template_pick(len(texts), F.lit("vague"), goal) + 1).cast("int"))).otherwise(out)
+        return out
+
+    return let(let(verb, kind), made)
+
+
+# States and directions that names of things do not begin or end with.
+STATE_STARTS = ["ready_to_", "partially_", "more_", "less_", "switched_"]
+STATE_ENDS = ["_on", "_off", "_open", "_closed", "_pressed", "_depressed"]
+GENERIC_OBJECTS = ["hand", "hands", "left_hand", "right_hand", "object", "objects", "item", "items", "tool", "tools", "person"]
+
+
+def key_objects(patients: Column, tokens: Column, agents: Column, affordances: Column, excluded: list[str] | None = None, most: int = 12) -> Column:
+    """Names of the things of a plan: its patients and tokens that look like things, sorted, `most` at most, without names inside longer ones.
+
+    Agents that are no patients, affordances, generic names and `excluded` words are none; nor are states,
+    and single words count only as patients.
+    """
+    from quern.functions.text import longest_objects
+
+    low = lambda xs: F.transform(xs, lambda x: F.lower(F.trim(x)))
+    no = [*GENERIC_OBJECTS, *(excluded or [])]
+
+    def fits(own: Column, x: Column) -> Column:
+        k = F.lower(x)
+        ok = ~k.isin(no) & ~F.array_contains(low(affordances), k) & x.rlike("^[A-Za-z][A-Za-z0-9_ ]*$")
+        ok = ok & ~k.rlike("^(?:" + "|".join(STATE_STARTS) + ")") & ~k.rlike("(?:" + "|".join(STATE_ENDS) + ")$")
+        named = F.array_contains(own, k)
+        return ok & (named | (~F.array_contains(low(agents), k) & x.rlike("[_ ]")))
+
+    every = F.array_distinct(F.transform(F.concat(patients, tokens), lambda x: F.trim(x)))
+    kept = let(low(patients), lambda own: F.filter(every, lambda x: fits(own, x)))
+    return longest_objects(F.slice(F.array_sort(kept), F.lit(1), F.lit(most)))
