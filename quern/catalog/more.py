@@ -640,7 +640,7 @@ def q_finished_ids(spark, sf_dir):
 def q_task_folders(spark, sf_dir):
     """One data.jsonl for each task folder, found again and numbered line by line."""
     path = _folder(spark, "tasks")
-    V.qa(spark, sf_dir).select(F.concat(F.lit("Task="), "task_name").alias("t"), "task_name", F.to_json(F.struct("sample_id")).alias("value")).repartition(1, "task_name").drop("t").write.partitionBy("task_name").text(path)
+    V.qa(spark, sf_dir).select("task_name", F.to_json(F.struct("sample_id")).alias("value")).repartition("task_name").write.partitionBy("task_name").text(path)
     rows = jsonl.numbered(jsonl.read_lines(spark, path)).withColumn("task_name", F.regexp_extract("source_file", "/task_name=([^/]*)/", 1))
     return rows.groupBy("task_name").agg(F.count(F.lit(1)).alias("n"), F.max("row_index").alias("last_index"))
 
