@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import small_batches
 
-CACHED_WORDS, CACHED_CHARS = 1_500_000, 64
+CACHED_WORDS, CACHED_CHARS = 600_000, 64
 JOINED = 400  # words in one text for the tokenizer
 SPECIAL = "<|"
 RUN = re.compile(r"[^\w \n]{2}|_")
