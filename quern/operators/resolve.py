@@ -70,25 +70,22 @@ def prefix_candidates(folder: Column, step: Column, source: Column) -> Column:
 def nearest(points: DataFrame, frames: DataFrame) -> DataFrame:
     """points (point_id, t) with the frame (frame_index, ts) nearest in time and the gap; the smaller index on ties.
 
-    Both sides are range-partitioned by time together. In its partition a point finds the last frame at
-    or before it and the first at or after it; beyond the partition's ends it takes the next
-    partition's that has a frame (one row for each partition). No point meets more than two frames.
+    Both sides are range-partitioned by time together (equal times by their points as well). In its
+    partition a point finds the last frame at or before it and the first at or after it; beyond the
+    partition's ends it takes the next partition's that has a frame (one row for each partition). No
+    point meets more than two frames. Both windows run from an end to the current row, so that each
+    row is added once: a frame from the current row to the end is worked out anew for every row.
     Points without a time, or without any frame, get nulls.
     """
     one = frames.where("ts is not null").groupBy(F.col("ts").cast("double").alias("x")).agg(F.min("frame_index").alias("frame"))
     f = one.select("x", F.struct("x", "frame").alias("f"), F.lit(None).cast(points.schema).alias("p"))
     p = points.select(F.col("t").cast("double").alias("x"), F.lit(None).cast(f.schema["f"].dataType).alias("f"), F.struct(*points.columns).alias("p"))
-    dealt = settle(f.unionByName(p).repartitionByRange("x").withColumn("part", F.spark_partition_id()))
-    w = Window.partitionBy("part").orderBy("x")
-    local = dealt.withColumns(
-        {
-            "before": F.last("f", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-            "after": F.first("f", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
-        }
-    ).where("p is not null")
-    parts = Window.orderBy("part")  # one row for each partition
+    dealt = settle(f.unionByName(p).repartitionByRange(F.col("x"), F.xxhash64("p.point_id")).withColumn("part", F.spark_partition_id()))
+    so_far = lambda *order: Window.partitionBy("part").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    local = dealt.withColumns({"before": F.last("f", True).over(so_far("x")), "after": F.last("f", True).over(so_far(F.desc("x")))}).where("p is not null")
     ends = dealt.groupBy("part").agg(F.min("f").alias("low"), F.max("f").alias("high"))
-    ends = ends.select("part", F.last("high", True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("left"), F.first("low", True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("right"))
+    past = lambda order: Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731  one row for each partition
+    ends = ends.select("part", F.last("high", True).over(past(F.asc("part"))).alias("left"), F.last("low", True).over(past(F.desc("part"))).alias("right"))
     side = lambda c: F.when(c.isNotNull() & F.col("x").isNotNull(), F.struct(F.abs(c["x"] - F.col("x")).alias("gap"), c["frame"].alias("frame")))
     best = F.array_min(F.array_compact(F.array(side(F.coalesce("before", "left")), side(F.coalesce("after", "right")))))
     out = local.join(F.broadcast(ends), "part").withColumn("best", best)

@@ -39,6 +39,18 @@ def test_nearest_frame_ties_and_gaps(spark):
     assert got == {1: 1, 2: 2, 3: 4, 4: 1, 5: 4}
 
 
+def test_nearest_frame_adds_each_row_once(spark):
+    frames = spark.range(400).select(F.col("id").alias("frame_index"), (F.col("id") % 150 * 7).cast("double").alias("ts"))
+    points = spark.range(900).select(F.col("id").alias("point_id"), F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 3 == 0, 21.0).otherwise(F.col("id") * 1.3 - 40).alias("t"))
+    got = resolve.nearest(points, frames)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().analyzed().toString().lower()
+    first = {}
+    for r in frames.collect():
+        first[r.ts] = min(first.get(r.ts, r.frame_index), r.frame_index)
+    want = {r.point_id: None if r.t is None else min((abs(x - r.t), i) for x, i in first.items()) for r in points.collect()}
+    assert {r.point_id: None if r.gap is None else (r.gap, r.frame_index) for r in got.collect()} == want
+
+
 def test_merge_tiny_head_middle_tail(spark):
     acts = spark.createDataFrame([(1, 1, 1, 1, 2), (1, 1, 2, 2, 8), (1, 1, 3, 8, 9), (1, 1, 4, 9, 20), (1, 1, 5, 20, 21)], "item long, step_id long, action_id int, start long, end long")
     got = intervals.merge_tiny(acts).orderBy("action_id").collect()
