@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.json import kind_at
 from quern.functions.leak import has_frame_reference, has_leak, has_time_reference
 from quern.functions.text import let, share, words
 
@@ -44,12 +43,16 @@ def _at(path: Column, code: str) -> Column:
     return F.concat(path, F.lit(code))
 
 
-def keys(v: Column, path: Column, allowed: list[str], optional: list[str] = ()) -> Column:
-    """Extra and missing keys of an object."""
-    have = F.json_object_keys(F.to_json(v))
+def _fields(v: Column) -> Column:
+    """The fields of an object, each taken out of it once; null if it is none."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def keys(m: Column, path: Column, allowed: list[str], optional: list[str] = ()) -> Column:
+    """Extra and missing keys of an object's fields."""
     missing = [k for k in allowed if k not in optional]
     return let(
-        have,
+        F.map_keys(m),
         lambda h: _join(
             _when(F.size(F.array_except(h, F.array(*[F.lit(k) for k in allowed]))) > 0, _at(path, ":extra_keys")),
             _when(F.size(F.array_except(F.array(*[F.lit(k) for k in missing]), h)) > 0, _at(path, ":missing_keys")),
@@ -57,25 +60,34 @@ def keys(v: Column, path: Column, allowed: list[str], optional: list[str] = ())
     )
 
 
-def text_field(v: Column, key: str, path: Column) -> Column:
+def _field(m: Column, key: str) -> Column:
+    return F.try_element_at(m, F.lit(key))
+
+
+def text_field(m: Column, key: str, path: Column) -> Column:
     """A field must be a text that is not blank, of one line, without frame or file names."""
-    kind, s = kind_at(v, key), F.trim(F.try_variant_get(v, f"$.{key}", "string"))
-    return (
-        F.when(kind.isNull(), F.array(_at(path, f".{key}:missing")))
-        .when(kind != "STRING", F.array(_at(path, f".{key}:not_text")))
-        .when(s == "", F.array(_at(path, f".{key}:empty")))
-        .otherwise(_join(_when(F.contains(s, F.lit("\n")), _at(path, f".{key}:newline")), _when(has_leak(s), _at(path, f".{key}:leak"))))
-    )
+    read = lambda x: F.struct(F.schema_of_variant(x).alias("kind"), F.trim(F.try_variant_get(x, "$", "string")).alias("s"))
+
+    def errors(x: Column) -> Column:
+        kind, s = x["kind"], x["s"]
+        return (
+            F.when(kind.isNull(), F.array(_at(path, f".{key}:missing")))
+            .when(kind != "STRING", F.array(_at(path, f".{key}:not_text")))
+            .when(s == "", F.array(_at(path, f".{key}:empty")))
+            .otherwise(_join(_when(F.contains(s, F.lit("\n")), _at(path, f".{key}:newline")), _when(has_leak(s), _at(path, f".{key}:leak"))))
+        )
+
+    return let(let(_field(m, key), read), errors)
 
 
-def causal_list(v: Column, key: str, path: Column) -> Column:
+def causal_list(m: Column, key: str, path: Column) -> Column:
     """A field must be a non-empty list of sentences: one line, no list marker, a full stop, no frame names."""
-    kind = kind_at(v, key)
-    items = F.try_variant_get(v, f"$.{key}", "array<variant>")
 
     def item(x: Column) -> Column:
-        s = F.trim(F.try_variant_get(x, "$", "string"))
-        return F.when(F.schema_of_variant(x) != "STRING", F.array(_at(path, f".{key}:item_not_text"))).when(s == "", F.array(_at(path, f".{key}:item_empty"))).otherwise(
+        return F.when(F.schema_of_variant(x) != "STRING", F.array(_at(path, f".{key}:item_not_text"))).otherwise(let(F.trim(F.try_variant_get(x, "$", "string")), sentence))
+
+    def sentence(s: Column) -> Column:
+        return F.when(s == "", F.array(_at(path, f".{key}:item_empty"))).otherwise(
             _join(
                 _when(F.contains(s, F.lit("\n")), _at(path, f".{key}:item_newline")),
                 _when(s.rlike(r"^\s*[-*•]\s+") | s.rlike(r"^\s*[0-9]+\s*[.)、]\s*"), _at(path, f".{key}:item_numbered")),
@@ -84,78 +96,93 @@ def causal_list(v: Column, key: str, path: Column) -> Column:
             )
         )
 
-    return (
-        F.when(kind.isNull(), F.array(_at(path, f".{key}:missing")))
-        .when(~F.startswith(kind, F.lit("ARRAY")), F.array(_at(path, f".{key}:not_list")))
-        .when(F.size(items) == 0, F.array(_at(path, f".{key}:empty_list")))
-        .otherwise(F.flatten(F.transform(items, item)))
-    )
-
+    def errors(x: Column) -> Column:
+        items = x["items"]
+        return (
+            F.when(x["v"].isNull(), F.array(_at(path, f".{key}:missing")))
+            .when(items.isNull(), F.array(_at(path, f".{key}:not_list")))
+            .when(F.size(items) == 0, F.array(_at(path, f".{key}:empty_list")))
+            .otherwise(F.flatten(F.transform(items, item)))
+        )
 
-def _object(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", "variant")
+    return let(let(_field(m, key), lambda v: F.struct(v.alias("v"), F.try_variant_get(v, "$", "array<variant>").alias("items"))), errors)
 
 
-def _int(v: Column, key: str) -> Column:
+def _int(x: Column) -> Column:
     """A whole number that is no truth value, else null."""
-    return F.when(kind_at(v, key) == "BIGINT", F.try_variant_get(v, f"$.{key}", "bigint"))
+    return F.when(F.schema_of_variant(x) == "BIGINT", F.try_variant_get(x, "$", "bigint"))
 
 
 def chain_errors(cc: Column, path: Column, texts: list[str]) -> Column:
-    bad = F.coalesce(~F.startswith(F.schema_of_variant(cc), F.lit("OBJECT")), F.lit(True))
-    return F.when(bad, F.array(_at(path, ":not_object"))).otherwise(_join(keys(cc, path, texts + CAUSAL_LISTS), *[text_field(cc, k, path) for k in texts], *[causal_list(cc, k, path) for k in CAUSAL_LISTS]))
+    checks = lambda m: _join(keys(m, path, texts + CAUSAL_LISTS), *[text_field(m, k, path) for k in texts], *[causal_list(m, k, path) for k in CAUSAL_LISTS])
+    return let(_fields(cc), lambda m: F.when(m.isNull(), F.array(_at(path, ":not_object"))).otherwise(checks(m)))
+
+
+def _texts_of(v: Column, path: Column, names: list[str]) -> Column:
+    """Errors of an object of texts."""
+    return let(_fields(v), lambda m: _join(keys(m, path, names), *[text_field(m, k, path) for k in names]))
 
 
 def frame_errors(cf: Column, path: Column) -> Column:
-    index, intr = _int(cf, "frame_index"), _object(cf, "interaction")
-    return _join(
-        keys(cf, path, FRAME_KEYS),
-        _when(index.isNull(), _at(path, ".frame_index:not_int")),
-        _when(index <= 0, _at(path, ".frame_index:below_1")),
-        text_field(cf, "action_state_change_description", path),
-        chain_errors(_object(cf, "causal_chain"), _at(path, ".causal_chain"), []),
-        keys(intr, _at(path, ".interaction"), INTERACTION_KEYS),
-        *[text_field(intr, k, _at(path, ".interaction")) for k in INTERACTION_KEYS],
+    def errors(m: Column) -> Column:
+        return _join(
+            keys(m, path, FRAME_KEYS),
+            let(_int(_field(m, "frame_index")), lambda i: _join(_when(i.isNull(), _at(path, ".frame_index:not_int")), _when(i <= 0, _at(path, ".frame_index:below_1")))),
+            text_field(m, "action_state_change_description", path),
+            chain_errors(_field(m, "causal_chain"), _at(path, ".causal_chain"), []),
+            _texts_of(_field(m, "interaction"), _at(path, ".interaction"), INTERACTION_KEYS),
+        )
+
+    return let(_fields(cf), errors)
+
+
+def _two_frames(frames: Column, path: Column) -> Column:
+    """Errors of a step's list of critical frames."""
+    index = lambda i: _int(F.try_variant_get(F.get(frames, F.lit(i)), "$.frame_index", "variant"))
+    return F.when(frames.isNull(), F.array(_at(path, ".critical_frames:not_list"))).otherwise(
+        _join(
+            _when(F.size(frames) != 2, _at(path, ".critical_frames:not_two")),
+            F.flatten(F.transform(frames, lambda f, j: frame_errors(f, F.concat(path, F.lit(".critical_frames["), j.cast("string"), F.lit("]"))))),
+            let(F.struct(index(0).alias("a"), index(1).alias("b")), lambda x: _join(_when(x["a"] == x["b"], _at(path, ".critical_frames:equal")), _when(x["a"] > x["b"], _at(path, ".critical_frames:decreasing")))),
+        )
     )
 
 
 def step_errors(st: Column, path: Column) -> Column:
-    sid, question = _int(st, "step_id"), F.try_variant_get(st, "$.counterfactual_challenge_question", "string")
-    failure, frames = _object(st, "failure_reflecting"), F.try_variant_get(st, "$.critical_frames", "array<variant>")
-    first, second = _int(F.get(frames, F.lit(0)), "frame_index"), _int(F.get(frames, F.lit(1)), "frame_index")
-    return _join(
-        keys(st, path, STEP_KEYS, STEP_OPTIONAL),
-        _when(sid.isNull(), _at(path, ".step_id:not_int")),
-        _when(sid <= 0, _at(path, ".step_id:below_1")),
-        *[text_field(st, k, path) for k in ("step_goal", "rationale", "counterfactual_challenge_question", "expected_challenge_outcome")],
-        _when((F.trim(question) != "") & ~question.rlike(COUNTERFACTUAL), _at(path, ":counterfactual_prefix")),
-        chain_errors(_object(st, "causal_chain"), _at(path, ".causal_chain"), CHAIN_TEXTS),
-        keys(failure, _at(path, ".failure_reflecting"), FAILURE_KEYS),
-        *[text_field(failure, k, _at(path, ".failure_reflecting")) for k in FAILURE_KEYS],
-        F.when(frames.isNull(), F.array(_at(path, ".critical_frames:not_list"))).otherwise(
-            _join(
-                _when(F.size(frames) != 2, _at(path, ".critical_frames:not_two")),
-                F.flatten(F.transform(frames, lambda f, j: frame_errors(f, F.concat(path, F.lit(".critical_frames["), j.cast("string"), F.lit("]"))))),
-                _when(first == second, _at(path, ".critical_frames:equal")),
-                _when(first > second, _at(path, ".critical_frames:decreasing")),
-            )
-        ),
-    )
+    """Errors of a step. Every value is taken out of its object once: in lambdas Spark works out what is written twice twice."""
+
+    def errors(m: Column) -> Column:
+        question = F.try_variant_get(_field(m, "counterfactual_challenge_question"), "$", "string")
+        return _join(
+            keys(m, path, STEP_KEYS, STEP_OPTIONAL),
+            let(_int(_field(m, "step_id")), lambda i: _join(_when(i.isNull(), _at(path, ".step_id:not_int")), _when(i <= 0, _at(path, ".step_id:below_1")))),
+            *[text_field(m, k, path) for k in ("step_goal", "rationale", "counterfactual_challenge_question", "expected_challenge_outcome")],
+            let(question, lambda q: _when((F.trim(q) != "") & ~q.rlike(COUNTERFACTUAL), _at(path, ":counterfactual_prefix"))),
+            chain_errors(_field(m, "causal_chain"), _at(path, ".causal_chain"), CHAIN_TEXTS),
+            _texts_of(_field(m, "failure_reflecting"), _at(path, ".failure_reflecting"), FAILURE_KEYS),
+            let(F.try_variant_get(_field(m, "critical_frames"), "$", "array<variant>"), lambda f: _two_frames(f, path)),
+        )
+
+    return let(_fields(st), errors)
 
 
 def plan_errors(plans: DataFrame, most: int = 80) -> DataFrame:
     """(item, errors) of plans (item, plan VARIANT): at most the first `most` codes of each.
 
-    Steps are rows while they are checked, so that the size of a plan is not the size of an expression.
+    One expression over the list of steps, whatever its length; a plan is read in one row, without a join.
     """
     top = F.lit("top")
-    heads = plans.select("item", _join(keys(F.col("plan"), top, PLAN_KEYS, PLAN_OPTIONAL), text_field(F.col("plan"), "high_level_goal", top)).alias("head"), F.try_variant_get("plan", "$.steps", "array<variant>").alias("steps"))
-    rows = heads.select("item", F.posexplode("steps").alias("pos", "st")).withColumn("path", F.concat(F.lit("steps["), F.col("pos").cast("string"), F.lit("]")))
-    checked = rows.select("item", "pos", _int(F.col("st"), "step_id").alias("sid"), step_errors(F.col("st"), F.col("path")).alias("e"))
-    per = checked.groupBy("item").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"])).alias("inner"), (F.count("sid") > F.countDistinct("sid")).alias("dup"))
-    out = heads.join(per, "item", "left")
-    errors = _join(F.col("head"), _when(F.col("steps").isNull(), "top.steps:not_list"), F.col("inner"), _when(F.col("dup"), "steps.step_id:duplicate"))
-    return out.select("item", F.slice(errors, F.lit(1), F.lit(most)).alias("errors"))
+
+    def inner(steps: Column) -> Column:
+        ids = F.array_compact(F.transform(steps, lambda st: _int(F.try_variant_get(st, "$.step_id", "variant"))))
+        each = F.transform(steps, lambda st, i: step_errors(st, F.concat(F.lit("steps["), i.cast("string"), F.lit("]"))))
+        twice = let(ids, lambda x: F.size(x) > F.size(F.array_distinct(x)))
+        return _join(_when(steps.isNull(), "top.steps:not_list"), F.flatten(each), _when(twice, "steps.step_id:duplicate"))
+
+    def errors(m: Column) -> Column:
+        return _join(keys(m, top, PLAN_KEYS, PLAN_OPTIONAL), text_field(m, "high_level_goal", top), let(F.try_variant_get(_field(m, "steps"), "$", "array<variant>"), inner))
+
+    return plans.select("item", F.slice(let(_fields(F.col("plan")), errors), F.lit(1), F.lit(most)).alias("errors"))
 
 
 def content_words(goal: Column) -> Column:
