@@ -691,7 +691,7 @@ def q_gen_conditions(spark, sf_dir):
 
 @query(S.FEASIBILITY)
 def q_gen_task03(spark, sf_dir):
-    return moments.feasibility(V.causal_steps(spark, sf_dir))
+    return moments.feasibility(V.causal_lines(spark, sf_dir), V.causal_points(spark, sf_dir))
 
 
 _ONCE = "SELECT task_name, item, step_id, question, answer, evidence FROM (SELECT *, row_number() OVER (PARTITION BY item, answer ORDER BY evidence) AS k FROM r) WHERE k = 1"

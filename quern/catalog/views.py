@@ -203,22 +203,44 @@ rewards AS (SELECT *, {_tokens('response')} AS r, {_tokens('step_goal')} AS g, {
 """
 
 
+def causal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item, step_id, points_id): steps, and the part whose causal fields they have."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.row_number().over(order).cast("long").alias("step_id"), F.col("l_partkey").alias("points_id"))
+
+
+def _said(*x: Column | str) -> Column:
+    return F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+
+
+def _points() -> list[Column]:
+    """What the part says of a step: conditions before and after."""
+    n, t, b = F.col("p_name"), F.lower("p_type"), F.lower("p_brand")
+    return [
+        F.array(_said("The ", n, " is on the table."), _said("The ", b, " tool is near the ", n, ".")).alias("sp_pre"),
+        F.array(_said("The ", n, " can be moved freely."), F.when(F.col("p_size") % 5 == 0, F.lit("Not directly observable.")).otherwise(_said("The ", t, " surface is dry and clean."))).alias("af_pre"),
+        F.array(_said("The ", n, " is inside the box."), _said("The ", b, " tool is far from the box.")).alias("sp_eff"),
+        F.array(_said("The ", n, " cannot move any more."), _said("The ", t, " surface is covered.")).alias("af_eff"),
+    ]
+
+
+def causal_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(points_id, step_goal, sp_pre, af_pre, sp_eff, af_eff): the causal fields of parts, once each."""
+    return table(spark, sf_dir, "part").where("p_partkey is not null").select(F.col("p_partkey").alias("points_id"), F.col("p_name").alias("step_goal"), *_points())
+
+
 def causal_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps with causal fields made of part names: patients, actions, conditions before and after, keyframes."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     rows = line.withColumn("step_id", F.row_number().over(order).cast("long")).join(part, line.l_partkey == part.p_partkey)
-    n, t, b = F.col("p_name"), F.lower("p_type"), F.lower("p_brand")
-    says = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    n, t = F.col("p_name"), F.lower("p_type")
     return rows.select(
         F.col("l_orderkey").alias("item"), "step_id", n.alias("step_goal"), n.alias("patient"),
-        F.when(F.col("l_linenumber") % 2 == 0, says("lift the ", n, " and place it")).otherwise(says("turn ", n)).alias("action"),
-        F.array(says("The ", n, " is on the table."), says("The ", b, " tool is near the ", n, ".")).alias("sp_pre"),
-        F.array(says("The ", n, " can be moved freely."), F.when(F.col("p_size") % 5 == 0, F.lit("Not directly observable.")).otherwise(says("The ", t, " surface is dry and clean."))).alias("af_pre"),
-        F.array(says("The ", n, " is inside the box."), says("The ", b, " tool is far from the box.")).alias("sp_eff"),
-        F.array(says("The ", n, " cannot move any more."), says("The ", t, " surface is covered.")).alias("af_eff"),
+        F.when(F.col("l_linenumber") % 2 == 0, _said("lift the ", n, " and place it")).otherwise(_said("turn ", n)).alias("action"),
+        *_points(),
         (F.col("p_size") % 2 + 1).cast("int").alias("place"), F.when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.replace(t, F.lit(" "), F.lit("_"))).alias("affordance"),
-        says("Friction holds the ", n, ".").alias("mechanism"), F.when(F.col("p_size") % 3 == 0, F.lit("it turns.")).otherwise(says("the ", n, " changes its place")).alias("change"),
+        _said("Friction holds the ", n, ".").alias("mechanism"), F.when(F.col("p_size") % 3 == 0, F.lit("it turns.")).otherwise(_said("the ", n, " changes its place")).alias("change"),
     )
 
 

@@ -65,6 +65,16 @@ def _frame() -> Column:
     return F.concat(F.lit("keyframe_"), F.col("place").cast("string"), F.lit("_of_step"), F.col("step_id").cast("string"))
 
 
+def _fit(text: Column) -> Column:
+    """A text, trimmed; null if it is empty or leaks."""
+    return let(F.trim(text), lambda a: F.when((a != "") & ~has_leak(a), a))
+
+
+def _dealt(points: DataFrame, on: str) -> DataFrame:
+    """Points over all cores: a few row groups of them are long work."""
+    return points.repartition(4 * points.sparkSession.sparkContext.defaultParallelism, on)
+
+
 def conditions(steps: DataFrame) -> DataFrame:
     """Families 1, 2, 6 and 7; an effect text that nearly repeats the same step's precondition drops the precondition."""
     key = F.concat_ws(":", "item", "step_id")
@@ -77,14 +87,23 @@ def conditions(steps: DataFrame) -> DataFrame:
     return rows[1].unionByName(rows[2]).unionByName(rows[6]).unionByName(rows[7])
 
 
-def feasibility(steps: DataFrame) -> DataFrame:
-    """Family 3: the best spatial and the best functional condition, four words or more each, that do not nearly agree."""
+def feasibility(steps: DataFrame, points: DataFrame | None = None, on: str = "points_id") -> DataFrame:
+    """Family 3: the best spatial and the best functional condition, four words or more each, that do not nearly agree.
+
+    points: (on, step_goal, sp_pre, af_pre), if steps (item, step_id, on) share them; then an answer is worked out once for each.
+    """
+    own = ["item", "step_id"] if points is None else [on]
     usable = lambda c: F.filter(observable(F.col(c)), lambda p: ~violated(p))
-    best = lambda c: F.when(F.size(usable(c)) > 0, F.regexp_replace(lower_first(best_by_terms(usable(c), F.col("step_goal"))), r"[.!?]+$", ""))
-    rows = steps.select("item", "step_id", best("sp_pre").alias("a"), best("af_pre").alias("b"))
-    wa, wb = F.array_distinct(words(F.lower("a"))), F.array_distinct(words(F.lower("b")))
-    good = rows.where((F.size(words(F.col("a"))) >= 4) & (F.size(words(F.col("b"))) >= 4) & (share(F.size(F.array_intersect(wa, wb)), F.least(F.size(wa), F.size(wb))) <= 0.75))
-    return _rows(good, 3, F.concat(F.lit("This step is possible because "), F.col("a"), F.lit(" and "), F.col("b"), F.lit(".")), _clip())
+    bare = lambda p: F.regexp_replace(lower_first(p), r"[.!?]+$", "")
+    best = lambda c: let(usable(c), lambda u: F.when(F.size(u) > 0, let(best_by_terms(u, F.col("step_goal")), bare)))
+    rows = (steps if points is None else _dealt(points, on)).select(*own, best("sp_pre").alias("a"), best("af_pre").alias("b"))
+    rows = rows.select(*own, "a", "b", words(F.col("a")).alias("wa"), words(F.col("b")).alias("wb"), F.array_distinct(words(F.lower("a"))).alias("la"), F.array_distinct(words(F.lower("b"))).alias("lb"))
+    good = rows.where((F.size("wa") >= 4) & (F.size("wb") >= 4) & (share(F.size(F.array_intersect("la", "lb")), F.least(F.size("la"), F.size("lb"))) <= 0.75))
+    answer = F.concat(F.lit("This step is possible because "), F.col("a"), F.lit(" and "), F.col("b"), F.lit("."))
+    found = good.select(*own, _fit(answer).alias("answer")).where("answer is not null")
+    if points is not None:
+        found = steps.select("item", "step_id", on).join(found, on)
+    return found.select(F.lit(NAMES[3]).alias("task_name"), "item", "step_id", _question(3, F.col("item"), F.col("step_id")).alias("question"), "answer", _clip().alias("evidence"))
 
 
 def action_phrases(steps: DataFrame) -> DataFrame:
