@@ -686,7 +686,7 @@ def _sql_moment(task: int, *key: str) -> str:
 
 @query(S.CONDITIONS)
 def q_gen_conditions(spark, sf_dir):
-    return moments.conditions(V.causal_steps(spark, sf_dir))
+    return moments.conditions(V.causal_lines(spark, sf_dir), V.causal_points(spark, sf_dir))
 
 
 @query(S.FEASIBILITY)

@@ -39,12 +39,16 @@ def violated(point: Column) -> Column:
     return F.lower(point).rlike(r"\b(?:violated|not met|unmet|not satisfied|fails to hold)\b")
 
 
-def paragraph(points: Column, key: Column) -> Column:
-    """Distinct sentences in one text; every second gets a connective that a hash picks; empty under two points."""
+def paragraph_sentences(points: Column) -> Column:
+    """Distinct sentences of a paragraph, ended; none under two points."""
     clean = keep_first(F.transform(points, lambda p: ended(F.concat(F.upper(F.substring(F.trim(p), 1, 1)), F.substring(F.trim(p), F.lit(2), F.length(p))))))
-    pick = lambda i: F.element_at(literal_array(CONNECTIVES), (F.pmod(template_pick(len(CONNECTIVES), key) + i, F.lit(len(CONNECTIVES))) + 1).cast("int"))
-    joined = lambda c: F.array_join(F.transform(c, lambda s, i: F.when((i > 0) & ((i % 2 == 0) | (F.size(c) == 2)), F.concat(pick(i), lower_first(s))).otherwise(s)), " ")
-    return F.when(F.size(points) >= 2, let(clean, joined)).otherwise(F.lit(""))
+    return F.when(F.size(points) >= 2, clean).otherwise(F.array().cast("array<string>"))
+
+
+def with_connectives(sentences: Column, first: Column) -> Column:
+    """Sentences in one text; every second gets a connective, counted on from `first`."""
+    pick = lambda i: F.element_at(literal_array(CONNECTIVES), (F.pmod(first + i, F.lit(len(CONNECTIVES))) + 1).cast("int"))
+    return F.array_join(F.transform(sentences, lambda s, i: F.when((i > 0) & ((i % 2 == 0) | (F.size(sentences) == 2)), F.concat(pick(i), lower_first(s))).otherwise(s)), " ")
 
 
 def _question(task: int, *key: Column) -> Column:
@@ -75,16 +79,30 @@ def _dealt(points: DataFrame, on: str) -> DataFrame:
     return points.repartition(4 * points.sparkSession.sparkContext.defaultParallelism, on)
 
 
-def conditions(steps: DataFrame) -> DataFrame:
-    """Families 1, 2, 6 and 7; an effect text that nearly repeats the same step's precondition drops the precondition."""
-    key = F.concat_ws(":", "item", "step_id")
-    texts = steps.select("item", "step_id", *[paragraph(observable(F.col(c)), key).alias(c) for c in ("sp_pre", "af_pre", "sp_eff", "af_eff")])
-    rows = {k: _rows(texts, k, F.col(c), _clip()) for k, c in ((1, "sp_pre"), (2, "af_pre"), (6, "sp_eff"), (7, "af_eff"))}
-    for before, after in ((1, 6), (2, 7)):
-        other = rows[after].select("item", "step_id", F.col("answer").alias("_other"))
-        kept = rows[before].join(other, ["item", "step_id"], "left")
-        rows[before] = kept.where(F.col("_other").isNull() | (overlap_coefficient(terms(F.col("answer")), terms(F.col("_other"))) <= 0.75)).drop("_other")
-    return rows[1].unionByName(rows[2]).unionByName(rows[6]).unionByName(rows[7])
+def conditions(steps: DataFrame, points: DataFrame | None = None, on: str = "points_id") -> DataFrame:
+    """Families 1, 2, 6 and 7; an effect text that nearly repeats the same step's precondition drops the precondition.
+
+    points: (on, sp_pre, af_pre, sp_eff, af_eff), if steps (item, step_id, on) share them. Their texts are then worked out
+    once for each connective they may begin with, not for each step. Without it the steps hold the arrays.
+    """
+    columns = {1: "sp_pre", 2: "af_pre", 6: "sp_eff", 7: "af_eff"}
+    first = template_pick(len(CONNECTIVES), F.concat_ws(":", "item", "step_id"))
+    own = ["item", "step_id"] if points is None else [on]
+    source = steps if points is None else _dealt(points, on)
+    said = source.select(*own, *[paragraph_sentences(observable(F.col(c))).alias(c) for c in columns.values()])
+    said = said.withColumn("first", first if points is None else F.explode(F.array(*[F.lit(i).cast("long") for i in range(len(CONNECTIVES))])))
+    texts = said.select(*own, "first", *[_fit(with_connectives(F.col(c), F.col("first"))).alias(c) for c in columns.values()])
+    sets = texts.select("*", *[terms(F.col(c)).alias(f"{c}_terms") for c in columns.values()])
+    fresh = lambda before, after: F.col(after).isNull() | (overlap_coefficient(F.col(f"{before}_terms"), F.col(f"{after}_terms")) <= 0.75)
+    kept = {1: F.when(fresh("sp_pre", "sp_eff"), F.col("sp_pre")), 2: F.when(fresh("af_pre", "af_eff"), F.col("af_pre")), 6: F.col("sp_eff"), 7: F.col("af_eff")}
+    answers = F.filter(F.array(*[F.struct(F.lit(k).alias("task"), c.alias("answer")) for k, c in kept.items()]), lambda x: x["answer"].isNotNull())
+    found = sets.select(*own, "first", answers.alias("answers"))
+    if points is not None:
+        found = steps.select("item", "step_id", on, first.alias("first")).join(found, [on, "first"])
+    rows = found.select("item", "step_id", F.explode("answers").alias("x")).select("item", "step_id", "x.task", "x.answer")
+    pick = lambda k, value: F.when(F.col("task") == k, value)
+    name = F.coalesce(*[pick(k, F.lit(NAMES[k])) for k in columns])
+    return rows.select(name.alias("task_name"), "item", "step_id", F.coalesce(*[pick(k, _question(k, F.col("item"), F.col("step_id"))) for k in columns]).alias("question"), "answer", _clip().alias("evidence"))
 
 
 def feasibility(steps: DataFrame, points: DataFrame | None = None, on: str = "points_id") -> DataFrame:

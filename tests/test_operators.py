@@ -171,7 +171,7 @@ def test_shared_points_are_worked_out_once(spark):
     said = {"sp_pre": ["The cup of glass", "A spoon beside it"], "af_pre": ["The handle may be held", "Its lid turns and"], "sp_eff": ["The cup of glass", "A spoon beside it"], "af_eff": ["No steam leaves as", "All heat"]}
     own = spark.range(40).select((F.col("id") % 4).alias("points_id"), F.lit("lift the cup").alias("step_goal"), (F.col("id") % 9).alias("item"), F.col("id").alias("step_id"), *[F.array(*[F.concat_ws(" ", F.lit(x), ends, F.lit(".")) for x in v]).alias(k) for k, v in said.items()])
     lines, points = own.select("item", "step_id", "points_id"), own.drop("item", "step_id").distinct()
-    for family in (moments.feasibility,):
+    for family in (moments.conditions, moments.feasibility):
         alone = family(own)
         assert "Join" not in alone._jdf.queryExecution().analyzed().toString()  # a step's texts meet in its own row
         want = sorted(alone.collect())
