@@ -74,35 +74,55 @@ def _fit(text: Column) -> Column:
     return let(F.trim(text), lambda a: F.when((a != "") & ~has_leak(a), a))
 
 
-def _dealt(points: DataFrame, on: str) -> DataFrame:
+def _dealt(points: DataFrame, *on: str) -> DataFrame:
     """Points over all cores: a few row groups of them are long work."""
-    return points.repartition(4 * points.sparkSession.sparkContext.defaultParallelism, on)
+    return points.repartition(4 * points.sparkSession.sparkContext.defaultParallelism, *on)
+
+
+def _contents(points: DataFrame, columns: list[str]) -> DataFrame:
+    """What points say, once for each content of the columns, over all cores."""
+    return _dealt(points.select(*columns).distinct(), *columns)
+
+
+def _with_said(points: DataFrame, said: DataFrame, columns: list[str]) -> DataFrame:
+    """Points and what was made of their contents. The size of `said` is guessed far too small, and no broadcast of it has a bound."""
+    other = said.withColumnsRenamed({c: f"_{c}" for c in columns}).hint("merge")
+    return points.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+
+
+def _worked(frame: DataFrame, own: list[str], answers: Column) -> DataFrame:
+    """A row for each answer. The outer explode infers no filter that would work the answers out once more below it."""
+    return frame.select(*own, F.explode_outer(answers).alias("x")).where("x is not null")
 
 
 def conditions(steps: DataFrame, points: DataFrame | None = None, on: str = "points_id") -> DataFrame:
     """Families 1, 2, 6 and 7; an effect text that nearly repeats the same step's precondition drops the precondition.
 
     points: (on, sp_pre, af_pre, sp_eff, af_eff), if steps (item, step_id, on) share them. Their texts are then worked out
-    once for each connective they may begin with, not for each step. Without it the steps hold the arrays.
+    once for each distinct pair of arrays and connective they may begin with, not for each step. Without it the steps hold
+    the arrays.
     """
-    columns = {1: "sp_pre", 2: "af_pre", 6: "sp_eff", 7: "af_eff"}
+    tasks = [1, 2, 6, 7]
     first = template_pick(len(CONNECTIVES), F.concat_ws(":", "item", "step_id"))
-    own = ["item", "step_id"] if points is None else [on]
-    source = steps if points is None else _dealt(points, on)
-    said = source.select(*own, *[paragraph_sentences(observable(F.col(c))).alias(c) for c in columns.values()])
+    own, content = ["item", "step_id"] if points is None else [on], ["i", "j", "p", "q"]
+    pair = lambda i, j, before, after: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(before).alias("p"), F.col(after).alias("q"))
+    pairs = F.explode(F.array(pair(1, 6, "sp_pre", "sp_eff"), pair(2, 7, "af_pre", "af_eff"))).alias("x")
+    source = (steps if points is None else points).select(*own, pairs).select(*own, "x.*")
+    keys = [*own, "i", "j"] if points is None else content
+    said = (source if points is None else _contents(source, content)).select(*keys, *[paragraph_sentences(observable(F.col(c))).alias(t) for c, t in (("p", "before"), ("q", "after"))])
     said = said.withColumn("first", first if points is None else F.explode(F.array(*[F.lit(i).cast("long") for i in range(len(CONNECTIVES))])))
-    texts = said.select(*own, "first", *[_fit(with_connectives(F.col(c), F.col("first"))).alias(c) for c in columns.values()])
-    sets = texts.select("*", *[terms(F.col(c)).alias(f"{c}_terms") for c in columns.values()])
-    fresh = lambda before, after: F.col(after).isNull() | (overlap_coefficient(F.col(f"{before}_terms"), F.col(f"{after}_terms")) <= 0.75)
-    kept = {1: F.when(fresh("sp_pre", "sp_eff"), F.col("sp_pre")), 2: F.when(fresh("af_pre", "af_eff"), F.col("af_pre")), 6: F.col("sp_eff"), 7: F.col("af_eff")}
-    answers = F.filter(F.array(*[F.struct(F.lit(k).alias("task"), c.alias("answer")) for k, c in kept.items()]), lambda x: x["answer"].isNotNull())
-    found = sets.select(*own, "first", answers.alias("answers"))
+    texts = said.select(*keys, "first", *[_fit(with_connectives(F.col(c), F.col("first"))).alias(c) for c in ("before", "after")])
+    sets = texts.select("*", *[terms(F.col(c)).alias(f"{c}_terms") for c in ("before", "after")])
+    fresh = F.col("after").isNull() | (overlap_coefficient(F.col("before_terms"), F.col("after_terms")) <= 0.75)
+    kept = F.array(F.struct(F.col("i").alias("task"), F.when(fresh, F.col("before")).alias("answer")), F.struct(F.col("j").alias("task"), F.col("after").alias("answer")))
+    rows = _worked(sets, [*keys, "first"], F.filter(kept, lambda x: x["answer"].isNotNull()))
     if points is not None:
-        found = steps.select("item", "step_id", on, first.alias("first")).join(found, [on, "first"])
-    rows = found.select("item", "step_id", F.explode("answers").alias("x")).select("item", "step_id", "x.task", "x.answer")
+        found = _with_said(source, rows, content).select(on, "first", "x")
+        rows = steps.select("item", "step_id", on, first.alias("first")).join(found.hint("merge"), [on, "first"])
+    rows = rows.select("item", "step_id", "x.task", "x.answer")
     pick = lambda k, value: F.when(F.col("task") == k, value)
-    name = F.coalesce(*[pick(k, F.lit(NAMES[k])) for k in columns])
-    return rows.select(name.alias("task_name"), "item", "step_id", F.coalesce(*[pick(k, _question(k, F.col("item"), F.col("step_id"))) for k in columns]).alias("question"), "answer", _clip().alias("evidence"))
+    name = F.coalesce(*[pick(k, F.lit(NAMES[k])) for k in tasks])
+    return rows.select(name.alias("task_name"), "item", "step_id", F.coalesce(*[pick(k, _question(k, F.col("item"), F.col("step_id"))) for k in tasks]).alias("question"), "answer", _clip().alias("evidence"))
 
 
 def feasibility(steps: DataFrame, points: DataFrame | None = None, on: str = "points_id") -> DataFrame:

@@ -176,3 +176,15 @@ def test_shared_points_are_worked_out_once(spark):
         assert "Join" not in alone._jdf.queryExecution().analyzed().toString()  # a step's texts meet in its own row
         want = sorted(alone.collect())
         assert want and want == sorted(family(lines, points).collect())
+
+
+def test_conditions_of_shared_points_are_not_broadcast(spark):
+    # ten points say two things: texts are worked out for these, and neither they nor the points are sent to the driver whole
+    texts = F.array(F.concat_ws(" ", F.lit("The cup is on"), F.when(F.col("id") % 2 == 0, "a table").otherwise("the shelf"), F.lit(".")), F.lit("A spoon lies beside it."))
+    points = spark.range(10).select(F.col("id").alias("points_id"), *[texts.alias(c) for c in ("sp_pre", "af_pre", "sp_eff", "af_eff")])
+    lines = spark.range(80).select((F.col("id") % 7).alias("item"), F.col("id").alias("step_id"), (F.col("id") % 12).alias("points_id"))
+    got = moments.conditions(lines, points)
+    plan = got._jdf.queryExecution()
+    assert "Broadcast" not in plan.executedPlan().toString()
+    assert plan.optimizedPlan().toString().count("frame_[0-9]+") == 2  # texts before and after, each tested for leaks once
+    assert sorted(got.collect()) == sorted(moments.conditions(lines.join(points, "points_id")).collect())
