@@ -706,7 +706,7 @@ def q_gen_task04(spark, sf_dir):
 
 @query(S.CHAINS)
 def q_gen_task05(spark, sf_dir):
-    return moments.causal_chains(V.causal_steps(spark, sf_dir))
+    return moments.causal_chains(V.causal_lines(spark, sf_dir), points=V.causal_points(spark, sf_dir))
 
 
 @query(S.KEY_OBJECTS)

@@ -224,9 +224,14 @@ def _points() -> list[Column]:
     ]
 
 
+def _frame_fields() -> list[Column]:
+    """Where the keyframe of a step stands, and by what it works."""
+    return [(F.col("p_size") % 2 + 1).cast("int").alias("place"), _said("Friction holds the ", F.col("p_name"), ".").alias("mechanism")]
+
+
 def causal_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(points_id, step_goal, sp_pre, af_pre, sp_eff, af_eff): the causal fields of parts, once each."""
-    return table(spark, sf_dir, "part").where("p_partkey is not null").select(F.col("p_partkey").alias("points_id"), F.col("p_name").alias("step_goal"), *_points())
+    """(points_id, step_goal, sp_pre, af_pre, sp_eff, af_eff, place, mechanism): the causal fields of parts, once each."""
+    return table(spark, sf_dir, "part").where("p_partkey is not null").select(F.col("p_partkey").alias("points_id"), F.col("p_name").alias("step_goal"), *_points(), *_frame_fields())
 
 
 def causal_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,9 +243,9 @@ def causal_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("l_orderkey").alias("item"), "step_id", n.alias("step_goal"), n.alias("patient"),
         F.when(F.col("l_linenumber") % 2 == 0, _said("lift the ", n, " and place it")).otherwise(_said("turn ", n)).alias("action"),
-        *_points(),
-        (F.col("p_size") % 2 + 1).cast("int").alias("place"), F.when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.replace(t, F.lit(" "), F.lit("_"))).alias("affordance"),
-        _said("Friction holds the ", n, ".").alias("mechanism"), F.when(F.col("p_size") % 3 == 0, F.lit("it turns.")).otherwise(_said("the ", n, " changes its place")).alias("change"),
+        *_points(), *_frame_fields(),
+        F.when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.replace(t, F.lit(" "), F.lit("_"))).alias("affordance"),
+        F.when(F.col("p_size") % 3 == 0, F.lit("it turns.")).otherwise(_said("the ", n, " changes its place")).alias("change"),
     )
 
 

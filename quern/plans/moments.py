@@ -6,7 +6,7 @@ sentences; frames: (item, step_id, step_goal, place, patient, affordance, mechan
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.leak import has_leak
@@ -14,6 +14,7 @@ from quern.functions.morph import article, best_by_terms, lower_first, progressi
 from quern.functions.text import ended, keep_first, let, literal_array, overlap_coefficient, share, template_pick, terms, words
 from quern.plans.dims import NAMES
 from quern.plans.steps import first_of_repeats
+from quern.session import settle
 
 QUESTIONS = {
     1: ["Which spatial conditions must hold before this step?", "How must things be arranged before this step begins?"],
@@ -168,19 +169,35 @@ def state_changes(frames: DataFrame, least: int = 15) -> DataFrame:
     return first_of_repeats(rows, ["item", "answer"], "evidence")
 
 
-def causal_chains(frames: DataFrame, top: int = 2) -> DataFrame:
-    """Family 5: the points of each kind that share most terms with goal and mechanism, and the mechanism between them."""
+def causal_chains(frames: DataFrame, top: int = 2, points: DataFrame | None = None, on: str = "points_id") -> DataFrame:
+    """Family 5: the points of each kind that share most terms with goal and mechanism, and the mechanism between them.
+
+    points: (on, place, step_goal, mechanism and the arrays), if frames (item, step_id, on) share them. An answer is then
+    worked out once for each distinct content, goes by a number where repeats in an item are dropped, and is joined last.
+    """
 
     def ranked(c: str) -> Column:
         context = F.concat_ws(" ", "step_goal", "mechanism")
         scored = lambda own: F.transform(observable(F.col(c)), lambda p, i: F.struct((-(F.size(F.array_intersect(terms(p), own)) - F.lit(0.001) * F.length(p))).alias("s"), i.alias("i"), F.regexp_replace(lower_first(F.trim(p)), r"[.!?]+$", "").alias("p")))
         return F.transform(F.slice(F.array_sort(let(terms(context), scored)), F.lit(1), F.lit(top)), lambda x: x["p"])
 
-    rows = frames.withColumns({"before": F.concat(ranked("sp_pre"), ranked("af_pre")), "after": F.concat(ranked("sp_eff"), ranked("af_eff"))})
-    rows = rows.where((F.size("before") > 0) & (F.size("after") > 0) & (F.trim(F.coalesce("mechanism", F.lit(""))) != ""))
+    content = ["step_goal", "mechanism", "sp_pre", "af_pre", "sp_eff", "af_eff"]
+    own, source = (["item", "step_id", "place"], frames) if points is None else (content, _contents(points, content))
+    said = source.withColumns({"before": F.concat(ranked("sp_pre"), ranked("af_pre")), "after": F.concat(ranked("sp_eff"), ranked("af_eff"))})
     why = F.regexp_replace(lower_first(F.trim("mechanism")), r"[.!?]+$", "")
     answer = F.concat(F.lit("Before, "), F.array_join("before", " and "), F.lit(". Then "), why, F.lit(". As a result, "), F.array_join("after", " and "), F.lit("."))
-    return first_of_repeats(_rows(rows, 5, answer, _frame(), _question(5, F.col("item"), F.col("step_id"), F.col("place"))), ["item", "answer"], "evidence")
+    whole = (F.size("before") > 0) & (F.size("after") > 0) & (F.trim(F.coalesce("mechanism", F.lit(""))) != "")
+    found = _worked(said, own, F.array(F.when(whole, _fit(answer)))).withColumnRenamed("x", "answer")
+    row = [F.lit(NAMES[5]).alias("task_name"), "item", "step_id", _question(5, F.col("item"), F.col("step_id"), F.col("place")).alias("question"), "answer"]
+    if points is None:
+        return first_of_repeats(found.select(*row, _frame().alias("evidence")), ["item", "answer"], "evidence")
+    # equal answers have one number: a hash, and their place among those that share it
+    number = F.dense_rank().over(Window.partitionBy("h").orderBy("answer"))
+    texts = settle(found.withColumn("h", F.xxhash64("answer")).withColumn("n", number))
+    marks = _with_said(points, texts.drop("answer"), content).select(on, "place", "h", "n")
+    rows = frames.select("item", "step_id", on).join(marks.hint("merge"), on).select("item", "step_id", "place", "h", "n", _frame().alias("evidence"))
+    once = first_of_repeats(rows, ["item", "h", "n"], "evidence")
+    return once.join(texts.select("h", "n", "answer").distinct().hint("merge"), ["h", "n"]).select(*row, "evidence")
 
 
 def key_objects(steps: DataFrame, pool: DataFrame, most: int = 12, wanted: int = 10) -> DataFrame:

@@ -188,3 +188,17 @@ def test_conditions_of_shared_points_are_not_broadcast(spark):
     assert "Broadcast" not in plan.executedPlan().toString()
     assert plan.optimizedPlan().toString().count("frame_[0-9]+") == 2  # texts before and after, each tested for leaks once
     assert sorted(got.collect()) == sorted(moments.conditions(lines.join(points, "points_id")).collect())
+
+
+def test_chains_of_shared_points_are_worked_out_once(spark):
+    # twelve points say three things, two of which give one answer; an item meets it at several places
+    cup = F.when(F.col("id") % 3 == 0, "The cup").when(F.col("id") % 3 == 1, "the cup").otherwise("The lid")
+    say = lambda *ends: F.array(*[F.concat_ws(" ", cup, F.lit(e)) for e in ends])
+    points = spark.range(12).select(F.col("id").alias("points_id"), (F.col("id") % 2 + 1).cast("int").alias("place"), F.lit("lift it").alias("step_goal"), F.lit("Grip holds it.").alias("mechanism"), say("is here.").alias("sp_pre"), say("may move.", "is not directly observable.").alias("af_pre"), say("is up.").alias("sp_eff"), say("is held.").alias("af_eff"))
+    lines = spark.range(200).select((F.col("id") % 7).alias("item"), F.col("id").alias("step_id"), (F.col("id") % 13).alias("points_id"))
+    got = moments.causal_chains(lines, points=points)
+    plan = got._jdf.queryExecution()
+    assert "Broadcast" not in plan.executedPlan().toString()
+    assert "As a result" not in plan.optimizedPlan().toString()  # answers are there before lines are read
+    want = sorted(moments.causal_chains(lines.join(points, "points_id")).collect())
+    assert len(want) == 14 and want == sorted(got.collect())
